@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, line_quality, mixing, ngram_join, toxicity
+from . import byte_bpe, exact_dedup, line_quality, mixing, ngram_join, pii, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op2_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op3_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.op4_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,4 +40,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op4_line_quality, op8_byte_bpe, op9_ngram_join, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op8_byte_bpe, op9_ngram_join, op10_toxicity)}
