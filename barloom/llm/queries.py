@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, line_quality, mixing, ngram_join, pii, toxicity
+from . import byte_bpe, exact_dedup, fingerprint, line_quality, mixing, ngram_join, pii, sentence_spans, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.op4_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.op5_rows(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op6_rows(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op8_rows(table(spark, sf_dir, "documents"))
 
@@ -40,4 +48,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op8_byte_bpe, op9_ngram_join, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op5_sentence_spans, op6_fingerprints, op8_byte_bpe, op9_ngram_join, op10_toxicity)}
