@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprint, line_quality, mixing, ngram_join, pii, sentence_spans, toxicity
+from . import byte_bpe, exact_dedup, fingerprint, html_blocks, line_quality, mixing, ngram_join, pii, sentence_spans, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op6_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.op7_rows(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op8_rows(table(spark, sf_dir, "documents"))
 
@@ -48,4 +52,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op5_sentence_spans, op6_fingerprints, op8_byte_bpe, op9_ngram_join, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op5_sentence_spans, op6_fingerprints, op7_html_blocks, op8_byte_bpe, op9_ngram_join, op10_toxicity)}
