@@ -147,7 +147,7 @@ def logit(p: np.ndarray) -> np.ndarray:
 def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [line_features(t) for t in batch["text"]]
-        yield pd.DataFrame({"quality": batch["quality"], "lines": [x.astype(np.float32).ravel() for x, _ in found], "lengths": [n.astype(np.float32) for _, n in found]})
+        yield pd.DataFrame({"quality": batch["quality"], "lines": [x.astype(np.float32).tobytes() for x, _ in found], "lengths": [n.astype(np.float32).tobytes() for _, n in found]})
 
 
 def scorer(spark, model):
@@ -174,13 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     own = labels.where(share_of("doc_id", FOLDS) != HELD_OUT).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(own, "doc_id", sample, "quality")
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    found = rows.mapInPandas(featured, "quality int, lines array<float>, lengths array<float>").toPandas()
+    found = rows.mapInPandas(featured, "quality int, lines binary, lengths binary").toPandas()
     if found["quality"].nunique() < 2:
         return scorer(docs.sparkSession, None)
-    own = [(np.asarray(x, dtype=np.float64), np.asarray(n, dtype=np.float64), q) for x, n, q in zip(found["lines"], found["lengths"], found["quality"], strict=True)]
-    own.sort(key=lambda x: (x[0].tobytes(), x[2]))  # the fit does not depend on the order of arrival
-    chains = [with_neighbours(x.reshape(-1, OWN)) for x, _, _ in own]
-    return scorer(docs.sparkSession, fit(chains, [n for _, n, _ in own], np.array([q for _, _, q in own])))
+    own = sorted(zip(found["lines"], found["lengths"], found["quality"], strict=True))  # the fit does not depend on the order of arrival
+    numbers = lambda raw: np.frombuffer(raw, dtype=np.float32).astype(np.float64)
+    chains = [with_neighbours(numbers(x).reshape(-1, OWN)) for x, _, _ in own]
+    return scorer(docs.sparkSession, fit(chains, [numbers(n) for _, n, _ in own], np.array([q for _, _, q in own])))
 
 
 def op4_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

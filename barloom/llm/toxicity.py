@@ -32,8 +32,8 @@ from .common import share_of, text_of
 from .learning import Adam, bounded_sample, sigmoid
 
 #: Documents that the classifier is fitted on, at most about.
-POSITIVES = 4000
-UNLABELLED = 8000
+POSITIVES = 3000
+UNLABELLED = 6000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Hash buckets of the features, the confirmed documents that a bucket needs, and how many buckets are fitted.
@@ -60,13 +60,13 @@ def features(text: str) -> np.ndarray:
 
 def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"positive": batch["positive"], "features": [np.sort(features(t)) for t in batch["text"]]})
+        yield pd.DataFrame({"positive": batch["positive"], "features": [np.sort(features(t)).tobytes() for t in batch["text"]]})
 
 
 def flat(rows: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The selected features of the rows in one array, and the row of each."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = index[np.concatenate([np.zeros(0, dtype=np.int64), *rows])]
+    column = index[np.concatenate([np.zeros(0, dtype=np.int32), *rows])]
     return owner[column >= 0], column[column >= 0]
 
 
@@ -86,7 +86,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -60.0
     kept = selected(positive, unlabelled)
-    index = np.full(BUCKETS, -1, dtype=np.int64)
+    index = np.full(BUCKETS, -1, dtype=np.int32)
     index[kept] = np.arange(len(kept))
     w, rng, n = np.zeros(len(kept) + 1), np.random.default_rng(seed), len(kept)
     w[n] = np.log(prior / (1 - prior))
@@ -151,10 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows = docs.where(share_of("doc_id", FOLDS) != HELD_OUT).select("doc_id", text_of().alias("text"))
     plain = bounded_sample(rows, "doc_id", unlabelled, "unlabelled").select("text", F.lit(False).alias("positive"))
     found = rows.join(F.broadcast(toxic), "doc_id").select("text", F.lit(True).alias("positive")).unionByName(plain)
-    found = found.mapInPandas(featured, "positive boolean, features array<int>").toPandas()
-    own = [(np.asarray(f, dtype=np.int64), side) for f, side in zip(found["features"], found["positive"], strict=True)]
-    own.sort(key=lambda x: x[0].tobytes())  # the fit does not depend on the order of arrival
-    sets = [[f for f, positive in own if positive == side] for side in (True, False)]
+    found = found.mapInPandas(featured, "positive boolean, features binary").toPandas()
+    own = sorted(zip(found["features"], found["positive"], strict=True))  # the fit does not depend on the order of arrival
+    sets = [[np.frombuffer(f, dtype=np.int32) for f, positive in own if positive == side] for side in (True, False)]
     return scorer(docs.sparkSession, *fit(*sets, min(max(prior, 1e-4), 0.9)))
 
 
