@@ -22,12 +22,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests) a local one is made.
+    The folder is the session's spark.checkpoint.dir; only where none is set (tests) a local one is made. narrow: rows
+    of a few numbers, for which a file a core is enough; many small files only cost calls to the file system.
     """
     context = df.sparkSession.sparkContext
+    if narrow:
+        df = df.coalesce(context.defaultParallelism)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
     return df.checkpoint(eager=True)
@@ -73,18 +76,18 @@ def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -
     combined before the shuffle and the joins are plain sort-merge joins of written tables, which AQE can split
     where one node has very many edges. Nothing but the count of edges left reaches the driver.
     """
-    live = cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True)
     roots = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("root", F.col("node"))
     for _ in range(most_rounds):
         if live.isEmpty():
             return roots
         both = live.select(F.col("a").alias("node"), F.col("b").alias("near")).union(live.select("b", "a"))
-        up = cut(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up")))
+        up = cut(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up")), narrow=True)
         grand = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = cut(up.join(grand, "up").select("node", F.col("top").alias("up")))
-        roots = cut(roots.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        up = cut(up.join(grand, "up").select("node", F.col("top").alias("up")), narrow=True)
+        roots = cut(roots.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), narrow=True)
         live = live.join(up.select(F.col("node").alias("a"), F.col("up").alias("ra")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("rb")), "b")
-        live = cut(live.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        live = cut(live.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), narrow=True)
     raise RuntimeError("components did not settle")
 
 

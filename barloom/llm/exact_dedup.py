@@ -31,7 +31,7 @@ NONE = -1
 
 def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
     """keys, _n_name: the rank of each key in sorted order. Keys are unique, so a task that runs again numbers alike."""
-    return cut(distinct.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_n_name", F.monotonically_increasing_id()))
+    return cut(distinct.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_n_name", F.monotonically_increasing_id()), narrow=True)
 
 
 def block_keys(block: Column) -> list[Column]:
@@ -59,16 +59,15 @@ def name_documents(docs: DataFrame, text: str, block: int = BLOCK, ways: tuple[C
     rows = docs.select(*others, F.length(text_of(text)).cast("long").alias("_n_chars"), F.sha2(plain, 256).alias("_n_sha256"), pieces.alias("_n_pieces"))
     rows = cut(rows.withColumn("_n_keys", F.transform("_n_pieces", key)).drop("_n_pieces").withColumn("_n_row", F.monotonically_increasing_id()))
     held = rows.select("_n_row", F.size("_n_keys").alias("_n_blocks"), F.posexplode("_n_keys").alias("_n_at", "_n_key")).select("_n_row", "_n_blocks", "_n_at", "_n_key.*")
-    named = cut(held.join(names, ["_n_k1", "_n_k2"]).select("_n_row", "_n_blocks", "_n_at", "_n_name"))
+    named = cut(held.join(names, ["_n_k1", "_n_k2"]).select("_n_row", "_n_blocks", "_n_at", "_n_name"), narrow=True)
     done = named.where("_n_blocks = 1").select("_n_row", F.lit(0).alias("_n_levels"), "_n_name")
     left, level = named.where("_n_blocks > 1"), 0
     while not left.isEmpty():
         level += 1
         half = lambda side: F.max(F.when(F.col("_n_at") % 2 == side, F.col("_n_name")))
         pairs = left.groupBy("_n_row", "_n_blocks", F.floor(F.col("_n_at") / 2).cast("int").alias("_n_at")).agg(half(0).alias("_n_a"), F.coalesce(half(1), F.lit(NONE)).alias("_n_b"))
-        pairs = cut(pairs)
         names = _numbered(pairs.select("_n_a", "_n_b").distinct(), ["_n_a", "_n_b"])
-        named = cut(pairs.join(names, ["_n_a", "_n_b"]).select("_n_row", F.ceil(F.col("_n_blocks") / 2).cast("int").alias("_n_blocks"), "_n_at", "_n_name"))
+        named = cut(pairs.join(names, ["_n_a", "_n_b"]).select("_n_row", F.ceil(F.col("_n_blocks") / 2).cast("int").alias("_n_blocks"), "_n_at", "_n_name"), narrow=True)
         done = done.union(named.where("_n_blocks = 1").select("_n_row", F.lit(level), "_n_name"))
         left = named.where("_n_blocks > 1")
     return rows.drop("_n_keys").join(done, "_n_row")
@@ -79,9 +78,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
 
     Of equal texts the row with the most code points stays, then the least id (a null id last), then the first row.
     """
-    named = cut(name_documents(docs, text, **how))
+    named = name_documents(docs, text, **how)
     first = F.struct((-F.col("_n_chars")).alias("n"), F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("id"), F.col("_n_row").alias("r"))
-    groups = cut(named.groupBy("_n_levels", "_n_name").agg(F.min(first).alias("_n_first"), F.count("*").alias("group_size")))
+    groups = cut(named.groupBy("_n_levels", "_n_name").agg(F.min(first).alias("_n_first"), F.count("*").alias("group_size")), narrow=True)
     found = named.join(groups, ["_n_levels", "_n_name"])
     found = found.withColumns({"keep_id": F.col("_n_first.id"), "kept": F.col("_n_first.r") == F.col("_n_row"), "text_sha256": F.col("_n_sha256")})
     return found.drop("_n_first", "_n_levels", "_n_name", "_n_sha256", "_n_row")
