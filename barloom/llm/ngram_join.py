@@ -226,9 +226,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     classes = sketched.groupBy("_g_k1", "_g_k2", "_g_n").agg(first, F.count("*").alias("n_copies"), F.any_value("_g_bands").alias("_g_bands"))
     classes = cut(classes.withColumn("_g_class", F.monotonically_increasing_id()))
     banded = classes.select("_g_class", F.posexplode("_g_bands").alias("_g_band", "_g_hash"))
-    buckets = cut(banded.groupBy("_g_band", "_g_hash").agg(F.min("_g_class").alias("_g_lead"), F.count("*").alias("_g_count")).where("_g_count > 1").drop("_g_count"))
+    buckets = cut(banded.groupBy("_g_band", "_g_hash").agg(F.min("_g_class").alias("_g_lead"), F.count("*").alias("_g_count")).where("_g_count > 1").drop("_g_count"), narrow=True)
     roots = components(banded.join(buckets, ["_g_band", "_g_hash"]), "_g_class", "_g_lead").select(F.col("node").alias("_g_class"), F.col("root").alias("_g_root"))
-    members = cut(classes.select("_g_class", "_g_n", F.col("_g_first._g_id").alias("_g_id"), F.col("_g_first._g_none").alias("_g_none"), F.col("_g_first._g_text").alias("_g_text")).join(roots, "_g_class"))
+    members = cut(classes.select("_g_class", "_g_n", F.col("_g_first._g_id").alias("_g_id"), F.col("_g_first._g_none").alias("_g_none"), F.col("_g_first._g_text").alias("_g_text")).join(roots, "_g_class"), narrow=True)
     wanted = members.join(_items(members.select("_g_root", "_g_class", "_g_n")), "_g_class")
     texts = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long").alias("_g_id"), F.col(doc_id).isNull().alias("_g_none"), F.xxhash64(text_of(text)).alias("_g_text"), text_of(text).alias("_g_whole"))
     texts = texts.join(wanted, ["_g_id", "_g_none", "_g_text"]).select("_g_class", "_g_items", word_hashes("_g_whole").alias("_g_words"))
@@ -242,9 +242,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     links = found.groupBy("_g_class").agg(F.sum("_g_links").alias("n_links"))
     grouped = components(found, "_g_class", "_g_near").select(F.col("node").alias("_g_class"), F.col("root").alias("_g_root"))
     ends = classes.select("_g_class", "_g_first").join(grouped, "_g_class")
-    ends = ends.join(cut(ends.groupBy("_g_root").agg(F.min("_g_first").alias("_g_stay"))), "_g_root").select("_g_class", "_g_stay")
+    ends = ends.join(cut(ends.groupBy("_g_root").agg(F.min("_g_first").alias("_g_stay")), narrow=True), "_g_root").select("_g_class", "_g_stay")
     placed = classes.drop("_g_bands").join(links, "_g_class", "left").join(ends, "_g_class", "left")
-    placed = cut(placed.select("_g_k1", "_g_k2", "_g_n", "_g_first", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_g_stay", "_g_first").alias("_g_stay")))
+    placed = cut(placed.select("_g_k1", "_g_k2", "_g_n", "_g_first", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_g_stay", "_g_first").alias("_g_stay")), narrow=True)
     done = sketched.drop("_g_bands").join(placed, ["_g_k1", "_g_k2", "_g_n"])
     real = lambda s: F.when(~F.col(f"{s}._g_none"), F.col(f"{s}._g_id"))
     own = (F.col("_g_stay._g_none") == F.col("_g_none")) & (F.col("_g_stay._g_id") == F.col("_g_id")) & (F.col("_g_stay._g_text") == F.col("_g_text"))

@@ -120,10 +120,10 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """docs with the text cleaned, and _s_sentences (how many it had) and _s_gone (how many were removed)."""
     keyed = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long").alias("_s_id"), F.xxhash64(F.col(doc_id).isNull(), text_of(text)).alias("_s_key"), text_of(text).alias("_s_text"))
     counts = keyed.select("_s_text").mapInArrow(_hashes, "_s_hash long, _s_count long").groupBy("_s_hash").agg(F.sum("_s_count").alias("_s_count"))
-    repeated = cut(counts.where("_s_count > 1").select("_s_hash"))
+    repeated = cut(counts.where("_s_count > 1").select("_s_hash"), narrow=True)
     here = keyed.mapInArrow(_occurrences, "_s_id long, _s_key long, _s_hash long, _s_begin int, _s_end int")
     here = cut(here.join(repeated, "_s_hash"))
-    first = cut(here.groupBy("_s_hash").agg(F.min(F.struct("_s_id", "_s_key", "_s_begin")).alias("_s_first")))
+    first = cut(here.groupBy("_s_hash").agg(F.min(F.struct("_s_id", "_s_key", "_s_begin")).alias("_s_first")), narrow=True)
     later = here.join(first, "_s_hash").where(F.struct("_s_id", "_s_key", "_s_begin") != F.col("_s_first"))
     own = later.groupBy("_s_id", "_s_key").agg(F.collect_list("_s_begin").alias("_s_begins"), F.collect_list("_s_end").alias("_s_ends"))
     others = [c for c in docs.columns if c != text]
