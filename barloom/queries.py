@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import market_queries
 from .factors import library, registry
 from .sources import adapters
 
@@ -32,3 +33,5 @@ for _family in CLASSIC:
 for _family in ("alpha101", "gtja191", "alpha101_variants"):
     for _k, _own in enumerate(library.batches(_family)):
         _add_factors(f"factors_{_family}_{_k + 1:02d}", _own)
+for _name, _query in market_queries.QUERIES.items():
+    add(_name, _query, market_queries.ORACLES.get(_name))
