@@ -34,8 +34,6 @@ SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 NEAR = 8
 SUPPORT = 3
 GENERALISE, REMOVE = 0.75, 0.9
-#: Up to so many terms are looked for as a broadcast table; beyond, all terms are counted and joined.
-BROADCAST = 20_000
 TERM = r"[\p{L}\p{N}_]{3,}"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "general": "[TERM]"}
 
@@ -105,12 +103,10 @@ def telling_terms(found: DataFrame, docs_words: DataFrame, total: int) -> DataFr
     around = pairs.select("_p_entity", "_p_term", "_p_around").distinct().groupBy("_p_entity", "_p_term").agg(F.count("*").alias("_p_places")).where(F.col("_p_places") >= SUPPORT)
     together = pairs.select("_p_key", "_p_entity", "_p_term").distinct().groupBy("_p_entity", "_p_term").agg(F.count("*").alias("_p_both"))
     with_entity = entities.select("_p_key", "_p_entity").distinct().groupBy("_p_entity").agg(F.count("*").alias("_p_docs"))
-    likely = cut(around.join(together, ["_p_entity", "_p_term"]).join(with_entity, "_p_entity"))
+    likely = cut(around.join(together, ["_p_entity", "_p_term"]).join(with_entity, "_p_entity"), narrow=True)
     if likely.isEmpty():
         return likely.select("_p_entity", "_p_term", F.lit(0.0).alias("_p_disclosure"))
-    wanted = cut(likely.select("_p_term").distinct())
-    few = wanted.count() <= BROADCAST
-    with_term = (docs_words.join(F.broadcast(wanted), "_p_term", "left_semi") if few else docs_words).groupBy("_p_term").agg(F.count("*").alias("_p_held"))
+    with_term = docs_words.groupBy("_p_term").agg(F.count("*").alias("_p_held"))
     pmi = F.log2(F.col("_p_both") * F.lit(float(total)) / (F.col("_p_docs") * F.col("_p_held")))
     told = likely.join(with_term, "_p_term").withColumn("_p_disclosure", pmi / F.log2(F.lit(float(total)) / F.col("_p_docs")))
     return told.where((F.col("_p_docs") < total) & (F.col("_p_disclosure") >= GENERALISE)).select("_p_entity", "_p_term", "_p_disclosure")
@@ -128,7 +124,7 @@ def protect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     found = cut(rows.where(F.size("_p_base") > 0).select("_p_key", "_p_text", "_p_base").dropDuplicates(["_p_key"]))
     total = max(2, docs.count())
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0)))).alias("_p_term"))
-    told = cut(telling_terms(found, words, total))
+    told = cut(telling_terms(found, words, total), narrow=True)
     none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int, value: string>>)")
     entities = found.select("_p_key", F.explode("_p_base").alias("_p_span")).select("_p_key", F.concat_ws(":", "_p_span.kind", "_p_span.value").alias("_p_entity")).distinct()
     terms = entities.join(told, "_p_entity").groupBy("_p_key", "_p_term").agg(F.max("_p_disclosure").alias("_p_disclosure"))
