@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market_queries
+from . import market_queries, model_queries
 from .factors import library, registry
 from .sources import adapters
 
@@ -35,3 +35,5 @@ for _family in ("alpha101", "gtja191", "alpha101_variants"):
         _add_factors(f"factors_{_family}_{_k + 1:02d}", _own)
 for _name, _query in market_queries.QUERIES.items():
     add(_name, _query, market_queries.ORACLES.get(_name))
+for _name, _query in model_queries.QUERIES.items():
+    add(_name, _query, model_queries.ORACLES.get(_name))
