@@ -188,17 +188,48 @@ def judged(spark, d):
     return rows.withColumn("daily_score", indicators.score()).withColumn("verdict", indicators.verdict(F.col("daily_score")))
 
 
-@query("triggers")
+INDICATED = "SELECT b.*, i.* EXCLUDE (code, date) FROM bars b JOIN (" + as_sql("SELECT * FROM bars", indicators.indicators(), rounded=False) + ") i USING (code, date)"
+LAGGED = "SELECT *, " + ", ".join(f"lag({c}) OVER w AS p_{c}" for c in ("ma5", "ma20", "dif", "dea", "hist", "k", "d", "close", "lower", "upper")) + ", lag(hist, 2) OVER w AS p2, lag(hist, 3) OVER w AS p3 FROM indicated WINDOW w AS (PARTITION BY code ORDER BY date)"
+RULES = {
+    "ma_golden_cross": "p_ma5 <= p_ma20 AND ma5 > ma20", "ma_dead_cross": "p_ma5 >= p_ma20 AND ma5 < ma20", "ma_bull_alignment": "ma5 > ma10 AND ma10 > ma20 AND ma20 > ma60", "ma_bear_alignment": "ma5 < ma10 AND ma10 < ma20 AND ma20 < ma60",
+    "macd_golden_above": "p_dif <= p_dea AND dif > dea AND dif > 0", "macd_golden_below": "p_dif <= p_dea AND dif > dea AND dif <= 0", "macd_dead": "p_dif >= p_dea AND dif < dea",
+    "hist_expanding_up": "hist > 0 AND hist > p_hist AND p_hist > p2 AND p3 IS NOT NULL", "hist_expanding_down": "hist < 0 AND hist < p_hist AND p_hist < p2 AND p3 IS NOT NULL",
+    "kdj_golden_oversold": "p_k <= p_d AND k > d AND j < 20", "kdj_dead_overbought": "p_k >= p_d AND k < d AND j > 80", "rsi_oversold": "rsi6 < 20", "rsi_overbought": "rsi6 > 80",
+    "boll_lower_reentry": "p_close < p_lower AND close >= lower", "boll_upper_reentry": "NOT coalesce(p_close < p_lower AND close >= lower, false) AND p_close > p_upper AND close <= upper",
+    "volume_up": "volume_ratio > 1.5 AND close > open", "volume_down": "volume_ratio > 1.5 AND close < open",
+}
+JUDGED = f"""SELECT code, date, close, types, daily_score, CASE WHEN daily_score >= 6 THEN 'strong_buy' WHEN daily_score >= 2 THEN 'buy' WHEN daily_score <= -6 THEN 'strong_sell' WHEN daily_score <= -2 THEN 'sell' ELSE 'neutral' END AS verdict FROM (
+  SELECT code, date, close, concat_ws(',', {", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in RULES.items())}) AS types,
+         greatest(least({" + ".join(f"CASE WHEN {rule} THEN {indicators.TRIGGERS[name][0] * indicators.TRIGGERS[name][1]} ELSE 0 END" for name, rule in RULES.items())}, 10), -10) AS daily_score FROM lagged)"""
+JUDGING = {"indicated": INDICATED, "lagged": LAGGED, "judged": JUDGED}
+
+
+@query("triggers", "SELECT code, date, types, daily_score, verdict FROM judged", **JUDGING)
 def triggers(spark, d):
     return judged(spark, d).select("code", "date", F.array_join(F.transform("triggers", lambda t: t["type"]), ",").alias("types"), "daily_score", "verdict")
 
 
-@query("hit_rates")
+DIRECTION = "CASE " + " ".join(f"WHEN type = '{n}' THEN {d}" for n, (d, _) in indicators.TRIGGERS.items()) + " END"
+
+
+@query(
+    "hit_rates",
+    f"""SELECT type, horizon, count(*) AS n, round(avg(fwd) * 100, 6) AS mean_pct, round(avg(CASE WHEN {DIRECTION} * fwd > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM (
+         SELECT unnest(string_split(types, ',')) AS type, horizon, fwd FROM (
+           SELECT types, 5 AS horizon, lead(close, 5) OVER (PARTITION BY code ORDER BY date) / nullif(close, 0) - 1 AS fwd FROM judged UNION ALL
+           SELECT types, 10, lead(close, 10) OVER (PARTITION BY code ORDER BY date) / nullif(close, 0) - 1 FROM judged) WHERE fwd IS NOT NULL AND types <> '') GROUP BY type, horizon""",
+    **JUDGING,
+)
 def hit_rates(spark, d):
     return indicators.hit_rates(judged(spark, d)).select("type", "horizon", "n", *r6("mean_pct", "win_rate"))
 
 
-@query("verdict_buckets")
+@query(
+    "verdict_buckets",
+    """SELECT verdict, coalesce(n, 0) AS n, mean_pct FROM (SELECT unnest(['strong_buy', 'buy', 'neutral', 'sell', 'strong_sell']) AS verdict) LEFT JOIN (
+         SELECT verdict, count(*) AS n, round(avg(fwd) * 100, 6) AS mean_pct FROM (SELECT verdict, lead(close, 5) OVER (PARTITION BY code ORDER BY date) / nullif(close, 0) - 1 AS fwd FROM judged) WHERE fwd IS NOT NULL GROUP BY verdict) USING (verdict)""",
+    **JUDGING,
+)
 def verdict_buckets(spark, d):
     return indicators.verdict_buckets(judged(spark, d)).select("verdict", "n", *r6("mean_pct"))
 

@@ -94,8 +94,8 @@ def quantile_verdict(value: Column, best: Column, good: Column, poor: Column, wo
 def hit_rates(rows: DataFrame, horizons: tuple[int, ...] = (5, 10)) -> DataFrame:
     """type, horizon, n, mean forward return in percent and the share that went the trigger's way."""
     along = Window.partitionBy("code").orderBy("date")
-    ahead = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), (F.try_divide(F.lead("close", h).over(along), F.col("close")) - 1).alias("fwd")) for h in horizons)))
-    each = rows.withColumn("ahead", ahead).select(F.explode("triggers").alias("t"), "ahead.*").where("fwd is not null")
+    ahead = F.array(*(F.struct(F.lit(h).alias("horizon"), (F.try_divide(F.lead("close", h).over(along), F.col("close")) - 1).alias("fwd")) for h in horizons))
+    each = rows.withColumn("ahead", ahead).select(F.explode("triggers").alias("t"), "ahead").select("t", F.inline("ahead")).where("fwd is not null")
     won = F.avg(F.when(F.col("t.direction") * F.col("fwd") > 0, 1.0).otherwise(0.0))
     return each.groupBy(F.col("t.type").alias("type"), "horizon").agg(F.count("*").alias("n"), (F.avg("fwd") * 100).alias("mean_pct"), won.alias("win_rate"))
 
