@@ -417,3 +417,75 @@ def stream_weekly_volume(spark, d):
     return spark.read.parquet(f"{out}/rows").select("code", F.to_date("w.start").alias("date"), "volume")
 
 
+
+
+# verdicts by quantiles, experiments, reshaping, results as text
+
+
+@query(
+    "quantile_verdicts",
+    """SELECT code, date, CASE WHEN score IS NULL THEN 'neutral' WHEN score >= a THEN 'strong_buy' WHEN score <= e THEN 'strong_sell' WHEN score >= b THEN 'buy' WHEN score <= c THEN 'sell' ELSE 'neutral' END AS verdict
+       FROM scores, (SELECT quantile_cont(score, 0.9) AS a, quantile_cont(score, 0.7) AS b, quantile_cont(score, 0.3) AS c, quantile_cont(score, 0.1) AS e FROM scores WHERE date < DATE '2000-01-03')""",
+    scores=SCORES,
+)
+def quantile_verdicts(spark, d):
+    own = scores(spark, d)
+    cuts = own.where("date < '2000-01-03'").agg(F.percentile("score", F.array(*map(F.lit, (0.9, 0.7, 0.3, 0.1)))).alias("q"))
+    best, good, poor, worst = (F.col("q")[k] for k in range(4))
+    return own.crossJoin(F.broadcast(cuts)).select("code", "date", indicators.quantile_verdict(F.col("score"), best, good, poor, worst).alias("verdict"))
+
+
+RETURNS = "SELECT date, avg(r) FILTER (code LIKE '600%') AS a, avg(r) FILTER (code LIKE '300%') AS b FROM (SELECT code, date, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS r FROM panel) GROUP BY date"
+
+
+def arm_returns(spark, d):
+    along = Window.partitionBy("code").orderBy("date")
+    own = src.panel(spark, d).withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(along)) - 1)
+    return own.groupBy("date").agg(*(F.avg(F.when(F.col("code").startswith(p), F.col("r"))).alias(n) for n, p in (("a", "600"), ("b", "300"))))
+
+
+@query(
+    "subperiod_deltas",
+    """SELECT part, n, round(CASE WHEN sb > 1e-12 THEN mb / sb * sqrt(252) ELSE 0 END - CASE WHEN sa > 1e-12 THEN ma / sa * sqrt(252) ELSE 0 END, 6) AS diff FROM (
+         SELECT part, count(*) AS n, avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM (
+           SELECT a, b, ((row_number() OVER (ORDER BY date) - 1) * 3) // count(*) OVER () AS part FROM arms WHERE a IS NOT NULL AND b IS NOT NULL) GROUP BY part)""",
+    arms=RETURNS,
+)
+def subperiod_deltas(spark, d):
+    return simulate.subperiods(arm_returns(spark, d)).select("part", "n", *r6("diff"))
+
+
+@query("bootstrap_deltas")
+def bootstrap_deltas(spark, d):
+    return simulate.bootstrap_sharpe(arm_returns(spark, d), 500).select("draw", *r6("diff"))
+
+
+@query("facts_wide", "SELECT stat_date, " + ", ".join(f"max(roe) FILTER (k = {k}) AS c{k}" for k in range(4)) + " FROM (SELECT *, CAST(substr(code, 4) AS INTEGER) AS k FROM facts) GROUP BY stat_date", facts=FACTS)
+def facts_wide(spark, d):
+    own = fundamentals.derived(facts(spark, d)).select("stat_date", F.concat(F.lit("c"), F.substring("code", 4, 9).cast("int").cast("string")).alias("k"), "roe")
+    return own.groupBy("stat_date").pivot("k", [f"c{k}" for k in range(4)]).agg(F.max("roe"))
+
+
+@query("results_as_json")
+def results_as_json(spark, d):
+    from .sources import store
+
+    return store.as_json(analysis.summary(analysis.daily_ic(labelled(spark, d), FACTORS)).orderBy("factor"))
+
+
+@query(
+    "index_verdicts",
+    "SELECT date, CASE WHEN close > sma AND sma > was THEN 'up' WHEN close < sma AND sma < was THEN 'down' ELSE 'flat' END AS verdict FROM (SELECT date, close, sma, lag(sma, 3) OVER (ORDER BY date) AS was FROM (SELECT date, close, CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END AS sma FROM idx WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)))",
+    idx="SELECT date, round(avg(close), 4) AS close FROM bars GROUP BY date",
+)
+def index_verdicts(spark, d):
+    found = analysis.regimes(src.bars(spark, d).groupBy("date").agg(F.round(F.avg("close"), 4).alias("close")), 20, 3)
+    return found.select("date", F.when(F.col("regime") == "bull", "up").when(F.col("regime") == "bear", "down").otherwise("flat").alias("verdict"))
+
+
+@query("fetch_plan", "SELECT code, CASE WHEN last IS NOT NULL THEN CAST(last + 1 AS DATE) END AS since FROM (SELECT code FROM industries) LEFT JOIN (SELECT code, max(date) AS last FROM bars WHERE code NOT LIKE '830%' AND date < DATE '2001-01-01' GROUP BY code) USING (code)")
+def fetch_plan(spark, d):
+    from .sources import store
+
+    stored = src.bars(spark, d).where("code not like '830%' and date < '2001-01-01'")
+    return store.to_fetch(src.industries(spark, d), stored, "2001-08-01")

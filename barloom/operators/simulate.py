@@ -186,3 +186,38 @@ def equal_weight_baseline(panel: DataFrame) -> DataFrame:
     along = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     own = panel.select("date", F.try_divide(F.last("close", ignorenulls=True).over(along), F.first("close", ignorenulls=True).over(along)).alias("x"))
     return own.groupBy("date").agg(F.avg("x").alias("equity"))
+
+
+def bootstrap_sharpe(pairs: DataFrame, draws: int = 2000, seed: int = 42, per_year: float = 252.0) -> DataFrame:
+    """draw, diff: the difference of two Sharpe ratios on circular blocks drawn from paired returns (date, a, b).
+
+    The paired curve is a row a day and goes to every task; the draws are dealt out, each from a generator of its own.
+    """
+    days = pairs.dropna().orderBy("date").select("a", "b").toPandas().to_numpy()  # a row a trading day
+    n = len(days)
+    block = max(1, round(n**0.5))
+
+    def sharpe(x: np.ndarray) -> np.ndarray:
+        sd = x.std(axis=0, ddof=1)
+        return np.where(sd > 1e-12, x.mean(axis=0) / np.maximum(sd, 1e-12) * per_year**0.5, 0.0)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for draw in batch["id"]:
+                starts = np.random.default_rng([seed, int(draw)]).integers(0, n, -(-n // block))
+                rows = (starts[:, None] + np.arange(block)).ravel()[:n] % n
+                a, b = sharpe(days[rows])
+                out.append((draw, b - a))
+            yield pd.DataFrame(out, columns=["draw", "diff"])
+
+    spark = pairs.sparkSession
+    return (spark.range(draws) if n > 2 else spark.range(0)).mapInPandas(run, "draw long, diff double")
+
+
+def subperiods(pairs: DataFrame, parts: int = 3, per_year: float = 252.0) -> DataFrame:
+    """part, n, diff: the difference of the two Sharpe ratios in equal parts of the days."""
+    nth = F.row_number().over(Window.orderBy("date")) - 1
+    own = pairs.dropna().withColumns({"nth": nth, "n": F.count("*").over(Window.partitionBy())}).withColumn("part", F.floor(F.col("nth") * parts / F.col("n")))
+    sharpe = lambda c: F.when(F.stddev_samp(c) > 1e-12, F.avg(c) / F.stddev_samp(c) * per_year**0.5).otherwise(0.0)
+    return own.groupBy("part").agg(F.count("*").alias("n"), (sharpe("b") - sharpe("a")).alias("diff"))
