@@ -198,7 +198,8 @@ def ewm_half_std(x, h: float) -> Expression:
     rows = f"list(struct_pack(w := {w}, x := {{0}})) FILTER ({{0}} IS NOT NULL) {over}"
     biased = f"list_sum(list_transform({rows}, lambda v: v.w * pow(v.x - {m}, 2))) / {sw}"
     sql = f"CASE WHEN count({{0}}) {over} > 1 THEN sqrt({biased} / (1 - {sw2} / pow({sw}, 2))) END"
-    return recursion(f"ewm_half_std_{h!r}", sql, lambda s, _: s.ewm(halflife=h).std(), x, _nth())
+    spread = recursion(f"ewm_half_std_{h!r}", sql, lambda s, _: s.ewm(halflife=h).std(), x, _nth())
+    return element("CASE WHEN {0} < 1e-9 THEN CAST(0 AS DOUBLE) ELSE {0} END", spread)
 
 
 def where(condition: Expression, x, y) -> Expression:
