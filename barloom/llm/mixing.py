@@ -42,7 +42,8 @@ def words_in(text: str = "text") -> Column:
 def size_class(size: Column) -> Column:
     """Four classes between powers of two, from the first three binary digits."""
     digits = F.length(F.bin(size))
-    return F.when(size < 4, size.cast("int")).otherwise(digits * 4 + F.expr("cast(_m_size / pow(2, length(bin(_m_size)) - 3) as int) & 3"))
+    found = F.when(size < 4, size.cast("int")).otherwise(digits * 4 + F.expr("cast(_m_size / pow(2, length(bin(_m_size)) - 3) as int) & 3"))
+    return F.coalesce(found, F.lit(0))  # never null, or the join's check for nulls would count the words of each text five times more
 
 
 def level_targets(sources: DataFrame) -> DataFrame:
