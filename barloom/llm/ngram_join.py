@@ -157,14 +157,14 @@ def common_counts(owner: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
     return counts
 
 
-def linked(sets: list[np.ndarray], block: np.ndarray, least: float = LEAST) -> np.ndarray:
-    """Which pairs reach the threshold: of one block's members all, of two blocks' those across."""
+def linked(sets: list[np.ndarray], block: np.ndarray, across: bool, least: float = LEAST) -> np.ndarray:
+    """Which pairs reach the threshold: of one block's members all; of two blocks' (across) those across, none if one is empty."""
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
     common = common_counts(np.repeat(np.arange(len(sets)), sizes.astype(np.int64)), np.concatenate(sets), len(sets))
     links = common >= least * (sizes[:, None] + sizes[None, :] - common) - 1e-6
     links &= common > 0
     np.fill_diagonal(links, False)
-    if block.any():
+    if across:
         links &= block[:, None] != block[None, :]
     return links
 
@@ -173,7 +173,8 @@ def _verified(least: float):
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in contiguous(batches, ["_g_root", "_g_left", "_g_right"]):
             piece = piece.drop_duplicates("_g_class").sort_values("_g_class")
-            links = linked([np.asarray(g) for g in piece["_g_grams"]], piece["_g_second"].to_numpy().astype(np.int64), least)
+            across = piece["_g_left"].iloc[0] != piece["_g_right"].iloc[0]
+            links = linked([np.asarray(g) for g in piece["_g_grams"]], piece["_g_second"].to_numpy().astype(np.int64), across, least)
             names, root = piece["_g_class"].to_numpy(), np.arange(len(piece))
             while True:  # the least member over links: a member takes the least of its neighbours' until none changes
                 near = np.where(links, root[None, :], len(root)).min(axis=1, initial=len(root))
@@ -188,12 +189,22 @@ def _verified(least: float):
 
 
 def size_class(n: Column) -> Column:
-    """Four classes between powers of two; sets of classes more than two apart can't reach a Jaccard of 0.8."""
+    """Four classes between powers of two, one a number below 4."""
     digits = F.length(F.bin(n))
-    return F.when(n < 4, n.cast("int")).otherwise(digits * 4 + (F.floor(n / F.pow(F.lit(2.0), digits - 3)) % 4).cast("int"))
+    return F.when(n < 4, n.cast("int") + 8).otherwise(digits * 4 + (F.floor(n / F.pow(F.lit(2.0), digits - 3)) % 4).cast("int"))
 
 
-def _items(members: DataFrame) -> DataFrame:
+def class_distance(least: float) -> int:
+    """How many classes the sizes of two sets may be apart that reach the Jaccard threshold; 2 for 0.8."""
+
+    def of(n: int) -> int:
+        digits = n.bit_length()
+        return n + 8 if n < 4 else digits * 4 + (n >> (digits - 3)) % 4
+
+    return max(of(n) - of(max(1, math.ceil(least * n - 1e-6))) for n in [*range(1, 257), *((4 + q) << k for q in range(4) for k in range(6, 30))])
+
+
+def _items(members: DataFrame, least: float = LEAST) -> DataFrame:
     """members (root, class, n) with _g_items: the pieces of work of each, as (left block, right block, is it of the right one)."""
     sized = members.withColumn("_g_size", size_class(F.col("_g_n")))
     blocks = F.greatest(F.ceil(F.sum("_g_n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int")
@@ -203,7 +214,8 @@ def _items(members: DataFrame) -> DataFrame:
     found = sized.join(by_root, "_g_root")
     name = lambda size, part: (size.cast("long") * F.lit(1 << 32) + part).cast("long")
     own = name(F.col("_g_size"), F.pmod(F.xxhash64("_g_class"), F.element_at("_g_parts", F.col("_g_size"))))
-    near = F.filter(F.array(*((F.col("_g_size") + d) for d in range(-2, 3))), lambda s: F.map_contains_key("_g_parts", s))
+    far = class_distance(least)
+    near = F.filter(F.array(*((F.col("_g_size") + d) for d in range(-far, far + 1))), lambda s: F.map_contains_key("_g_parts", s))
     near = F.flatten(F.transform(near, lambda s: F.transform(F.sequence(F.lit(0), F.element_at("_g_parts", s) - 1), lambda q: name(s, q))))
     found = found.withColumn("_g_own", own)
     pieces = F.transform(near, lambda o: F.struct(F.least(F.col("_g_own"), o).alias("_g_left"), F.greatest(F.col("_g_own"), o).alias("_g_right"), (F.col("_g_own") > o).alias("_g_second")))
@@ -229,7 +241,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     buckets = cut(banded.groupBy("_g_band", "_g_hash").agg(F.min("_g_class").alias("_g_lead"), F.count("*").alias("_g_count")).where("_g_count > 1").drop("_g_count"), narrow=True)
     roots = components(banded.join(buckets, ["_g_band", "_g_hash"]), "_g_class", "_g_lead").select(F.col("node").alias("_g_class"), F.col("root").alias("_g_root"))
     members = cut(classes.select("_g_class", "_g_n", F.col("_g_first._g_id").alias("_g_id"), F.col("_g_first._g_none").alias("_g_none"), F.col("_g_first._g_text").alias("_g_text")).join(roots, "_g_class"), narrow=True)
-    wanted = members.join(_items(members.select("_g_root", "_g_class", "_g_n")), "_g_class")
+    wanted = members.join(_items(members.select("_g_root", "_g_class", "_g_n"), least), "_g_class")
     texts = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long").alias("_g_id"), F.col(doc_id).isNull().alias("_g_none"), F.xxhash64(text_of(text)).alias("_g_text"), text_of(text).alias("_g_whole"))
     texts = texts.join(wanted, ["_g_id", "_g_none", "_g_text"]).select("_g_class", "_g_items", word_hashes("_g_whole").alias("_g_words"))
     item = "struct<root: long, items: array<struct<_g_left: long, _g_right: long, _g_second: boolean>>>"

@@ -47,6 +47,22 @@ def test_large_group_in_blocks(spark, monkeypatch, most):
     assert found == brute.near([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_empty_blocks(spark, monkeypatch, least):
+    monkeypatch.setattr(op, "BLOCK_GRAMS", 100)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(160)]
+    texts = variants(9) + variants(9, 2) + [" ".join(base[: rng.randrange(90, 161)]) for _ in range(12)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    found = op.near_groups(spark.createDataFrame(rows, SCHEMA), least=least).collect()
+    assert {r._g_id: (r.class_id, r.n_copies, r.n_links, r.group_id, r.kept) for r in found} == brute.near([r[:2] for r in rows], least)
+
+
+def test_distance_of_size_classes():
+    assert op.class_distance(0.8) == 2
+    assert op.class_distance(0.5) == 4
+
+
 def test_edges(spark):
     long = " ".join(f"w{k % 977}" for k in range(50_000))
     rows = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "one  two"), (6, "one two three"), (None, "a b c d e f g"), (8, "a b c d e f g"), (9, long), (10, long + " end")]
