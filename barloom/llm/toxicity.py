@@ -1,7 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier with numpy weights is trained from two bounded samples of the training folds: confirmed toxic
-documents, and text whose labels are not looked at. The risk is the class-prior-corrected one,
+Features are chosen by their document counts over all documents of the training folds, confirmed ones and all, summed
+up in each task before one shuffle. Only the gradient fit of a linear classifier with numpy weights takes bounded
+samples, both of labelled rows: confirmed toxic documents, and documents whose labels are not looked at. The risk is
+the class-prior-corrected one,
 
     prior * E_P[loss(z, 1)] + max(0, E_U[loss(z, 0)] - prior * E_P[loss(z, 0)]),
 
@@ -28,12 +30,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_of, text_of
+from .common import cut, share_of, text_of
 from .learning import Adam, bounded_sample, sigmoid
 
-#: Documents that the classifier is fitted on, at most about.
-POSITIVES = 3000
-UNLABELLED = 6000
+#: Labelled documents that the classifier is fitted on, at most about.
+POSITIVES = 4000
+UNLABELLED = 8000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Hash buckets of the features, the confirmed documents that a bucket needs, and how many buckets are fitted.
@@ -58,36 +60,75 @@ def features(text: str) -> np.ndarray:
     return np.fromiter((f for word in set(WORD.findall(text.lower())) for f in word_features(word)), dtype=np.int32)
 
 
-def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(bucket, documents, confirmed documents) of a task's rows; bucket -1 stands for every document."""
+    have, known = np.zeros((2, BUCKETS), dtype=np.int64), {}
+    totals = [0, 0]
     for batch in batches:
-        yield pd.DataFrame({"positive": batch["positive"], "features": [np.sort(features(t)).tobytes() for t in batch["text"]]})
-
-
-def flat(rows: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The selected features of the rows in one array, and the row of each."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = index[np.concatenate([np.zeros(0, dtype=np.int32), *rows])]
-    return owner[column >= 0], column[column >= 0]
-
-
-def selected(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The buckets whose share of the confirmed documents differs most surely from their share of the rest."""
-    have = [np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=BUCKETS) for rows in (positive, unlabelled)]
-    p, u = have[0] / len(positive), have[1] / len(unlabelled)
-    both = (have[0] + have[1]) / (len(positive) + len(unlabelled))
-    sure = (p - u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
-    sure[have[0] < SUPPORT] = 0
-    best = np.argsort(-np.abs(sure), kind="stable")[:SELECTED]
-    return np.sort(best[np.abs(sure[best]) > 3])
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature buckets, weights, bias) by minimising the non-negative risk."""
+        for text, positive in zip(batch["text"], batch["positive"], strict=True):
+            found: set[int] = set()
+            for word in set(WORD.findall(text.lower())):
+                own = known.get(word)
+                if own is None:
+                    own = known[word] = word_features(word)
+                found.update(own)
+            own = np.fromiter(found, dtype=np.int64, count=len(found))
+            have[0, own] += 1
+            totals[0] += 1
+            if positive:
+                have[1, own] += 1
+                totals[1] += 1
+        if len(known) > 300_000:
+            known.clear()
+    at = np.flatnonzero(have[0])
+    for begin in range(0, len(at), 100_000):
+        part = at[begin : begin + 100_000]
+        yield pd.DataFrame({"bucket": part, "documents": have[0, part], "confirmed": have[1, part]})
+    yield pd.DataFrame({"bucket": [-1], "documents": totals[:1], "confirmed": totals[1:]})
+
+
+def selected(rows: DataFrame, toxic: DataFrame) -> np.ndarray:
+    """The buckets whose share of the confirmed documents differs most surely from their share of all, counted over all rows.
+
+    toxic: the ids of the confirmed ones, a few bytes a label.
+    """
+    marked = rows.join(F.broadcast(toxic.select("doc_id", F.lit(True).alias("positive"))), "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
+    counts = marked.mapInPandas(counted, "bucket long, documents long, confirmed long").groupBy("bucket").agg(F.sum("documents").alias("documents"), F.sum("confirmed").alias("confirmed"))
+    counts = cut(counts.where(F.col("confirmed") >= SUPPORT), narrow=True)
+    total = counts.where("bucket = -1").first()
+    if total is None:
+        return np.zeros(0, dtype=np.int64)
+    every, own = float(total.documents), float(total.confirmed)
+    p, u, both = F.col("confirmed") / own, F.col("documents") / every, (F.col("confirmed") + F.col("documents")) / (own + every)
+    sure = F.abs((p - u) / F.sqrt(both * (1 - both) * (1 / own + 1 / every) + 1e-12))
+    best = counts.where("bucket >= 0").withColumn("sure", sure).where("sure > 3").orderBy(F.desc("sure"), "bucket").limit(SELECTED)
+    return np.sort(np.array([r.bucket for r in best.select("bucket").collect()], dtype=np.int64))
+
+
+def featured(kept: np.ndarray):
+    """Each text as the places of its features in kept, one for each word that has it."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                own = np.sort(features(text)).astype(np.int64)
+                at = np.minimum(np.searchsorted(kept, own), max(0, len(kept) - 1))
+                out.append((at[kept[at] == own] if len(kept) else at[:0]).astype(np.int32).tobytes())
+            yield pd.DataFrame({"positive": batch["positive"], "features": out})
+
+    return places
+
+
+def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the rows in one array, and the row of each."""
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.zeros(0, dtype=np.int32), *rows])
+
+
+def fit(kept: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature buckets, weights, bias) by minimising the non-negative risk; the rows hold places in kept."""
     if not positive or not unlabelled:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -60.0
-    kept = selected(positive, unlabelled)
-    index = np.full(BUCKETS, -1, dtype=np.int32)
-    index[kept] = np.arange(len(kept))
     w, rng, n = np.zeros(len(kept) + 1), np.random.default_rng(seed), len(kept)
     w[n] = np.log(prior / (1 - prior))
     adam = Adam(n + 1, RATE)
@@ -95,7 +136,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     for _ in range(EPOCHS):
         orders = [np.array_split(rng.permutation(len(rows)), steps) for rows in (positive, unlabelled)]
         for own, other in zip(*orders, strict=True):
-            parts = [flat([rows[k] for k in chosen], index) for rows, chosen in ((positive, own), (unlabelled, other))]
+            parts = [flat([rows[k] for k in chosen]) for rows, chosen in ((positive, own), (unlabelled, other))]
             sizes = [max(1, len(own)), max(1, len(other))]
             (zp, zu) = (np.bincount(o, weights=w[c], minlength=s)[:s] + w[n] for (o, c), s in zip(parts, sizes, strict=True))
             p, u = sigmoid(zp), sigmoid(zu)
@@ -147,14 +188,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     prior = own.agg(F.avg("toxic")).first()[0]
     if not prior:
         return scorer(docs.sparkSession, np.zeros(0, dtype=np.int64), np.zeros(0), -60.0)
-    toxic = bounded_sample(own.where("toxic = 1").select("doc_id").distinct(), "doc_id", positives, "toxic")
+    toxic = own.where("toxic = 1").select("doc_id").distinct()
     rows = docs.where(share_of("doc_id", FOLDS) != HELD_OUT).select("doc_id", text_of().alias("text"))
-    plain = bounded_sample(rows, "doc_id", unlabelled, "unlabelled").select("text", F.lit(False).alias("positive"))
-    found = rows.join(F.broadcast(toxic), "doc_id").select("text", F.lit(True).alias("positive")).unionByName(plain)
-    found = found.mapInPandas(featured, "positive boolean, features binary").toPandas()
+    kept = selected(rows, toxic)
+    plain = bounded_sample(own.select("doc_id").distinct(), "doc_id", unlabelled, "unlabelled").withColumn("positive", F.lit(False))
+    chosen = bounded_sample(toxic, "doc_id", positives, "toxic").withColumn("positive", F.lit(True)).unionByName(plain)
+    found = rows.join(F.broadcast(chosen), "doc_id").select("text", "positive")
+    found = found.mapInPandas(featured(kept), "positive boolean, features binary").toPandas()
     own = sorted(zip(found["features"], found["positive"], strict=True))  # the fit does not depend on the order of arrival
     sets = [[np.frombuffer(f, dtype=np.int32) for f, positive in own if positive == side] for side in (True, False)]
-    return scorer(docs.sparkSession, *fit(*sets, min(max(prior, 1e-4), 0.9)))
+    return scorer(docs.sparkSession, *fit(kept, *sets, min(max(prior, 1e-4), 0.9)))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

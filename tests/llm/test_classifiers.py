@@ -42,6 +42,19 @@ def test_edges(spark, op):
     assert len(op(docs, labels.limit(0)).collect()) == docs.count()
 
 
+def test_rare_toxic_words_are_counted_over_all_documents(spark, monkeypatch):
+    """A word in 12 of 2400 confirmed documents, which a fit on 40 documents of each kind can't see, is a feature."""
+    monkeypatch.setattr(toxicity, "SUPPORT", 5)
+    rows = [(k, f"awful words here{' rarebad' if k % 200 == 0 else ''}" if k < 2400 else "good words here") for k in range(9600)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    labels = spark.createDataFrame([(k, 0, int(k < 2400)) for k in range(0, 4800)], "doc_id long, quality int, toxic int")
+    fitted, real = {}, toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *args: fitted.setdefault("model", real(*args)))
+    toxicity.train(docs, labels, 40, 40)
+    assert toxicity.word_features("rarebad")[0] in fitted["model"][0]
+    assert toxicity.POSITIVES == 4000 and toxicity.UNLABELLED == 8000
+
+
 def test_forward_backward_against_all_labellings():
     rng = np.random.default_rng(1)
     odds, tie = [rng.normal(size=n) for n in (1, 4, 6, 2)], rng.normal(size=(2, 2))
