@@ -9,6 +9,12 @@ Only hashes are counted in the first pass, summed up before their shuffle; the s
 hashes that occur more than once, which AQE can split where one passage is in a third of all documents. No group of
 occurrences is ever gathered in a task. A document's own removals, at most its sentences, are one row for the last step.
 
+Passages that begin or end inside a sentence are found word by word: a word goes if it is in any run of PASSAGE words
+that stands earlier, in another document or in the same one. Each such run is known by an anchor, the least hash of its
+runs of ANCHOR words, so that equal runs have equal anchors. The first pass counts anchors (about one in 13 words);
+the second joins only the runs whose anchor is repeated. A bit map of fixed size tells those; its false hits only cost
+rows. The text of the spans keeps whole sentences, the cut text is without both.
+
 Edge cases: a null text stays null and has no sentences; texts of fewer sentences than a span have none; a text that
 repeats itself loses its later occurrences; rows repeated with one id and text are one document and change alike; a
 null id is later than any other; extra columns are kept, internal ones start with "_s_"; an empty table gives an empty
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +36,11 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 
 SENTENCES, WORDS, LONG = 3, 25, 40
+#: Words of a repeated passage at least, and of an anchor; a passage has PASSAGE - ANCHOR + 1 runs to take its anchor from.
+PASSAGE, ANCHOR = 50, 25
+#: Bits that tell repeated anchors.
+BITS = 1 << 26
+WORD = re.compile(r"\S+")
 #: What ends a sentence: white space after a full stop, question or exclamation mark, and line ends.
 BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 LAST_ID = (1 << 63) - 1
@@ -84,26 +96,173 @@ def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["_s_hash", "_s_count"])
 
 
-def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(BITS, dtype=bool)
+    for batch in batches:
+        bits[batch.column("_s_hash").to_numpy().view(np.uint64) % np.uint64(BITS)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+
+def bit_map(hashes: DataFrame):
+    """A broadcast bit map of fixed size; what it does not mark is not among the hashes."""
+    bits = np.zeros(BITS // 8, dtype=np.uint8)
+    for row in hashes.mapInArrow(_bits, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row.bits, dtype=np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def marked_in(bits, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes.view(np.uint64) % np.uint64(BITS)
+    marks = np.frombuffer(bits.value, dtype=np.uint8)[(bit >> np.uint64(3)).astype(np.int64)]
+    return (marks >> (np.uint64(7) - bit % np.uint64(8)).astype(np.uint8) & 1).astype(bool)
+
+
+def _occurrences(bits):
+    def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [spans(t) for t in batch.column("_s_text").to_pylist()]
+            if not found:
+                continue
+            h, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+            rows = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            likely = marked_in(bits, h)
+            h, begin, end, rows = h[likely], begin[likely], end[likely], rows[likely]
+            own = [batch.column(c).take(pa.array(rows)) for c in ("_s_id", "_s_key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(h), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["_s_id", "_s_key", "_s_hash", "_s_begin", "_s_end"])
+
+    return occurrences
+
+
+def run_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of ANCHOR words and of each of PASSAGE words."""
+    power = {n: np.uint64(pow(int(_B), n, 1 << 64)) for n in (*(1 << k for k in range(8)), ANCHOR, PASSAGE - ANCHOR)}
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * _M
+        return x ^ (x >> np.uint64(29))
+
+    n = len(words) - ANCHOR + 1
+    if n < 1:
+        return words[:0], words[:0]
+    out, twice, done = np.zeros(n, dtype=np.uint64), words, 0  # twice: runs of `size` words
+    for k in range(ANCHOR.bit_length()):
+        size = 1 << k
+        if ANCHOR & size:
+            out = out * power[size] + twice[done : done + n]
+            done += size
+        twice = twice[:-size] * power[size] + twice[size:] if len(twice) > size else twice
+    return mixed(out), mixed(out[: -(PASSAGE - ANCHOR)] * power[ANCHOR] + out[PASSAGE - ANCHOR :])
+
+
+def least_places(x: np.ndarray, size: int) -> np.ndarray:
+    """The place of the first least value in each window of size."""
+    place, have = np.arange(len(x)), 1
+    while have < size and len(x):
+        step = min(have, size - have)
+        place = np.where(x[step:] < x[:-step], place[step:], place[:-step])
+        x, have = np.minimum(x[step:], x[:-step]), have + step
+    return place
+
+
+def passages(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """(text, first word, hash, anchor's hash, anchor's place) of each run of PASSAGE words. known: hashes of words."""
+    flat: list[int] = []
+    ends = []
+    for text in texts:
+        for word in text.split():
+            h = known.get(word)
+            if h is None:
+                h = known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            flat.append(h)
+        ends.append(len(flat))
+    if len(known) > 300_000:
+        known.clear()
+    words, ends = np.array(flat, dtype=np.uint64), np.array(ends, dtype=np.int64)
+    short, whole = run_hashes(words)
+    begins = np.r_[0, ends[:-1]] if len(ends) else ends
+    owner = np.repeat(np.arange(len(ends)), ends - begins)
+    at = np.arange(len(whole))
+    at = at[owner[at] == owner[at + PASSAGE - 1]] if len(whole) else at
+    place = least_places(short, PASSAGE - ANCHOR + 1)[at] if len(at) else at
+    return owner[at], at - begins[owner[at]], whole[at], short[place] if len(at) else short[:0], place
+
+
+def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about a million bytes of text, or one longer text, so that a worker holds few words at a time."""
     for batch in batches:
-        found = [spans(t) for t in batch.column("_s_text").to_pylist()]
-        if not found:
-            continue
-        h, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
-        rows = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-        own = [batch.column(c).take(pa.array(rows)) for c in ("_s_id", "_s_key")]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(h), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["_s_id", "_s_key", "_s_hash", "_s_begin", "_s_end"])
+        at = np.cumsum([len(t) for t in batch.column("_s_text").to_pylist()]) >> 20
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+
+
+def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in portions(batches):
+        *_, anchor, place = passages(batch.column("_s_text").to_pylist(), known)
+        h, n = np.unique(anchor[np.unique(place, return_index=True)[1]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["_s_hash", "_s_count"])
+
+
+def _likely(bits):
+    """The runs of PASSAGE words whose anchor may be repeated: those in a row with one anchor as the first's place and all hashes."""
+
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in portions(batches):
+            owner, begin, whole, anchor, place = passages(batch.column("_s_text").to_pylist(), known)
+            own = marked_in(bits, anchor)
+            owner, begin, whole, place = owner[own], begin[own], whole[own], place[own]
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            rows = [batch.column(c).take(pa.array(owner[starts])) for c in ("_s_id", "_s_key")]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(whole)].astype(np.int32)), pa.array(whole.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(begin[starts].astype(np.int32)), lists], ["_s_id", "_s_key", "_s_place", "_s_hashes"])
+
+    return likely
+
+
+def later_passages(keyed: DataFrame) -> DataFrame:
+    """(_s_id, _s_key, _s_words): first words of the runs of PASSAGE words that stand earlier."""
+    counts = keyed.select("_s_text").mapInArrow(_anchors, "_s_hash long, _s_count long").groupBy("_s_hash").agg(F.sum("_s_count").alias("_s_count"))
+    repeated = cut(counts.where("_s_count > 1").select("_s_hash"), narrow=True)
+    runs = cut(keyed.mapInArrow(_likely(bit_map(repeated)), "_s_id long, _s_key long, _s_place int, _s_hashes array<long>"))
+    here = runs.select("_s_id", "_s_key", "_s_place", F.posexplode("_s_hashes").alias("_s_at", "_s_hash"))
+    here = here.select("_s_id", "_s_key", "_s_hash", (F.col("_s_place") + F.col("_s_at")).alias("_s_begin"))
+    place = F.struct("_s_id", "_s_key", "_s_begin")
+    first = here.groupBy("_s_hash").agg(F.min(place).alias("_s_first"), F.count("*").alias("_s_count")).where("_s_count > 1").drop("_s_count")
+    later = here.join(cut(first, narrow=True), "_s_hash").where(place != F.col("_s_first"))
+    return later.groupBy("_s_id", "_s_key").agg(F.collect_set("_s_begin").alias("_s_words"))
+
+
+def cut_text(text: str, gone: list[tuple[int, int]], begins: list[int]) -> tuple[str, int]:
+    """The text without the gone ranges and the runs of PASSAGE words that begin at begins, and how many words went."""
+    places = [m.start() for m in WORD.finditer(text)]
+    edge = np.zeros(len(places) + 1, dtype=np.int64)
+    np.add.at(edge, np.array(begins, dtype=np.int64), 1)
+    np.add.at(edge, np.array(begins, dtype=np.int64) + PASSAGE, -1)
+    for a, b in gone:
+        edge[bisect_left(places, a)] += 1
+        edge[bisect_left(places, b)] -= 1
+    out = np.cumsum(edge[:-1]) > 0
+    turns = np.flatnonzero(np.diff(np.concatenate([[True], out, [True]]).astype(np.int8)))  # words kept begin and end
+    places.append(len(text))
+    lead = text[: places[0]] if len(out) and not out[0] else ""
+    return (lead + "".join(text[places[a] : places[b]] for a, b in turns.reshape(-1, 2))).rstrip(), int(out.sum())
 
 
 def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, counts, gone = [], [], []
-        for text, begins, ends in zip(*(batch.column(c).to_pylist() for c in ("_s_text", "_s_begins", "_s_ends")), strict=True):
+        texts, counts, gone, cuts, words = [], [], [], [], []
+        for text, begins, ends, later in zip(*(batch.column(c).to_pylist() for c in ("_s_text", "_s_begins", "_s_ends", "_s_words")), strict=True):
             places = sentences(text or "")
             counts.append(len(places))
             if not begins:
                 texts.append(text)
                 gone.append(0)
+                own = cut_text(text, [], later) if later else (text, 0)
+                cuts.append(own[0])
+                words.append(own[1])
                 continue
             edge = np.zeros(len(places) + 1, dtype=np.int64)
             np.add.at(edge, np.array(begins), 1)
@@ -111,29 +270,37 @@ def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             covered = np.cumsum(edge[:-1]) > 0
             gone.append(int(covered.sum()))
             texts.append("".join(text[a:c] for (a, _, c), out in zip(places, covered, strict=True) if not out).rstrip())
+            own = cut_text(text, [(a, c) for (a, _, c), out in zip(places, covered, strict=True) if out], later or [])
+            cuts.append(own[0])
+            words.append(own[1])
         at = batch.schema.get_field_index("_s_text")
-        done = batch.set_column(at, "_s_text", pa.array(texts, pa.string())).drop_columns(["_s_begins", "_s_ends"])
+        done = batch.set_column(at, "_s_text", pa.array(texts, pa.string())).drop_columns(["_s_begins", "_s_ends", "_s_words"])
+        done = done.append_column("_s_cut", pa.array(cuts, pa.string())).append_column("_s_cut_words", pa.array(words, pa.int64()))
         yield done.append_column("_s_sentences", pa.array(counts, pa.int64())).append_column("_s_gone", pa.array(gone, pa.int64()))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with the text cleaned, and _s_sentences (how many it had) and _s_gone (how many were removed)."""
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: bool = False) -> DataFrame:
+    """docs with the text cleaned, and _s_sentences (how many it had) and _s_gone (how many were removed).
+
+    words: also _s_cut, the text without the words of repeated passages, too, and _s_cut_words (how many words went).
+    """
     keyed = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long").alias("_s_id"), F.xxhash64(F.col(doc_id).isNull(), text_of(text)).alias("_s_key"), text_of(text).alias("_s_text"))
     counts = keyed.select("_s_text").mapInArrow(_hashes, "_s_hash long, _s_count long").groupBy("_s_hash").agg(F.sum("_s_count").alias("_s_count"))
     repeated = cut(counts.where("_s_count > 1").select("_s_hash"), narrow=True)
-    here = keyed.mapInArrow(_occurrences, "_s_id long, _s_key long, _s_hash long, _s_begin int, _s_end int")
+    here = keyed.mapInArrow(_occurrences(bit_map(repeated)), "_s_id long, _s_key long, _s_hash long, _s_begin int, _s_end int")
     here = cut(here.join(repeated, "_s_hash"))
     first = cut(here.groupBy("_s_hash").agg(F.min(F.struct("_s_id", "_s_key", "_s_begin")).alias("_s_first")), narrow=True)
     later = here.join(first, "_s_hash").where(F.struct("_s_id", "_s_key", "_s_begin") != F.col("_s_first"))
     own = later.groupBy("_s_id", "_s_key").agg(F.collect_list("_s_begin").alias("_s_begins"), F.collect_list("_s_end").alias("_s_ends"))
+    own = own.join(later_passages(keyed), ["_s_id", "_s_key"], "full") if words else own.withColumn("_s_words", F.lit(None).cast("array<int>"))
     others = [c for c in docs.columns if c != text]
     marked = docs.withColumns({"_s_id": F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long"), "_s_key": F.xxhash64(F.col(doc_id).isNull(), text_of(text))})
-    marked = marked.join(own, ["_s_id", "_s_key"], "left").select(*others, F.col(text).alias("_s_text"), "_s_begins", "_s_ends")
+    marked = marked.join(own, ["_s_id", "_s_key"], "left").select(*others, F.col(text).alias("_s_text"), "_s_begins", "_s_ends", "_s_words")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
-    done = marked.mapInArrow(_removed, ", ".join([*kept, "_s_text string", "_s_sentences long", "_s_gone long"]))
-    return done.select(*(F.col("_s_text").alias(text) if c == text else c for c in docs.columns), "_s_sentences", "_s_gone")
+    done = marked.mapInArrow(_removed, ", ".join([*kept, "_s_text string", "_s_cut string", "_s_cut_words long", "_s_sentences long", "_s_gone long"]))
+    return done.select(*(F.col("_s_text").alias(text) if c == text else c for c in docs.columns), "_s_sentences", "_s_gone", *(["_s_cut_words", "_s_cut"] if words else []))
 
 
 def op5_rows(docs: DataFrame) -> DataFrame:
-    found = without_repeats(docs.select("doc_id", "text"))
-    return found.select("doc_id", F.col("_s_sentences").alias("n_sentences"), F.col("_s_gone").alias("n_removed"), (F.col("_s_gone") > 0).alias("changed"), "text")
+    found = without_repeats(docs.select("doc_id", "text"), words=True)
+    return found.select("doc_id", F.col("_s_sentences").alias("n_sentences"), F.col("_s_gone").alias("n_removed"), (F.col("_s_gone") > 0).alias("changed"), "text", F.col("_s_cut_words").alias("n_cut_words"), F.col("_s_cut").alias("cut_text"))

@@ -73,3 +73,53 @@ def test_repeated_rows_and_null_ids(spark):
     found = sorted((r.doc_id or 99, r._s_gone) for r in df.collect())
     assert found == [(1, 0), (1, 0), (2, 9), (99, 9)]
     assert df.columns == ["doc_id", "text", "source", "_s_sentences", "_s_gone"]
+
+
+def kept_words(rows: list[tuple], cleaned: dict) -> dict:
+    """The words that stay: not in a removed sentence, and in no run of PASSAGE words that stands earlier."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        words = (text or "").split()
+        gone = [False] * len(words)
+        for k in range(len(words) - op.PASSAGE + 1):
+            run = tuple(words[k : k + op.PASSAGE])
+            if run in seen:
+                gone[k : k + op.PASSAGE] = [True] * op.PASSAGE
+            seen.add(run)
+        n = 0
+        for a, b, out_too in cleaned[doc_id]:
+            m = len(text[a:b].split())
+            gone[n : n + m] = [True] * m if out_too else gone[n : n + m]
+            n += m
+        out[doc_id] = [w for w, g in zip(words, gone, strict=True) if not g]
+    return out
+
+
+def removed_sentences(rows: list[tuple]) -> dict:
+    first: dict = {}
+    for doc_id, text in sorted(rows):
+        for i, _, words in sorted(runs(text or "")):
+            first[words] = min(first.get(words, (doc_id, i)), (doc_id, i))
+    out = {}
+    for doc_id, text in rows:
+        gone = {k for i, j, words in runs(text or "") if first[words] != (doc_id, i) for k in range(i, j + 1)}
+        out[doc_id] = [(a, b, k in gone) for k, (a, b, _) in enumerate(op.sentences(text or ""))]
+    return out
+
+
+def test_passages_that_begin_and_end_inside_sentences(spark, sf_dir):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    some = lambda n: " ".join(word() for _ in range(n))
+    long = some(55)  # no whole sentence in it
+    mixed = f"{some(20)}. {some(12)}. {some(25)}"  # one whole sentence
+    left, right = some(30), some(30)
+    rows = [(1, f"{some(9)} {long} {some(8)}."), (2, f"{some(30)}\n{some(3)} {long} {some(4)}. {some(5)}."), (3, f"{some(4)} {mixed} {some(6)}."), (4, f"{some(7)} {mixed} {some(2)}.")]
+    rows += [(5, f"{some(9)} {left} {some(9)}"), (6, f"{some(5)} {left} {right} {some(5)}"), (7, f" {some(3)} {left} {right} {some(2)}"), (8, None), (9, ""), (10, f"{left} {some(40)}")]
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    found = {r.doc_id: r for r in op.op5_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = kept_words(rows, removed_sentences(rows))
+    assert {k: (r.cut_text or "").split() for k, r in found.items()} == expected
+    assert all(r.n_cut_words == len((t or "").split()) - len(expected[k]) for k, t in rows for r in [found[k]])
+    assert [found[k].n_cut_words for k in (1, 2, 3, 4, 5, 6, 7, 10)] == [0, 55, 0, 57, 0, 0, 60, 0]
+    assert found[8].cut_text is None and found[1].cut_text == rows[0][1] and found[2].n_removed == 0
