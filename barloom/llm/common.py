@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,52 +20,35 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only a local session without one (tests) gets a folder of its own machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
 def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests) a local one is made. narrow: rows
-    of a few numbers, for which a file a core is enough; many small files only cost calls to the file system.
+    narrow: rows of a few numbers, for which a file a core is enough; many small files only cost calls to the file
+    system. Spark removes the files when nothing refers to them, where spark.cleaner.referenceTracking.cleanCheckpoints
+    is set.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
     if narrow:
-        df = df.coalesce(context.defaultParallelism)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
+        df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 
-def row_key(*columns: Column) -> Column:
-    """A 64-bit key of a row's columns for comparisons inside one row set; nulls count."""
-    return F.xxhash64(*columns)
-
-
 def share_of(doc_id: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts: the folds of the classifiers. A null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts, F.lit(0))
 
 
-def contiguous(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of one key each, from batches that are sorted by key. Holds one key's rows at a time."""
-    held: list[pd.DataFrame] = []
-    last = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        starts = (batch[key] != batch[key].shift()).any(axis=1).to_numpy()
-        starts[0] = True
-        cuts = [*starts.nonzero()[0], len(batch)]
-        for begin, end in zip(cuts, cuts[1:], strict=False):
-            part = batch.iloc[begin:end]
-            now = tuple(part[key].iloc[0])
-            if held and now != last:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-            last = now
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
 def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges between longs: (node, root), root the least node of its component.
 
@@ -90,5 +71,3 @@ def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -
         live = cut(live.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), narrow=True)
     raise RuntimeError("components did not settle")
 
-
-Mapper = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]

@@ -5,16 +5,18 @@ fewer words has one n-gram, all its words. N-grams are known by 64-bit hashes. R
 
 1. Each text is read once: its set gives a 128-bit class key and one hash for each band of its MinHash signature.
    Band and row counts follow from the threshold and the target recall (see banding).
-2. One row a class goes on. Classes that share a band hash are tied to the least class of that bucket, which makes a
-   star and not all pairs; connected components of the stars are the candidate sets: no candidate pair leaves its set.
-3. The sets of n-grams of classes with candidates are brought together, a candidate set at a time. Every pair in it is
-   measured on the whole sets. A candidate set that is too large for one task is dealt into blocks by set size and a
-   hash, each pair of blocks is one piece of work, and blocks whose sizes rule out the threshold are never paired.
-   A piece returns one row for each member: its number of links, and the least member it is linked with over links.
+2. One row a class goes on. Classes that share a band hash are a bucket. Buckets with the same members are one, the
+   first, known by the count and 128 bits of the members' hashes; most copies of a pair meet in one bucket only.
+3. The sets of n-grams of a bucket's classes are brought together, and its pairs are measured on the whole sets; a pair
+   that shares several bands counts in the first of them. A bucket that is too large for one task is dealt into blocks
+   by set size and a hash, each pair of blocks is one piece of work, and blocks whose sizes rule out the threshold are
+   never paired. A piece returns one row for each member: its number of links, and the least member it is linked with
+   over links.
 4. Components of those rows are the groups.
 
-No pair is ever a row, whatever a group's size, and no link is dropped: every pair of a candidate set is verified. A
-pair at the threshold is in no common candidate set with a probability of 1 - RECALL at most.
+No pair is ever a row, whatever a bucket's size, no link of a bucket is dropped, and pairs that share no band are never
+measured, however long the chains of buckets are. A pair at the threshold shares no band with a probability of
+1 - RECALL at most.
 
 Edge cases: a null text is an empty one; texts without words are one class without links; repeated rows (same id and
 text) are rows of one class, and where one of the group stays, one of them; extra columns are kept, internal ones
@@ -28,12 +30,11 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, contiguous, cut, text_of
+from .common import components, cut, text_of
 
 WORDS = 5
 LEAST = 0.8
@@ -129,7 +130,7 @@ def _sets(empty: int):
         for batch in batches:
             found = list(gram_sets(batch.column("_g_words"), empty))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_g_class"), batch.column("_g_items"), lists], ["_g_class", "_g_items", "_g_grams"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_g_class", "_g_items", "_g_bands")), lists], ["_g_class", "_g_items", "_g_bands", "_g_grams"])
 
     return sets
 
@@ -169,13 +170,60 @@ def linked(sets: list[np.ndarray], block: np.ndarray, across: bool, least: float
     return links
 
 
+KEY = ["_g_root", "_g_left", "_g_right"]
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One batch for each piece of work, from batches that are sorted by KEY. Holds one piece at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in KEY], axis=1)
+        cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            now = tuple(keys[begin])
+            if held and now != last:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+
+def lists_of(column: pa.ListArray) -> list[np.ndarray]:
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def met_before(bands: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs of rows share an earlier band than this one."""
+    out = np.zeros((len(bands), len(bands)), dtype=bool)
+    for own in bands[:, :band].T:
+        out |= own[:, None] == own[None, :]
+    return out
+
+
 def _verified(least: float):
-    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in contiguous(batches, ["_g_root", "_g_left", "_g_right"]):
-            piece = piece.drop_duplicates("_g_class").sort_values("_g_class")
-            across = piece["_g_left"].iloc[0] != piece["_g_right"].iloc[0]
-            links = linked([np.asarray(g) for g in piece["_g_grams"]], piece["_g_second"].to_numpy().astype(np.int64), across, least)
-            names, root = piece["_g_class"].to_numpy(), np.arange(len(piece))
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def rows() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["_g_class", "_g_links", "_g_near"])
+
+        for piece in pieces(batches):
+            names, first = np.unique(piece.column("_g_class").to_numpy(), return_index=True)
+            if len(names) < 2:
+                continue
+            sets, bands = lists_of(piece.column("_g_grams")), np.stack(lists_of(piece.column("_g_bands")))[first]
+            left, right, band = (piece.column(c)[0].as_py() for c in ("_g_left", "_g_right", "_g_band"))
+            second = piece.column("_g_second").to_numpy(zero_copy_only=False).astype(np.int64)[first]
+            links = linked([sets[k] for k in first], second, left != right, least) & ~met_before(bands, band)
+            root = np.arange(len(names))
             while True:  # the least member over links: a member takes the least of its neighbours' until none changes
                 near = np.where(links, root[None, :], len(root)).min(axis=1, initial=len(root))
                 new = np.minimum(root, near)
@@ -183,7 +231,11 @@ def _verified(least: float):
                 if (new == root).all():
                     break
                 root = new
-            yield pd.DataFrame({"_g_class": names, "_g_links": links.sum(axis=1).astype(np.int64), "_g_near": names[root]})
+            out.append((names, links.sum(axis=1), names[root]))
+            if len(out) >= 1000:
+                yield rows()
+        if out:
+            yield rows()
 
     return verify
 
@@ -205,13 +257,13 @@ def class_distance(least: float) -> int:
 
 
 def _items(members: DataFrame, least: float = LEAST) -> DataFrame:
-    """members (root, class, n) with _g_items: the pieces of work of each, as (left block, right block, is it of the right one)."""
+    """Of members (root, band, class, n): _g_class and _g_items, the pieces of work in the bucket, as (left block, right block, is it of the right one)."""
     sized = members.withColumn("_g_size", size_class(F.col("_g_n")))
     blocks = F.greatest(F.ceil(F.sum("_g_n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int")
     sizes = sized.groupBy("_g_root", "_g_size").agg(F.sum("_g_n").alias("_g_sum"), F.count("*").alias("_g_count"), blocks.alias("_g_blocks"))
     whole = (F.sum("_g_sum") <= BLOCK_GRAMS) & (F.sum("_g_count") <= BLOCK_CLASSES)
     by_root = sizes.groupBy("_g_root").agg(whole.alias("_g_whole"), F.map_from_entries(F.collect_list(F.struct("_g_size", "_g_blocks"))).alias("_g_parts"))
-    found = sized.join(by_root, "_g_root")
+    found = sized.join(by_root, "_g_root")  # a row a member of a bucket
     name = lambda size, part: (size.cast("long") * F.lit(1 << 32) + part).cast("long")
     own = name(F.col("_g_size"), F.pmod(F.xxhash64("_g_class"), F.element_at("_g_parts", F.col("_g_size"))))
     far = class_distance(least)
@@ -220,7 +272,7 @@ def _items(members: DataFrame, least: float = LEAST) -> DataFrame:
     found = found.withColumn("_g_own", own)
     pieces = F.transform(near, lambda o: F.struct(F.least(F.col("_g_own"), o).alias("_g_left"), F.greatest(F.col("_g_own"), o).alias("_g_right"), (F.col("_g_own") > o).alias("_g_second")))
     alone = F.array(F.struct(F.lit(0).cast("long").alias("_g_left"), F.lit(0).cast("long").alias("_g_right"), F.lit(False).alias("_g_second")))
-    return found.withColumn("_g_items", F.when(F.col("_g_whole"), alone).otherwise(pieces)).select("_g_class", F.struct(F.col("_g_root").alias("root"), F.col("_g_items").alias("items")).alias("_g_items"))
+    return found.withColumn("_g_items", F.when(F.col("_g_whole"), alone).otherwise(pieces)).select("_g_class", F.struct(F.col("_g_root").alias("root"), F.col("_g_band").alias("band"), F.col("_g_items").alias("items")).alias("_g_items"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST, recall: float = RECALL) -> DataFrame:
@@ -238,18 +290,22 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     classes = sketched.groupBy("_g_k1", "_g_k2", "_g_n").agg(first, F.count("*").alias("n_copies"), F.any_value("_g_bands").alias("_g_bands"))
     classes = cut(classes.withColumn("_g_class", F.monotonically_increasing_id()))
     banded = classes.select("_g_class", F.posexplode("_g_bands").alias("_g_band", "_g_hash"))
-    buckets = cut(banded.groupBy("_g_band", "_g_hash").agg(F.min("_g_class").alias("_g_lead"), F.count("*").alias("_g_count")).where("_g_count > 1").drop("_g_count"), narrow=True)
-    roots = components(banded.join(buckets, ["_g_band", "_g_hash"]), "_g_class", "_g_lead").select(F.col("node").alias("_g_class"), F.col("root").alias("_g_root"))
-    members = cut(classes.select("_g_class", "_g_n", F.col("_g_first._g_id").alias("_g_id"), F.col("_g_first._g_none").alias("_g_none"), F.col("_g_first._g_text").alias("_g_text")).join(roots, "_g_class"), narrow=True)
-    wanted = members.join(_items(members.select("_g_root", "_g_class", "_g_n"), least), "_g_class")
+    members = [F.count("*").alias("_g_count"), F.min("_g_class").alias("_g_lead"), *(F.bit_xor(F.xxhash64(F.lit(k), "_g_class")).alias(f"_g_x{k}") for k in (1, 2))]
+    buckets = banded.groupBy("_g_band", "_g_hash").agg(*members).where("_g_count > 1")
+    buckets = buckets.groupBy("_g_count", "_g_lead", "_g_x1", "_g_x2").agg(F.min(F.struct("_g_band", "_g_hash")).alias("_g_bucket"))
+    buckets = cut(buckets.select("_g_bucket.*").withColumn("_g_root", F.monotonically_increasing_id()), narrow=True)
+    named = classes.select("_g_class", "_g_n", "_g_bands", F.col("_g_first._g_id").alias("_g_id"), F.col("_g_first._g_none").alias("_g_none"), F.col("_g_first._g_text").alias("_g_text"))
+    members = cut(banded.join(buckets, ["_g_band", "_g_hash"]).join(classes.select("_g_class", "_g_n"), "_g_class").select("_g_root", "_g_band", "_g_class", "_g_n"), narrow=True)
+    wanted = named.join(_items(members, least).groupBy("_g_class").agg(F.collect_list("_g_items").alias("_g_items")), "_g_class")  # at most a bucket a band
     texts = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long").alias("_g_id"), F.col(doc_id).isNull().alias("_g_none"), F.xxhash64(text_of(text)).alias("_g_text"), text_of(text).alias("_g_whole"))
-    texts = texts.join(wanted, ["_g_id", "_g_none", "_g_text"]).select("_g_class", "_g_items", word_hashes("_g_whole").alias("_g_words"))
-    item = "struct<root: long, items: array<struct<_g_left: long, _g_right: long, _g_second: boolean>>>"
-    sets = texts.mapInArrow(_sets(empty), f"_g_class long, _g_items {item}, _g_grams array<long>")
-    work = sets.select("_g_class", "_g_grams", F.col("_g_items.root").alias("_g_root"), F.explode("_g_items.items").alias("_g_item")).select("_g_root", "_g_item.*", "_g_class", "_g_grams")
-    key = ["_g_root", "_g_left", "_g_right"]
+    texts = texts.join(wanted, ["_g_id", "_g_none", "_g_text"]).select("_g_class", "_g_items", "_g_bands", word_hashes("_g_whole").alias("_g_words"))
+    item = "array<struct<root: long, band: int, items: array<struct<_g_left: long, _g_right: long, _g_second: boolean>>>>"
+    sets = texts.mapInArrow(_sets(empty), f"_g_class long, _g_items {item}, _g_bands array<long>, _g_grams array<long>")
+    work = sets.select("_g_class", "_g_grams", "_g_bands", F.explode("_g_items").alias("_g_item"))
+    work = work.select("_g_class", "_g_grams", "_g_bands", F.col("_g_item.root").alias("_g_root"), F.col("_g_item.band").alias("_g_band"), F.explode("_g_item.items").alias("_g_item"))
+    work = work.select("_g_root", "_g_band", "_g_item.*", "_g_class", "_g_grams", "_g_bands")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = work.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(_verified(least), "_g_class long, _g_links long, _g_near long")
+    found = work.repartition(parts, *KEY).sortWithinPartitions(*KEY).mapInArrow(_verified(least), "_g_class long, _g_links long, _g_near long")
     found = cut(found)
     links = found.groupBy("_g_class").agg(F.sum("_g_links").alias("n_links"))
     grouped = components(found, "_g_class", "_g_near").select(F.col("node").alias("_g_class"), F.col("root").alias("_g_root"))
