@@ -14,9 +14,10 @@ A document's features are its distinct lower-case words and their first four and
 word adds its weights, so every part of a text counts, however long it is. Labels, language, source and id are no
 features. Scoring is one pass over the texts, without a shuffle.
 
-Edge cases: a null or empty text scores by the bias alone; rows repeated in documents are scored each, labels repeated
-or null are ignored where null; a null id is in fold 0; without any confirmed toxic row every score is 0; extra
-columns are kept; an empty table gives an empty result.
+Edge cases: a null or empty text scores by the bias alone; rows repeated in documents are scored each, and an id that
+is there more than once is fitted once, by the least of its rows' features; null labels are ignored, and an id that is
+labelled both ways is a confirmed one; a null id is in fold 0; without any confirmed toxic row every score is 0; extra
+columns are kept, and score and predicted replace columns of those names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def features(text: str) -> np.ndarray:
 
 def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(bucket, documents, confirmed documents) of a task's rows; bucket -1 stands for every document."""
-    have, known = np.zeros((2, BUCKETS), dtype=np.int64), {}
+    have, known = np.zeros((2, BUCKETS), dtype=np.int32), {}
     totals = [0, 0]
     for batch in batches:
         for text, positive in zip(batch["text"], batch["positive"], strict=True):
@@ -83,7 +84,7 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at = np.flatnonzero(have[0])
     for begin in range(0, len(at), 100_000):
         part = at[begin : begin + 100_000]
-        yield pd.DataFrame({"bucket": part, "documents": have[0, part], "confirmed": have[1, part]})
+        yield pd.DataFrame({"bucket": part, "documents": have[0, part].astype(np.int64), "confirmed": have[1, part].astype(np.int64)})
     yield pd.DataFrame({"bucket": [-1], "documents": totals[:1], "confirmed": totals[1:]})
 
 
@@ -115,7 +116,7 @@ def featured(kept: np.ndarray):
                 own = np.sort(features(text)).astype(np.int64)
                 at = np.minimum(np.searchsorted(kept, own), max(0, len(kept) - 1))
                 out.append((at[kept[at] == own] if len(kept) else at[:0]).astype(np.int32).tobytes())
-            yield pd.DataFrame({"positive": batch["positive"], "features": out})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "positive": batch["positive"], "features": out})
 
     return places
 
@@ -125,6 +126,27 @@ def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.zeros(0, dtype=np.int32), *rows])
 
 
+def risk(w: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[float, float, np.ndarray]:
+    """(part of the confirmed ones, estimate of the negative part, gradient of the step) at w, whose last entry is the bias.
+
+    The gradient is that of the sum of both parts; where the negative part is below zero, that of its opposite alone.
+    """
+    n = len(w) - 1
+    parts = [flat(rows) for rows in (positive, unlabelled)]
+    sizes = [max(1, len(positive)), max(1, len(unlabelled))]
+    zp, zu = (np.bincount(o, weights=w[c], minlength=s)[:s] + w[n] for (o, c), s in zip(parts, sizes, strict=True))
+    p, u = sigmoid(zp), sigmoid(zu)
+    confirmed = prior * float(np.logaddexp(0, -zp).mean())
+    negative = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+    gp, gu = -prior * p / sizes[0], u / sizes[1]
+    gp, gu = (gp + prior * (p - 1) / sizes[0], gu) if negative >= 0 else (-gp, -gu)
+    g = np.zeros(n + 1)
+    for (o, c), own in zip(parts, (gp, gu), strict=True):
+        g[:n] += np.bincount(c, weights=own[o], minlength=n)
+        g[n] += own.sum()
+    return confirmed, negative, g
+
+
 def fit(kept: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature buckets, weights, bias) by minimising the non-negative risk; the rows hold places in kept."""
     if not positive or not unlabelled:
@@ -136,21 +158,7 @@ def fit(kept: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarra
     for _ in range(EPOCHS):
         orders = [np.array_split(rng.permutation(len(rows)), steps) for rows in (positive, unlabelled)]
         for own, other in zip(*orders, strict=True):
-            parts = [flat([rows[k] for k in chosen]) for rows, chosen in ((positive, own), (unlabelled, other))]
-            sizes = [max(1, len(own)), max(1, len(other))]
-            (zp, zu) = (np.bincount(o, weights=w[c], minlength=s)[:s] + w[n] for (o, c), s in zip(parts, sizes, strict=True))
-            p, u = sigmoid(zp), sigmoid(zu)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gu = prior * (p - 1) / sizes[0], np.zeros(sizes[1])
-            down = (u / sizes[1], -prior * p / sizes[0])
-            if negative >= 0:
-                gp, gu = gp + down[1], gu + down[0]
-            else:
-                gp, gu = -down[1], -down[0]
-            g = np.zeros(n + 1)
-            for (o, c), own_g in zip(parts, (gp, gu), strict=True):
-                g[:n] += np.bincount(c, weights=own_g[o], minlength=n)
-                g[n] += own_g.sum()
+            *_, g = risk(w, [positive[k] for k in own], [unlabelled[k] for k in other], prior)
             g[:n] += DECAY * w[:n]
             w -= adam.step(g)
     return kept, w[:n], float(w[n])
@@ -175,7 +183,7 @@ def scorer(spark, kept: np.ndarray, weights: np.ndarray, bias: float):
                         s = known[word] = sum(of.get(f, 0.0) for f in word_features(word))
                     if s:
                         z[k] += s
-            if len(known) > 1_000_000:
+            if len(known) > 200_000:
                 known.clear()
             yield pd.Series(sigmoid(z))
 
@@ -193,8 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     kept = selected(rows, toxic)
     plain = bounded_sample(own.select("doc_id").distinct(), "doc_id", unlabelled, "unlabelled").withColumn("positive", F.lit(False))
     chosen = bounded_sample(toxic, "doc_id", positives, "toxic").withColumn("positive", F.lit(True)).unionByName(plain)
-    found = rows.join(F.broadcast(chosen), "doc_id").select("text", "positive")
-    found = found.mapInPandas(featured(kept), "positive boolean, features binary").toPandas()
+    found = rows.join(F.broadcast(chosen), "doc_id").mapInPandas(featured(kept), "doc_id long, positive boolean, features binary")
+    found = found.groupBy("doc_id", "positive").agg(F.min("features").alias("features")).drop("doc_id").toPandas()  # one row an id, however often it is there
     own = sorted(zip(found["features"], found["positive"], strict=True))  # the fit does not depend on the order of arrival
     sets = [[np.frombuffer(f, dtype=np.int32) for f, positive in own if positive == side] for side in (True, False)]
     return scorer(docs.sparkSession, *fit(kept, *sets, min(max(prior, 1e-4), 0.9)))

@@ -73,3 +73,67 @@ def test_forward_backward_against_all_labellings():
         assert got == pytest.approx(p / total)
         counts += pairs / total
     assert expected == pytest.approx(counts)
+
+
+def sparse_rows(rng, count: int, n: int) -> list[np.ndarray]:
+    return [rng.integers(0, n, rng.integers(0, 6)).astype(np.int32) for _ in range(count)]
+
+
+def risks_by_hand(w: np.ndarray, positive: list, unlabelled: list, prior: float) -> tuple[float, float]:
+    """Confirmed part and negative part, a row at a time."""
+    loss = lambda z, y: np.log(1 + np.exp(-z if y else z))
+    scores = [[sum(w[f] for f in row) + w[-1] for row in rows] for rows in (positive, unlabelled)]
+    means = {(side, y): sum(loss(z, y) for z in scores[side]) / len(scores[side]) for side in (0, 1) for y in (0, 1)}
+    return prior * means[0, 1], means[1, 0] - prior * means[0, 0]
+
+
+def test_toxicity_risk_and_gradient_by_hand():
+    rng = np.random.default_rng(2)
+    for bias, prior in ((0.3, 0.2), (-3.0, 0.9), (4.0, 0.95)):
+        n = 7
+        positive, unlabelled = sparse_rows(rng, 9, n), sparse_rows(rng, 14, n)
+        w = np.r_[rng.normal(size=n), bias]
+        if prior > 0.8:  # confirmed rows score high and the others low: the negative part is below zero
+            w[:n], positive, unlabelled = np.abs(w[:n]), [np.arange(5, dtype=np.int32)] * 9, [np.zeros(0, dtype=np.int32)] * 14
+        confirmed, negative, g = toxicity.risk(w, positive, unlabelled, prior)
+        assert (confirmed, negative) == pytest.approx(risks_by_hand(w, positive, unlabelled, prior))
+        of = (lambda x: sum(risks_by_hand(x, positive, unlabelled, prior))) if negative >= 0 else (lambda x: -risks_by_hand(x, positive, unlabelled, prior)[1])
+        for k in range(n + 1):
+            step = np.zeros(n + 1)
+            step[k] = 1e-5
+            assert g[k] == pytest.approx((of(w + step) - of(w - step)) / 2e-5, abs=1e-6)
+    assert toxicity.risk(np.zeros(3), sparse_rows(rng, 4, 2), sparse_rows(rng, 4, 2), 0.5)[1] > 0
+
+
+def test_toxicity_scores_by_hand(spark):
+    """A text's score is the sum of its distinct words' features, whatever its length and repeats."""
+    kept = np.unique(np.array([f for w in ("awful", "words", "dreadful") for f in toxicity.word_features(w)], dtype=np.int64))
+    weights = np.linspace(-1, 2, len(kept))
+    of = dict(zip(kept.tolist(), weights.tolist(), strict=True))
+    texts = ["Awful words", "awful AWFUL awful, words. dreadfully dreadful", "nothing", "", "dreadful " * 5000]
+    own = toxicity.scorer(spark, kept, weights, -0.5)
+    found = [r.s for r in spark.createDataFrame([(t,) for t in texts], "text string").repartition(1).select(own("text").alias("s")).collect()]
+    hand = [-0.5 + sum(of.get(f, 0.0) for w in set(toxicity.WORD.findall(t.lower())) for f in toxicity.word_features(w)) for t in texts]
+    assert sorted(found) == pytest.approx(sorted(1 / (1 + np.exp(-np.array(hand)))))
+
+
+@pytest.mark.parametrize(("op", "names"), [(line_quality.op4_rows, ("score", "held_out")), (toxicity.op10_rows, ("score", "predicted"))])
+def test_labels_both_ways_and_clashing_names(spark, op, names):
+    rows = [(k, "good words in a line here" if k % 2 else f"BAD!! {'awful ' * 9}!!") for k in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in names:
+        docs = docs.withColumn(name, toxicity.F.lit("clash"))
+    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(120)] + [(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    found = op(docs.union(docs.where("doc_id < 10")), labels).collect()
+    assert len(found) == 130 and all(0 <= r.score <= 1 for r in found)
+
+
+def test_fit_takes_an_id_once(spark, monkeypatch):
+    rows = [(k % 20, f"awful words{k % 7}" if k % 2 else "good words") for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda kept, positive, other, prior: seen.update(n=(len(positive), len(other))) or (kept, np.zeros(len(kept)), 0.0))
+    toxicity.train(docs, labels)
+    trained = [k for k in range(20) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert seen["n"] == (sum(k % 2 for k in trained), len(trained))

@@ -31,3 +31,22 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
             assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in docs.collect()) == sorted((i, *whole(t)) for i, t in rows)
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
     assert byte_bpe.PIECE > 0
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names and an empty table go through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, ids string"
+    plain = [(k, f"some clean words number {k} and {k * 7} more of them here", "en", f"s{k % 3}", 9, "x", "y", "z") for k in range(40)]
+    odd = [(None, None, None, None, None, None, None, None), (100, "", "en", "s0", 0, "x", "y", "z"), (101, "long words and 12 numbers " * 9000, None, None, 1, "x", "y", "z"), (102, " \t\n", "en", "s1", 3, "x", "y", "z")]
+    labels = [(k, 1, int(k % 10 == 0)) for k in range(40)] + [(None, None, None), (3, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([*plain, *odd, *plain[:5], *odd], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for own in (docs, docs.limit(0)):
+        stayed = own
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, stayed, str(tmp_path)).write.parquet(f"{tmp_path}/{own is docs}{k}")
+            stayed = spark.read.parquet(f"{tmp_path}/{own is docs}{k}")
+            assert k == 4 or stayed.columns == docs.columns
+        assert stayed.count() > 30 if own is docs else stayed.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
