@@ -5,10 +5,11 @@ is above goes to the others by their weights until none is above. A document of
 target / source size times. These expectations are summed along the documents of the source, one random offset of the
 source is added, and a document is taken once for each whole number that its stretch of the sum crosses.
 
-The sum runs in exact decimals. Documents are ordered by size class, then by id; a source's documents are spread over
-(size class, id remainder) groups, each summed by itself, and the groups' totals are summed in order: a source with
-a third of all rows is many tasks. In order of size, neighbours are of like size, so the words taken follow the target
-closely. Sources themselves are ranked and levelled in one task, one row each.
+The sum runs in exact decimals. Documents are ordered by size class, then by a hash of their id; a source's documents
+are spread over (size class, hash) groups, each summed by itself, and the groups' totals are summed in order: a source
+with a third of all rows is many tasks. The number of groups grows with the root of the table's rows, and so do both
+the rows of a group and the groups of a source, which one task sums. In order of size, neighbours are of like size, so
+the words taken follow the target closely. Sources themselves are ranked and levelled in one task, one row each.
 
 Edge cases: a null or empty text is of size 0 and is drawn like others of its source; a null source is a source of its
 own, the last; a source without words has the target 0 and is not drawn; rows repeated with one id are ordered by
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
@@ -30,7 +31,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: One expected copy in the integer sums.
 ONE = 10**15
-#: Groups of one size class of a source, by the remainder of the id.
+#: Groups of one size class of a source, at least; a power of two up to 2^20, for at most that many squared rows.
 SPREAD = 64
 SEED = "mix"
 
@@ -39,6 +40,20 @@ def words_in(text: str = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
+def spread_of(rows: int) -> int:
+    """Groups of a size class: the power of two from the root of the rows on."""
+    out = SPREAD
+    while out * out < rows and out < 1 << 20:
+        out *= 2
+    return out
+
+
+def part_of(doc_id: Column, spread: int) -> Column:
+    """The first five hexadecimal digits of the id's digest, modulo the power of two."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(digest, 1, 5), 16, 10).cast("int") % spread
+
+
 def size_class(size: Column) -> Column:
     """Four classes between powers of two, from the first three binary digits."""
     digits = F.length(F.bin(size))
@@ -71,29 +86,35 @@ def level_targets(sources: DataFrame) -> DataFrame:
 
 
 def draw(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with size, source_size, target, copies (how often the mix takes the row)."""
-    of = {"_m_size": words_in(text), "_m_key": F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source)))}
-    based = docs.withColumns(of).withColumns({"_m_class": size_class(F.col("_m_size")), "_m_part": F.coalesce(F.pmod(F.col(doc_id), F.lit(SPREAD)), F.lit(0))})
+    """docs with _m_words (the size), _m_of (the source's), _m_to (its target), _m_copies (how often the mix takes the row)."""
+    of = {"_m_size": words_in(text), "_m_tie": F.xxhash64(text_of(text)), "_m_key": F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source)))}
+    return drawn(docs.withColumns(of), doc_id, source, docs.columns)
+
+
+def drawn(sized: DataFrame, doc_id: str, source: str, columns: list[str]) -> DataFrame:
+    """The draw for rows whose words are counted: columns, and those that draw adds."""
+    spread = spread_of(sized.count())
+    based = sized.withColumns({"_m_class": size_class(F.col("_m_size")), "_m_part": part_of(F.col(doc_id), spread)})
     group = ["_m_key", "_m_class", "_m_part"]
     groups = based.select(*group, "_m_size", F.col(source).alias("_m_source")).groupBy(*group, "_m_source").agg(F.count("*").alias("_m_rows"), F.sum("_m_size").alias("_m_sum"))
+    groups = cut(groups, narrow=True)
     sources = groups.groupBy("_m_key", "_m_source").agg(F.sum("_m_sum").alias("_m_total")).withColumn("_m_none", F.col("_m_source").isNull())
     along = Window.partitionBy("_m_key").orderBy("_m_class", "_m_part").rowsBetween(Window.unboundedPreceding, -1)
     here = (F.col("_m_rows") * F.col("_m_rate")).cast("decimal(38,0)")
     groups = groups.drop("_m_source").join(level_targets(sources), "_m_key").withColumn("_m_start", F.coalesce(F.sum(here).over(along), F.lit(0)) + F.col("_m_offset"))
-    order = Window.partitionBy(*group).orderBy("_m_size", F.col(doc_id).asc_nulls_last(), F.xxhash64(text_of(text)))
-    drawn = based.withColumn("_m_nth", F.row_number().over(order)).join(groups.select(*group, "_m_total", "_m_target", "_m_rate", "_m_start"), group)
+    order = Window.partitionBy(*group).orderBy("_m_size", F.col(doc_id).asc_nulls_last(), "_m_tie")
+    found = based.withColumn("_m_nth", F.row_number().over(order)).join(groups.select(*group, "_m_total", "_m_target", "_m_rate", "_m_start"), group)
     end = F.expr("cast(_m_start + cast(_m_nth * _m_rate as decimal(38,0)) as decimal(38,0))")
     begin = F.expr("cast(_m_start + cast((_m_nth - 1) * _m_rate as decimal(38,0)) as decimal(38,0))")
     copies = F.call_function("div", end, F.lit(ONE).cast("decimal(38,0)")) - F.call_function("div", begin, F.lit(ONE).cast("decimal(38,0)"))
-    return drawn.select(*docs.columns, F.col("_m_size").alias("_m_words"), F.col("_m_total").alias("_m_of"), F.col("_m_target").alias("_m_to"), copies.alias("_m_copies"))
+    return found.select(*columns, F.col("_m_size").alias("_m_words"), F.col("_m_total").alias("_m_of"), F.col("_m_target").alias("_m_to"), copies.alias("_m_copies"))
 
 
 def op2_rows(docs: DataFrame) -> DataFrame:
-    drawn = draw(docs.select("doc_id", "text", "source"))
-    return drawn.select("doc_id", F.col("_m_words").alias("size"), F.col("_m_of").alias("source_size"), F.col("_m_to").alias("target"), (F.col("_m_words") * F.col("_m_copies")).alias("taken"))
+    found = draw(docs.select("doc_id", "text", "source"))
+    return found.select("doc_id", F.col("_m_words").alias("size"), F.col("_m_of").alias("source_size"), F.col("_m_to").alias("target"), (F.col("_m_words") * F.col("_m_copies")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed rows: each row of docs as often as it is taken, with the columns of docs."""
-    drawn = draw(docs)
-    return drawn.where("_m_copies > 0").withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies")))).select(*docs.columns)
+    return draw(docs).where("_m_copies > 0").withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies")))).select(*docs.columns)

@@ -18,7 +18,7 @@ WITH d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), c AS (
   SELECT *, CASE WHEN size < 4 THEN size ELSE length(bin(size)) * 4 + ((size >> (length(bin(size)) - 3)) & 3) END AS class,
-         coalesce(((doc_id % 64) + 64) % 64, 0) AS part
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 5))::INT % greatest(64, least(1048576, (2 ** ceil(log2(greatest(count(*) OVER (), 1)) / 2))::INT)) AS part
   FROM d
 ), s AS (
   SELECT source, sum(size)::DOUBLE AS total, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM c GROUP BY source

@@ -64,3 +64,11 @@ def test_edges(spark):
     assert mixed.columns == docs.columns
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in found)
     assert op.op2_rows(docs.limit(0)).count() == 0 and op.mix(docs.limit(0)).count() == 0
+
+
+def test_ids_of_one_remainder_are_spread(spark):
+    docs = spark.createDataFrame([(64 * k, "w " * 9, "s") for k in range(20_000)], "doc_id long, text string, source string")
+    assert op.spread_of(20_000) == 256 and op.spread_of(10**12) == 1 << 20
+    parts = docs.select(op.part_of(op.F.col("doc_id"), 256).alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 256 and max(r["count"] for r in parts) < 160
+    check(rows(docs))
