@@ -52,3 +52,33 @@ def test_peeling_recovers_and_retries():
     near = op.likeness(left, right, cells=6)
     for a, b, x in zip(left, right, near, strict=True):
         assert x == pytest.approx(len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+
+
+@pytest.mark.parametrize("parts", [4, 200])
+def test_null_ids_and_the_largest_id(spark, parts):
+    last = (1 << 63) - 1
+    rows = [(1, "one text"), (last, "the last text of all"), (None, "b"), (None, "a longer text"), (None, None), (-last - 1, "the first"), (last, "the same id"), (7, "x\ny z")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for data in (rows, rows * 3, [(None, f"text {k}") for k in range(300)] + rows):
+            docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+            found = op.op6_rows(docs).collect()
+            order = [(r.n, r.a, r.k, r.text) for r in docs.selectExpr("doc_id is null n", "coalesce(doc_id, 0) a", "xxhash64(coalesce(text, '')) k", "coalesce(text, '') text").collect()]
+            order.sort()
+            hand = []
+            for (none, i, _, own), (*_, following) in zip(order, order[1:] + order[:1], strict=True):
+                changed = op.edited(own, following)
+                hand.append((None if none else i, len(own), hashlib.sha256(changed.encode()).hexdigest(), round(jaccard(own, following), 9)))
+            key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+            assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_next, 9)) for r in found), key=key) == sorted(hand, key=key)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_an_edit_changes_the_pieces_around_it():
+    rng = np.random.default_rng(8)
+    words = [f"word{k}" for k in rng.integers(0, 5000, 600)]
+    changed = [*words[:5], "inserted", *words[5:]]
+    a, b = set(op.digests(" ".join(words)).tolist()), set(op.digests(" ".join(changed)).tolist())
+    assert len(a) > 20 and len(a - b) <= 2 and len(b - a) <= 2
