@@ -2,15 +2,18 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 from barloom.llm import html_blocks as op
 from barloom.llm.queries import op7_html_blocks
 
-TREE = op.grow(op.TRAINING[:, :-1], op.TRAINING[:, -1])
+X, Y = op.training()
+TREE = op.grow(X, Y)
 
 
 def test_tree_fits_its_table():
-    assert (op.decide(TREE, op.TRAINING[:, :-1]) == (op.TRAINING[:, -1] == 1)).mean() >= 0.97
+    assert (op.decide(TREE, X) == (Y == 1)).mean() >= 0.97
+    assert len(Y) > 300 and 0.3 < Y.mean() < 0.7
 
 
 def test_query_gives_the_article(spark, sf_dir):
@@ -41,3 +44,32 @@ def test_edges(spark):
     assert found[1] == found[2] == found[6] == "" and found[3] == " ".join(["word"] * 40)
     assert found[4].count("Paragraph") == 5000 and found[5] == "a < b and plain text without tags"
     assert op.op7_rows(df.limit(0)).count() == 0
+
+
+LONG = "<p>" + "words of a paragraph " * 8 + "</p>"
+
+
+def test_layouts_named_like_other_parts_keep_their_text():
+    n = len(LONG.split()) - 1
+    for page, paragraphs in (
+        (f"<form id=aspnetForm>{LONG * 5}</form>", 5),
+        (f"<div class='no-sidebar'>{LONG * 5}</div>", 5),
+        (f"<article>{LONG}<div class='market-share'>{LONG}</div><section id='related-work'>{LONG}</section></article>", 3),
+        (f"<div class='layout has-sidebar'><article>{LONG}</article></div><div class=sidebar>{LONG}</div>", 1),
+        (f"<div class='sidebar-page'><main><h1>A head line</h1>{LONG}</main></div>", 1),
+        (f"<form><article><h1>A head line</h1>{LONG}<label>Name</label></article></form><footer>{LONG}</footer>", 1),
+        (f"<article>{LONG}<section class=comments><article class=comment>{LONG}</article></section></article>", 1),
+        (f"<article>{LONG}<p>Of.</p><p><a>two words</a></p><p>It is.</p><ul><li><a>one more link here</a></li></ul><p>End.</p></article>", 1),
+    ):
+        assert op.main_text(page, TREE).count("words of a paragraph") == 8 * paragraphs, page[:80]
+    assert n > 20
+    short = op.main_text(f"<article>{LONG}<p>Of.</p><p><a>two words</a></p><p>It is.</p><ul><li><a>one more link here</a></li></ul><p>End.</p></article>", TREE)
+    assert short.endswith("Of. two words It is. one more link here End.")
+
+
+def test_broken_markup_takes_linear_time():
+    for piece in ("<a ", "<head>", "<i>", '<a"', '<a "', "<p></p><i>", "</b><i>", "<!-", "<div class=ad>", "<script", "<h1><div id=form>", "<a href='"):
+        for page in (piece * (200_000 // len(piece)), piece * (200_000 // len(piece)) + "'\">"):
+            began = time.process_time()
+            op.main_text(page, TREE)
+            assert time.process_time() - began < 1, piece
