@@ -79,7 +79,7 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if positive:
                 have[1, own] += 1
                 totals[1] += 1
-        if len(known) > 300_000:
+        if len(known) > 50_000:
             known.clear()
     at = np.flatnonzero(have[0])
     for begin in range(0, len(at), 100_000):
@@ -183,7 +183,7 @@ def scorer(spark, kept: np.ndarray, weights: np.ndarray, bias: float):
                         s = known[word] = sum(of.get(f, 0.0) for f in word_features(word))
                     if s:
                         z[k] += s
-            if len(known) > 200_000:
+            if len(known) > 50_000:
                 known.clear()
             yield pd.Series(sigmoid(z))
 
