@@ -61,21 +61,29 @@ class Tokenizer:
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str):
         ranks = spark.sparkContext.broadcast(read_ranks(rank_path))
 
+        def ids(own, text: str) -> bytes:
+            return b"".join(np.asarray(own.encode_ordinary(piece), dtype="<u4").tobytes() for piece in pieces(text))
+
+        def raw(own, found: bytes) -> bytes:
+            return own.decode_bytes(np.frombuffer(found, dtype="<u4").tolist())
+
         @F.pandas_udf("binary")
         def encode(texts: pd.Series) -> pd.Series:
             own = encoder(ranks.value, pattern)
-
-            def ids(text: str) -> bytes:
-                return b"".join(np.asarray(own.encode_ordinary(piece), dtype="<u4").tobytes() for piece in pieces(text))
-
-            return texts.map(ids)
+            return texts.map(lambda text: ids(own, text))
 
         @F.pandas_udf("binary")
-        def decode(ids: pd.Series) -> pd.Series:
+        def decode(found: pd.Series) -> pd.Series:
             own = encoder(ranks.value, pattern)
-            return ids.map(lambda raw: own.decode_bytes(np.frombuffer(raw, dtype="<u4").tolist()))
+            return found.map(lambda one: raw(own, one))
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids binary, decoded binary")
+        def both(texts: pd.Series) -> pd.DataFrame:
+            own = encoder(ranks.value, pattern)
+            found = [ids(own, text) for text in texts]
+            return pd.DataFrame({"ids": found, "decoded": [raw(own, one) for one in found]})
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         return self._encode(F.coalesce(text, F.lit("")))
@@ -83,6 +91,10 @@ class Tokenizer:
     def decode(self, ids: Column) -> Column:
         return self._decode(ids)
 
+    def encode_decode(self, text: Column) -> Column:
+        """A struct of the ids and the bytes decoded from them, in one pass over the texts."""
+        return self._both(F.coalesce(text, F.lit("")))
+
 
 def default_tokenizer(spark: SparkSession) -> Tokenizer:
     import public_tokenizers
@@ -92,7 +104,8 @@ def default_tokenizer(spark: SparkSession) -> Tokenizer:
 
 def encode_decode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
     """docs with ids (binary) and decoded (binary)."""
-    return docs.withColumn("ids", tokenizer.encode(text_of(text))).withColumn("decoded", tokenizer.decode(F.col("ids")))
+    found = docs.withColumn("_b_both", tokenizer.encode_decode(text_of(text)))
+    return found.withColumns({"ids": F.col("_b_both.ids"), "decoded": F.col("_b_both.decoded")}).drop("_b_both")
 
 
 def op8_rows(docs: DataFrame) -> DataFrame:
