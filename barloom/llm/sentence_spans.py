@@ -5,15 +5,19 @@ consecutive sentences that is long enough is a span (SENTENCES sentences and WOR
 Runs in both directions reach both ends of any repeated passage. Spans of all documents are joined by their hash; the
 first occurrence (least id, then least place) stays, and every sentence that any later occurrence covers is removed.
 
-Only hashes are counted in the first pass, summed up before their shuffle; the second pass joins the spans with the
-hashes that occur more than once, which AQE can split where one passage is in a third of all documents. No group of
-occurrences is ever gathered in a task. A document's own removals, at most its sentences, are one row for the last step.
+Only hashes are counted in the first pass, summed up before their shuffle; the second pass takes the spans whose hash
+may occur more than once, which a bit map of fixed size tells (false hits only cost rows), and joins them by 128 bits
+with their first occurrences, a join that AQE can split where one passage is in a third of all documents. No group of
+occurrences is ever gathered in a task. A document's own removals, each counted once however often the row is repeated,
+are one row for the last step.
 
 Passages that begin or end inside a sentence are found word by word: a word goes if it is in any run of PASSAGE words
 that stands earlier, in another document or in the same one. Each such run is known by an anchor, the least hash of its
-runs of ANCHOR words, so that equal runs have equal anchors. The first pass counts anchors (about one in 13 words);
-the second joins only the runs whose anchor is repeated. A bit map of fixed size tells those; its false hits only cost
-rows. The text of the spans keeps whole sentences, the cut text is without both.
+runs of ANCHOR words, so that equal runs have equal anchors; the runs in a row that share the place of their anchor are a
+stretch. The same two passes count anchors (about one in 13 words) and take the stretches whose anchor may be repeated.
+A stretch that stands earlier as a whole is one row; only stretches of an anchor that is there in different ones are
+taken apart, the first of each sort, and joined run by run. A run is known by its own 64 bits and the 64 of its anchor,
+which come from different hashes. The text of the spans keeps whole sentences, the cut text is without both.
 
 Edge cases: a null text stays null and has no sentences; texts of fewer sentences than a span have none; a text that
 repeats itself loses its later occurrences; rows repeated with one id and text are one document and change alike; a
@@ -30,10 +34,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import text_of, written
 
 SENTENCES, WORDS, LONG = 3, 25, 40
 #: Words of a repeated passage at least, and of an anchor; a passage has PASSAGE - ANCHOR + 1 runs to take its anchor from.
@@ -42,105 +46,100 @@ PASSAGE, ANCHOR = 50, 25
 BITS = 1 << 26
 WORD = re.compile(r"\S+")
 #: What ends a sentence: white space after a full stop, question or exclamation mark, and line ends.
-BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-LAST_ID = (1 << 63) - 1
-_B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+BREAK = re.compile(r"[.!?]\s+|\n\s*")
+_B, _C, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
     """(begin, end, end with the white space that follows) of each sentence."""
     out, begin = [], 0
     for m in BREAK.finditer(text):
-        if m.start() > begin:
-            out.append((begin, m.start(), m.end()))
-        begin = m.end()
+        end = m.start() + 1 if text[m.start()] != "\n" else begin + len(text[begin : m.start()].rstrip())
+        if end > begin:
+            out.append((begin, end, m.end()))
+        begin = max(begin, m.end())
     if text[begin:].strip():
         out.append((begin, len(text), len(text)))
     return out
 
 
-def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, last sentence) of the text's spans."""
-    parts = [text[a:b].split() for a, b, _ in sentences(text)]
-    n = len(parts)
-    keys = np.array([int.from_bytes(hashlib.blake2b(" ".join(p).encode(), digest_size=8).digest(), "little") for p in parts], dtype=np.uint64)
-    words = np.cumsum([0, *map(len, parts)])
-    at = np.arange(n)
-
-    def reach(total: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Last sentence of the shortest run from each begin; n or more where there is none."""
-        few = np.maximum(np.searchsorted(total, total[begin] + WORDS, "left") - 1, begin + SENTENCES - 1)
-        return np.minimum(few, np.maximum(np.searchsorted(total, total[begin] + LONG, "left") - 1, begin))
-
-    ahead = reach(words, at)
-    turned = n - 1 - reach(words[-1] - words[::-1], at)[::-1]
-    pairs = np.concatenate([np.stack([at, ahead], 1)[ahead < n], np.stack([turned, at], 1)[turned >= 0]])
-    pairs = np.unique(pairs, axis=0).astype(np.int64).reshape(-1, 2)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, _B)]))
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        undo = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, inverse)]))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(keys * powers[:n], dtype=np.uint64)])
-        begin, end = pairs[:, 0], pairs[:, 1] + 1
-        h = (sums[end] - sums[begin]) * undo[begin] + (end - begin).astype(np.uint64) * _M
-        h = (h ^ (h >> np.uint64(31))) * _M
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64), pairs[:, 0], pairs[:, 1]
-
-
-def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each hash of a batch with its count, summed over the batch."""
-    for batch in batches:
-        found = [spans(t)[0] for t in batch.column("_s_text").to_pylist()]
-        h, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *found]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["_s_hash", "_s_count"])
-
-
-def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BITS, dtype=bool)
-    for batch in batches:
-        bits[batch.column("_s_hash").to_numpy().view(np.uint64) % np.uint64(BITS)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-
-def bit_map(hashes: DataFrame):
-    """A broadcast bit map of fixed size; what it does not mark is not among the hashes."""
-    bits = np.zeros(BITS // 8, dtype=np.uint8)
-    for row in hashes.mapInArrow(_bits, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row.bits, dtype=np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-
-def marked_in(bits, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes.view(np.uint64) % np.uint64(BITS)
-    marks = np.frombuffer(bits.value, dtype=np.uint8)[(bit >> np.uint64(3)).astype(np.int64)]
-    return (marks >> (np.uint64(7) - bit % np.uint64(8)).astype(np.uint8) & 1).astype(bool)
-
-
-def _occurrences(bits):
-    def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [spans(t) for t in batch.column("_s_text").to_pylist()]
-            if not found:
-                continue
-            h, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
-            rows = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-            likely = marked_in(bits, h)
-            h, begin, end, rows = h[likely], begin[likely], end[likely], rows[likely]
-            own = [batch.column(c).take(pa.array(rows)) for c in ("_s_id", "_s_key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(h), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["_s_id", "_s_key", "_s_hash", "_s_begin", "_s_end"])
-
-    return occurrences
+class Known(dict):
+    """Words with the place of their hash in one list; two halves of 128 bits a word."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: list[bytes] = []
+        self.ends = bytearray()  # is there a sentence's end after the word
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self.hashes)
+        self.hashes.append(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        self.ends.append(word[-1] in ".!?")
+        return at
+
+    def forget(self) -> None:
+        if len(self) > 150_000:
+            self.clear()
+            self.hashes.clear()
+            self.ends.clear()
+
+
+class Portion:
+    """The words and sentences of some texts: the hashes of the words, and where texts and sentences begin (in words, with the end)."""
+
+    def __init__(self, texts: list[str], known: Known):
+        flat: list[int] = []
+        text_at, line_at = [0], []
+        for text in texts:
+            for line in text.split("\n"):
+                flat.extend(map(known.__getitem__, line.split()))
+                line_at.append(len(flat))
+            text_at.append(len(flat))
+        at = np.array(flat, dtype=np.int64)
+        both = np.frombuffer(b"".join(known.hashes), dtype="<u8").reshape(-1, 2)[at]
+        ends = np.zeros(len(at) + 1, dtype=bool)
+        ends[1:] = np.frombuffer(bytes(known.ends), dtype=bool)[at]
+        ends[line_at] = True
+        ends[0] = True
+        known.forget()
+        self.words, self.others = both[:, 0], both[:, 1]
+        self.text_at, self.sentence_at = np.array(text_at, dtype=np.int64), np.flatnonzero(ends)
+        self.first = np.searchsorted(self.sentence_at, self.text_at)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M
+    return x ^ (x >> np.uint64(29))
+
+
+def spans(part: Portion) -> tuple[np.ndarray, ...]:
+    """(two hashes, text, first and last sentence within the text) of the spans of a portion."""
+    at, n = part.sentence_at, len(part.sentence_at) - 1
+    owner = np.repeat(np.arange(len(part.first) - 1), np.diff(part.first))
+    every = np.arange(n)
+    ahead = np.maximum(np.searchsorted(at, at[:-1] + WORDS, "left") - 1, every + SENTENCES - 1)
+    ahead = np.minimum(ahead, np.maximum(np.searchsorted(at, at[:-1] + LONG, "left") - 1, every))
+    back = np.minimum(np.searchsorted(at, at[1:] - WORDS, "right") - 1, every - SENTENCES + 1)
+    back = np.maximum(back, np.minimum(np.searchsorted(at, at[1:] - LONG, "right") - 1, every))
+    inside, after = ahead < part.first[1:][owner], back >= part.first[:-1][owner]
+    pairs = np.unique(np.concatenate([(every * n + ahead)[inside], (back * n + every)[after]]))
+    begin, end = pairs // max(n, 1), pairs % max(n, 1) + 1
+    # a sentence's keys are sums of its words' hashes by their places, a run's keys the same of its sentences
+    place = np.arange(len(part.words)) - np.repeat(at[:-1], np.diff(at))
+    keys = []
+    for words, base in ((part.words, _B), (part.others, _C)):
+        powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(max(n, int(place.max(initial=0)) + 1), base)]))
+        undo = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, np.uint64(pow(int(base), -1, 1 << 64)))]))
+        own = _mixed(np.add.reduceat(words * powers[place], at[:-1]) + np.diff(at).astype(np.uint64) * _M) if n else words[:0]
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(own * powers[:n], dtype=np.uint64)])
+        keys.append(_mixed((sums[end] - sums[begin]) * undo[begin] + (end - begin).astype(np.uint64) * _M))
+    text = owner[begin] if n else begin
+    return keys[0], keys[1], text, begin - part.first[text], end - 1 - part.first[text]
 
 
 def run_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each run of ANCHOR words and of each of PASSAGE words."""
     power = {n: np.uint64(pow(int(_B), n, 1 << 64)) for n in (*(1 << k for k in range(8)), ANCHOR, PASSAGE - ANCHOR)}
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(31))) * _M
-        return x ^ (x >> np.uint64(29))
-
     n = len(words) - ANCHOR + 1
     if n < 1:
         return words[:0], words[:0]
@@ -151,7 +150,7 @@ def run_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out = out * power[size] + twice[done : done + n]
             done += size
         twice = twice[:-size] * power[size] + twice[size:] if len(twice) > size else twice
-    return mixed(out), mixed(out[: -(PASSAGE - ANCHOR)] * power[ANCHOR] + out[PASSAGE - ANCHOR :])
+    return _mixed(out), _mixed(out[: -(PASSAGE - ANCHOR)] * power[ANCHOR] + out[PASSAGE - ANCHOR :])
 
 
 def least_places(x: np.ndarray, size: int) -> np.ndarray:
@@ -164,31 +163,21 @@ def least_places(x: np.ndarray, size: int) -> np.ndarray:
     return place
 
 
-def passages(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, ...]:
-    """(text, first word, hash, anchor's hash, anchor's place) of each run of PASSAGE words. known: hashes of words."""
-    flat: list[int] = []
-    ends = []
-    for text in texts:
-        for word in text.split():
-            h = known.get(word)
-            if h is None:
-                h = known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            flat.append(h)
-        ends.append(len(flat))
-    if len(known) > 300_000:
-        known.clear()
-    words, ends = np.array(flat, dtype=np.uint64), np.array(ends, dtype=np.int64)
-    short, whole = run_hashes(words)
-    begins = np.r_[0, ends[:-1]] if len(ends) else ends
-    owner = np.repeat(np.arange(len(ends)), ends - begins)
+def passages(part: Portion) -> tuple[np.ndarray, ...]:
+    """(text, first word, hash, anchor's hash, anchor's place) of each run of PASSAGE words; the anchor's hash is of the other half."""
+    whole = run_hashes(part.words)[1]
+    short = run_hashes(part.others)[0]
+    owner = np.repeat(np.arange(len(part.text_at) - 1), np.diff(part.text_at))
     at = np.arange(len(whole))
-    at = at[owner[at] == owner[at + PASSAGE - 1]] if len(whole) else at
-    place = least_places(short, PASSAGE - ANCHOR + 1)[at] if len(at) else at
-    return owner[at], at - begins[owner[at]], whole[at], short[place] if len(at) else short[:0], place
+    if not len(at):
+        return at, at, whole, short[:0], at
+    at = at[owner[at] == owner[at + PASSAGE - 1]]
+    place = least_places(short, PASSAGE - ANCHOR + 1)[at]
+    return owner[at], at - part.text_at[:-1][owner[at]], whole[at], short[place], place
 
 
 def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about a million bytes of text, or one longer text, so that a worker holds few words at a time."""
+    """The batches in slices of about a million characters of text, or one longer text, so that a worker holds few words at a time."""
     for batch in batches:
         at = np.cumsum([len(t) for t in batch.column("_s_text").to_pylist()]) >> 20
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
@@ -197,50 +186,113 @@ def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(begin, end - begin)
 
 
-def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    for batch in portions(batches):
-        *_, anchor, place = passages(batch.column("_s_text").to_pylist(), known)
-        h, n = np.unique(anchor[np.unique(place, return_index=True)[1]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["_s_hash", "_s_count"])
+def _counts(words: bool):
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of spans and anchors in a portion, each with its count."""
+        known = Known()
+        for batch in portions(batches):
+            part = Portion(batch.column("_s_text").to_pylist(), known)
+            found = [spans(part)[0]]
+            if words:
+                *_, anchor, place = passages(part)
+                found.append(anchor[np.unique(place, return_index=True)[1]])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["_s_hash", "_s_count"])
 
+    return counts
 
-def _likely(bits):
-    """The runs of PASSAGE words whose anchor may be repeated: those in a row with one anchor as the first's place and all hashes."""
 
-    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(BITS, dtype=bool)
+    for batch in batches:
+        bits[batch.column("_s_hash").to_numpy().view(np.uint64) % np.uint64(BITS)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+
+def bit_map(hashes: DataFrame):
+    """A broadcast bit map of fixed size; what it does not mark is not among the hashes."""
+    bits = np.zeros(BITS // 8, dtype=np.uint8)
+    for row in hashes.mapInArrow(_bits, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row.bits, dtype=np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def marked_in(bits, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes.view(np.uint64) % np.uint64(BITS)
+    marks = np.frombuffer(bits.value, dtype=np.uint8)[(bit >> np.uint64(3)).astype(np.int64)]
+    return (marks >> (np.uint64(7) - bit % np.uint64(8)).astype(np.uint8) & 1).astype(bool)
+
+
+#: Spans and stretches of one table. h1, h2: of a span its key, of a stretch its anchor and the sum of its runs' hashes.
+FOUND = "_s_none boolean, _s_id long, _s_key long, _s_h1 long, _s_h2 long, _s_begin int, _s_end int, _s_runs array<long>"
+
+
+def _occurrences(bits, words: bool):
+    def rows(batch: pa.RecordBatch, text: np.ndarray, *columns) -> pa.RecordBatch:
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        own = [batch.column(c).take(pa.array(text)) for c in names[:3]]
+        h1, h2, begin, end, runs = columns
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(h.view(np.int64)) for h in (h1, h2)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), runs], names)
+
+    def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in portions(batches):
-            owner, begin, whole, anchor, place = passages(batch.column("_s_text").to_pylist(), known)
+            part = Portion(batch.column("_s_text").to_pylist(), known)
+            h1, h2, text, begin, end = spans(part)
+            own = marked_in(bits, h1)
+            yield rows(batch, text[own], h1[own], h2[own], begin[own], end[own], pa.nulls(int(own.sum()), pa.list_(pa.int64())))
+            if not words:
+                continue
+            text, begin, whole, anchor, place = passages(part)
             own = marked_in(bits, anchor)
-            owner, begin, whole, place = owner[own], begin[own], whole[own], place[own]
+            text, begin, whole, anchor, place = (x[own] for x in (text, begin, whole, anchor, place))
             starts = np.flatnonzero(np.diff(place, prepend=-1))
-            rows = [batch.column(c).take(pa.array(owner[starts])) for c in ("_s_id", "_s_key")]
+            if not len(starts):
+                continue
+            lengths = np.diff(np.r_[starts, len(whole)])
+            nth = (np.arange(len(whole)) - np.repeat(starts, lengths)).astype(np.uint64)
+            sums = _mixed(np.add.reduceat(_mixed(whole + nth * _B), starts) + lengths.astype(np.uint64) * _M)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(whole)].astype(np.int32)), pa.array(whole.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(begin[starts].astype(np.int32)), lists], ["_s_id", "_s_key", "_s_place", "_s_hashes"])
+            yield rows(batch, text[starts], anchor[starts], sums, begin[starts], begin[starts] + lengths - 1, lists)
+
+    return occurrences
+
+
+KEY = ["_s_none", "_s_id", "_s_key"]
+
+
+def place() -> Column:
+    return F.struct(*KEY, "_s_begin")
+
 
-    return likely
+def firsts(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The first place of each key that is there more than once."""
+    found = rows.groupBy(*key).agg(F.min(place()).alias("_s_first"), F.count("*").alias("_s_count"))
+    return written(found.where("_s_count > 1").drop("_s_count"))
 
 
-def later_passages(keyed: DataFrame) -> DataFrame:
-    """(_s_id, _s_key, _s_words): first words of the runs of PASSAGE words that stand earlier."""
-    counts = keyed.select("_s_text").mapInArrow(_anchors, "_s_hash long, _s_count long").groupBy("_s_hash").agg(F.sum("_s_count").alias("_s_count"))
-    repeated = cut(counts.where("_s_count > 1").select("_s_hash"), narrow=True)
-    runs = cut(keyed.mapInArrow(_likely(bit_map(repeated)), "_s_id long, _s_key long, _s_place int, _s_hashes array<long>"))
-    here = runs.select("_s_id", "_s_key", "_s_place", F.posexplode("_s_hashes").alias("_s_at", "_s_hash"))
-    here = here.select("_s_id", "_s_key", "_s_hash", (F.col("_s_place") + F.col("_s_at")).alias("_s_begin"))
-    place = F.struct("_s_id", "_s_key", "_s_begin")
-    first = here.groupBy("_s_hash").agg(F.min(place).alias("_s_first"), F.count("*").alias("_s_count")).where("_s_count > 1").drop("_s_count")
-    later = here.join(cut(first, narrow=True), "_s_hash").where(place != F.col("_s_first"))
-    return later.groupBy("_s_id", "_s_key").agg(F.collect_set("_s_begin").alias("_s_words"))
+def later_stretches(stretches: DataFrame) -> DataFrame:
+    """(KEY, _s_begin, _s_end): from which to which word runs of PASSAGE words begin that stand earlier."""
+    sort = ["_s_h1", "_s_h2"]
+    kinds = stretches.groupBy(*sort).agg(F.min(F.struct(*KEY, "_s_begin", "_s_end")).alias("_s_first"), F.count("*").alias("_s_count"))
+    kinds = written(kinds)
+    again = kinds.where("_s_count > 1").select(*sort, F.struct(*(F.col(f"_s_first.{c}") for c in (*KEY, "_s_begin"))).alias("_s_first"))
+    later = stretches.join(again, sort).where(place() != F.col("_s_first")).select(*KEY, "_s_begin", "_s_end")
+    different = kinds.groupBy("_s_h1").agg(F.count("*").alias("_s_count")).where("_s_count > 1").select("_s_h1")
+    heads = kinds.join(different, "_s_h1").select(*sort, F.col("_s_first.*")).select(*sort, *KEY, "_s_begin")
+    runs = stretches.join(heads, [*sort, *KEY, "_s_begin"]).dropDuplicates([*sort, *KEY, "_s_begin"])
+    runs = runs.select(*KEY, "_s_h1", "_s_begin", F.posexplode("_s_runs").alias("_s_at", "_s_run")).select(*KEY, "_s_h1", "_s_run", (F.col("_s_begin") + F.col("_s_at")).alias("_s_begin"))
+    single = runs.join(firsts(runs, ["_s_h1", "_s_run"]), ["_s_h1", "_s_run"]).where(place() != F.col("_s_first"))
+    return later.union(single.select(*KEY, "_s_begin", F.col("_s_begin").alias("_s_end")))
 
 
-def cut_text(text: str, gone: list[tuple[int, int]], begins: list[int]) -> tuple[str, int]:
-    """The text without the gone ranges and the runs of PASSAGE words that begin at begins, and how many words went."""
+def cut_text(text: str, gone: list[tuple[int, int]], later: list) -> tuple[str, int]:
+    """The text without the gone ranges and the runs of PASSAGE words that begin in the later ranges of words, and how many words went."""
     places = [m.start() for m in WORD.finditer(text)]
     edge = np.zeros(len(places) + 1, dtype=np.int64)
-    np.add.at(edge, np.array(begins, dtype=np.int64), 1)
-    np.add.at(edge, np.array(begins, dtype=np.int64) + PASSAGE, -1)
+    for own in later:
+        edge[own["_s_begin"]] += 1
+        edge[own["_s_end"] + PASSAGE] -= 1
     for a, b in gone:
         edge[bisect_left(places, a)] += 1
         edge[bisect_left(places, b)] -= 1
@@ -254,10 +306,10 @@ def cut_text(text: str, gone: list[tuple[int, int]], begins: list[int]) -> tuple
 def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, gone, cuts, words = [], [], [], [], []
-        for text, begins, ends, later in zip(*(batch.column(c).to_pylist() for c in ("_s_text", "_s_begins", "_s_ends", "_s_words")), strict=True):
+        for text, covers, later in zip(*(batch.column(c).to_pylist() for c in ("_s_text", "_s_spans", "_s_words")), strict=True):
             places = sentences(text or "")
             counts.append(len(places))
-            if not begins:
+            if not covers:
                 texts.append(text)
                 gone.append(0)
                 own = cut_text(text, [], later) if later else (text, 0)
@@ -265,8 +317,9 @@ def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.append(own[1])
                 continue
             edge = np.zeros(len(places) + 1, dtype=np.int64)
-            np.add.at(edge, np.array(begins), 1)
-            np.add.at(edge, np.array(ends) + 1, -1)
+            for own in covers:
+                edge[own["_s_begin"]] += 1
+                edge[own["_s_end"] + 1] -= 1
             covered = np.cumsum(edge[:-1]) > 0
             gone.append(int(covered.sum()))
             texts.append("".join(text[a:c] for (a, _, c), out in zip(places, covered, strict=True) if not out).rstrip())
@@ -274,7 +327,7 @@ def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts.append(own[0])
             words.append(own[1])
         at = batch.schema.get_field_index("_s_text")
-        done = batch.set_column(at, "_s_text", pa.array(texts, pa.string())).drop_columns(["_s_begins", "_s_ends", "_s_words"])
+        done = batch.set_column(at, "_s_text", pa.array(texts, pa.string())).drop_columns(["_s_spans", "_s_words"])
         done = done.append_column("_s_cut", pa.array(cuts, pa.string())).append_column("_s_cut_words", pa.array(words, pa.int64()))
         yield done.append_column("_s_sentences", pa.array(counts, pa.int64())).append_column("_s_gone", pa.array(gone, pa.int64()))
 
@@ -284,18 +337,19 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     words: also _s_cut, the text without the words of repeated passages, too, and _s_cut_words (how many words went).
     """
-    keyed = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long").alias("_s_id"), F.xxhash64(F.col(doc_id).isNull(), text_of(text)).alias("_s_key"), text_of(text).alias("_s_text"))
-    counts = keyed.select("_s_text").mapInArrow(_hashes, "_s_hash long, _s_count long").groupBy("_s_hash").agg(F.sum("_s_count").alias("_s_count"))
-    repeated = cut(counts.where("_s_count > 1").select("_s_hash"), narrow=True)
-    here = keyed.mapInArrow(_occurrences(bit_map(repeated)), "_s_id long, _s_key long, _s_hash long, _s_begin int, _s_end int")
-    here = cut(here.join(repeated, "_s_hash"))
-    first = cut(here.groupBy("_s_hash").agg(F.min(F.struct("_s_id", "_s_key", "_s_begin")).alias("_s_first")), narrow=True)
-    later = here.join(first, "_s_hash").where(F.struct("_s_id", "_s_key", "_s_begin") != F.col("_s_first"))
-    own = later.groupBy("_s_id", "_s_key").agg(F.collect_list("_s_begin").alias("_s_begins"), F.collect_list("_s_end").alias("_s_ends"))
-    own = own.join(later_passages(keyed), ["_s_id", "_s_key"], "full") if words else own.withColumn("_s_words", F.lit(None).cast("array<int>"))
+    names = {"_s_none": F.col(doc_id).isNull(), "_s_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_s_key": F.xxhash64(text_of(text))}
+    keyed = docs.select(*(c.alias(n) for n, c in names.items()), text_of(text).alias("_s_text"))
+    counts = keyed.select("_s_text").mapInArrow(_counts(words), "_s_hash long, _s_count long").groupBy("_s_hash").agg(F.sum("_s_count").alias("_s_count"))
+    bits = bit_map(counts.where("_s_count > 1").select("_s_hash"))
+    found = written(keyed.mapInArrow(_occurrences(bits, words), FOUND))
+    own = found.where("_s_runs is null").select(*KEY, "_s_h1", "_s_h2", "_s_begin", "_s_end")
+    later = own.join(firsts(own, ["_s_h1", "_s_h2"]), ["_s_h1", "_s_h2"]).where(place() != F.col("_s_first")).select(*KEY, "_s_begin", "_s_end", F.lit(True).alias("_s_is_span"))
+    if words:
+        later = later.union(later_stretches(found.where("_s_runs is not null")).withColumn("_s_is_span", F.lit(False)))
+    listed = lambda c: F.collect_list(F.when(c, F.struct("_s_begin", "_s_end")))
+    gone = later.distinct().groupBy(*KEY).agg(listed(F.col("_s_is_span")).alias("_s_spans"), listed(~F.col("_s_is_span")).alias("_s_words"))
     others = [c for c in docs.columns if c != text]
-    marked = docs.withColumns({"_s_id": F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long"), "_s_key": F.xxhash64(F.col(doc_id).isNull(), text_of(text))})
-    marked = marked.join(own, ["_s_id", "_s_key"], "left").select(*others, F.col(text).alias("_s_text"), "_s_begins", "_s_ends", "_s_words")
+    marked = docs.withColumns(names).join(gone, KEY, "left").select(*others, F.col(text).alias("_s_text"), "_s_spans", "_s_words")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
     done = marked.mapInArrow(_removed, ", ".join([*kept, "_s_text string", "_s_cut string", "_s_cut_words long", "_s_sentences long", "_s_gone long"]))
     return done.select(*(F.col("_s_text").alias(text) if c == text else c for c in docs.columns), "_s_sentences", "_s_gone", *(["_s_cut_words", "_s_cut"] if words else []))
