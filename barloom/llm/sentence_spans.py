@@ -33,6 +33,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -261,6 +262,21 @@ def _occurrences(bits, words: bool):
 KEY = ["_s_none", "_s_id", "_s_key"]
 
 
+def only_marked(rows: DataFrame, bits, key: list[str]) -> DataFrame:
+    """The rows whose key may be among those of the bit map: less to shuffle before a join with them."""
+
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked_in(bits, batch.column("_s_hash").to_numpy())))
+
+    hashed = rows.withColumn("_s_hash", F.xxhash64(*key))
+    return hashed.mapInArrow(marked, hashed.schema).drop("_s_hash")
+
+
+def key_bits(rows: DataFrame, key: list[str]):
+    return bit_map(rows.select(F.xxhash64(*key).alias("_s_hash")))
+
+
 def place() -> Column:
     return F.struct(*KEY, "_s_begin")
 
@@ -280,7 +296,8 @@ def later_stretches(stretches: DataFrame) -> DataFrame:
     later = stretches.join(again, sort).where(place() != F.col("_s_first")).select(*KEY, "_s_begin", "_s_end")
     different = kinds.groupBy("_s_h1").agg(F.count("*").alias("_s_count")).where("_s_count > 1").select("_s_h1")
     heads = kinds.join(different, "_s_h1").select(*sort, F.col("_s_first.*")).select(*sort, *KEY, "_s_begin")
-    runs = stretches.join(heads, [*sort, *KEY, "_s_begin"]).dropDuplicates([*sort, *KEY, "_s_begin"])
+    one = [*sort, *KEY, "_s_begin"]
+    runs = only_marked(stretches, key_bits(heads, one), one).join(heads, one).dropDuplicates(one)
     runs = runs.select(*KEY, "_s_h1", "_s_begin", F.posexplode("_s_runs").alias("_s_at", "_s_run")).select(*KEY, "_s_h1", "_s_run", (F.col("_s_begin") + F.col("_s_at")).alias("_s_begin"))
     single = runs.join(firsts(runs, ["_s_h1", "_s_run"]), ["_s_h1", "_s_run"]).where(place() != F.col("_s_first"))
     return later.union(single.select(*KEY, "_s_begin", F.col("_s_begin").alias("_s_end")))
@@ -337,7 +354,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     words: also _s_cut, the text without the words of repeated passages, too, and _s_cut_words (how many words went).
     """
-    names = {"_s_none": F.col(doc_id).isNull(), "_s_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_s_key": F.xxhash64(text_of(text))}
+    names: dict[str, Column] = {"_s_none": F.col(doc_id).isNull(), "_s_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_s_key": F.xxhash64(text_of(text))}
     keyed = docs.select(*(c.alias(n) for n, c in names.items()), text_of(text).alias("_s_text"))
     counts = keyed.select("_s_text").mapInArrow(_counts(words), "_s_hash long, _s_count long").groupBy("_s_hash").agg(F.sum("_s_count").alias("_s_count"))
     bits = bit_map(counts.where("_s_count > 1").select("_s_hash"))
@@ -346,10 +363,20 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     later = own.join(firsts(own, ["_s_h1", "_s_h2"]), ["_s_h1", "_s_h2"]).where(place() != F.col("_s_first")).select(*KEY, "_s_begin", "_s_end", F.lit(True).alias("_s_is_span"))
     if words:
         later = later.union(later_stretches(found.where("_s_runs is not null")).withColumn("_s_is_span", F.lit(False)))
-    listed = lambda c: F.collect_list(F.when(c, F.struct("_s_begin", "_s_end")))
-    gone = later.distinct().groupBy(*KEY).agg(listed(F.col("_s_is_span")).alias("_s_spans"), listed(~F.col("_s_is_span")).alias("_s_words"))
+    listed = lambda c: F.collect_set(F.when(c, F.struct("_s_begin", "_s_end")))
+    gone = later.groupBy(*KEY).agg(listed(F.col("_s_is_span")).alias("_s_spans"), listed(~F.col("_s_is_span")).alias("_s_words"))
     others = [c for c in docs.columns if c != text]
-    marked = docs.withColumns(names).join(gone, KEY, "left").select(*others, F.col(text).alias("_s_text"), "_s_spans", "_s_words")
+    gone = written(gone)
+    changed = key_bits(gone, KEY)
+
+    @F.pandas_udf("boolean")
+    def is_marked(hashes: pd.Series) -> pd.Series:
+        return pd.Series(marked_in(changed, hashes.to_numpy()))
+
+    named = docs.withColumns(names).withColumn("_s_hit", is_marked(F.xxhash64(*(names[k] for k in KEY))))
+    columns = [*others, F.col(text).alias("_s_text"), "_s_spans", "_s_words"]
+    marked = named.where("_s_hit").join(gone, KEY, "left").select(*columns)
+    marked = marked.union(named.where("not _s_hit").withColumns({c: F.lit(None).cast(gone.schema[c].dataType) for c in ("_s_spans", "_s_words")}).select(*columns))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
     done = marked.mapInArrow(_removed, ", ".join([*kept, "_s_text string", "_s_cut string", "_s_cut_words long", "_s_sentences long", "_s_gone long"]))
     return done.select(*(F.col("_s_text").alias(text) if c == text else c for c in docs.columns), "_s_sentences", "_s_gone", *(["_s_cut_words", "_s_cut"] if words else []))
