@@ -401,8 +401,12 @@ def window_inventory(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
+    """A new folder below the session's spark.checkpoint.dir; only a local session without one gets a folder of its machine."""
     context = spark.sparkContext
-    return f"{context.getCheckpointDir() or context.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='barloom-')}/stream-{uuid.uuid4().hex}"
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='barloom-')}/stream-{uuid.uuid4().hex}"
 
 
 @query(
@@ -413,8 +417,8 @@ def stream_weekly_volume(spark, d):
     """The weekly volumes as a stream that processes all files and stops."""
     path, out = f"{d}/lineitem.parquet", _folder(spark)
     events = ingest.arrivals(spark, f"{path}*", spark.read.parquet(path).schema).select(src.code_of("l_suppkey").alias("code"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").alias("volume"))
-    ingest.run_once(ingest.weekly_volume(events), f"{out}/rows", f"{out}/state", "complete")
-    return spark.read.parquet(f"{out}/rows").select("code", F.to_date("w.start").alias("date"), "volume")
+    ingest.run_once(ingest.weekly_volume(events), f"{out}/rows", f"{out}/state", "update")
+    return ingest.latest(spark, f"{out}/rows", ["code", "w"]).select("code", F.to_date("w.start").alias("date"), "volume")
 
 
 

@@ -33,15 +33,19 @@ def derived(facts: DataFrame) -> DataFrame:
 def as_of(panel: DataFrame, facts: DataFrame, fields: list[str]) -> DataFrame:
     """panel with the fields as known on each day: the last published value that is there, of one day's the latest period.
 
-    Publications and bars share one calendar, over which values are carried; so the join is one window along a code.
+    Publications are rows among the bars of their code, before those of their day; each field's last value is carried
+    along with the number of its day in the calendar of all trading and publication days, and dropped when that is
+    CARRY days back. One exchange by code; only the calendar, a row a day, is broadcast.
     """
     latest = Window.partitionBy("code", "pub_date").orderBy("stat_date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     one = facts.select("code", F.col("pub_date").alias("date"), *(F.last(f, ignorenulls=True).over(latest).alias(f) for f in fields)).dropDuplicates(["code", "date"])
-    calendar = panel.select("date").distinct().union(facts.select("pub_date")).distinct()
-    grid = panel.select("code").distinct().crossJoin(calendar).join(one, ["code", "date"], "left")
-    carried = Window.partitionBy("code").orderBy("date").rowsBetween(-CARRY, 0)
-    known = grid.select("code", "date", *(F.last(f, ignorenulls=True).over(carried).alias(f) for f in fields))
-    return panel.join(known, ["code", "date"], "left")
+    calendar = panel.select("date").distinct().union(facts.select("pub_date")).distinct().withColumn("_at", F.row_number().over(Window.orderBy("date")))
+    own = [c for c in panel.columns if c not in fields]
+    rows = panel.select(*own).withColumn("_bar", F.lit(True)).unionByName(one.withColumn("_bar", F.lit(False)), allowMissingColumns=True).join(F.broadcast(calendar), "date")
+    carried = Window.partitionBy("code").orderBy("_at", "_bar").rowsBetween(Window.unboundedPreceding, 0)
+    last = {f: F.last(F.when(F.col(f).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(f).alias("value"))), ignorenulls=True).over(carried) for f in fields}
+    known = rows.select(*own, "_bar", "_at", *(c.alias(f) for f, c in last.items())).where("_bar")
+    return known.select(*own, *(F.when(F.col("_at") - F.col(f"{f}.at") <= CARRY, F.col(f"{f}.value")).alias(f) for f in fields))
 
 
 def over(a: Column, b: Column) -> Column:

@@ -77,9 +77,9 @@ def score(triggers: str = "triggers") -> Column:
     return F.greatest(F.least(total, F.lit(10)), F.lit(-10))
 
 
-def combined(daily: Column, weekly: Column, share: float = 0.6, bonus: float = 1.0) -> Column:
-    """Both scores by their shares, and a bonus where their signs agree."""
-    agree = F.when((daily > 0) & (weekly > 0), bonus).when((daily < 0) & (weekly < 0), -bonus).otherwise(0.0)
+def combined(daily: Column, weekly: Column, share: float = 0.7, bonus: float = 2.0, daily_least: float = 3.0, weekly_least: float = 1.0) -> Column:
+    """Both scores by their shares, and a bonus where both go the same way and far enough."""
+    agree = F.when((daily >= daily_least) & (weekly >= weekly_least), bonus).when((daily <= -daily_least) & (weekly <= -weekly_least), -bonus).otherwise(0.0)
     return F.greatest(F.least(share * daily + (1 - share) * weekly + agree, F.lit(10.0)), F.lit(-10.0))
 
 

@@ -22,8 +22,20 @@ def deduplicated(bars: DataFrame, late: str = "14 days") -> DataFrame:
 
 
 def run_once(stream: DataFrame, out: str, state: str, mode: str = "append") -> None:
-    """Process all that is there and stop; the state folder makes the next run go on from here."""
+    """Process all that is there and stop; the state folder makes the next run go on from here.
+
+    In mode update every batch writes the groups that changed to a folder of its own; latest() reads the last of each.
+    State that the watermark has passed is dropped, unlike with mode complete.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        writer.format("parquet").option("path", out).start().awaitTermination()
     else:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+        writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")).start().awaitTermination()
+
+
+def latest(spark: SparkSession, out: str, key: list[str]) -> DataFrame:
+    """Of the batches below out the last row of each key."""
+    rows = spark.read.parquet(out)
+    others = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*key, "last.*")

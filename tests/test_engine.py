@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import analysis, fundamentals, modelling, simulate, universe
 from barloom.queries import ORACLES, QUERIES
@@ -137,3 +138,35 @@ def test_summary_numbers(spark):
     d, n = own - own.mean(), len(own)
     nw = (d * d).sum() + 2 * sum((1 - k / 6) * (d[k:] * d[:-k]).sum() for k in range(1, 6))
     assert analysis.newey_west(df).first().nw_std == pytest.approx(math.sqrt(max(nw, 0) / n))
+
+
+def test_combined_scores_need_both_far_enough(spark):
+    from barloom.operators import indicators
+
+    rows = [(3, 1), (2, 1), (3, 0), (-3, -1), (-2, -5), (10, 10), (-10, -10), (0, 0)]
+    found = spark.createDataFrame([(float(a), float(b)) for a, b in rows], "a double, b double").select("a", "b", indicators.combined(F.col("a"), F.col("b")).alias("c")).collect()
+
+    def hand(a, b):
+        bonus = 2 if a >= 3 and b >= 1 else -2 if a <= -3 and b <= -1 else 0
+        return max(-10, min(10, 0.7 * a + 0.3 * b + bonus))
+
+    assert all(abs(r.c - hand(r.a, r.b)) < 1e-12 for r in found)
+
+
+def test_facts_are_carried_for_a_bounded_number_of_days(spark):
+    """Against a walk along the calendar: nulls, two reports of a day, a report on a day without bars, and a stale one."""
+    day = lambda k: DAY + dt.timedelta(days=k)
+    panel = [(c, day(k), 1.0) for c in ("a", "b") for k in range(0, 600, 2) if not (c == "b" and k < 40)]
+    facts = [("a", day(10), day(21), 1.0, None), ("a", day(5), day(21), 9.0, 2.0), ("a", day(30), day(50), None, 3.0), ("b", day(3), day(30), 5.0, None), ("c", day(3), day(30), 7.0, 7.0)]
+    found = fundamentals.as_of(spark.createDataFrame(panel, "code string, date date, x double"), spark.createDataFrame(facts, "code string, stat_date date, pub_date date, p double, q double"), ["p", "q"]).collect()
+    calendar = sorted({d for _, d, _ in panel} | {f[2] for f in facts})
+
+    def hand(code, date, k):
+        last = None
+        for own in sorted((f[2], f[1], f[k]) for f in facts if f[0] == code and f[2] <= date and f[k] is not None):
+            last = own
+        return last[2] if last and calendar.index(date) - calendar.index(last[0]) <= fundamentals.CARRY else None
+
+    assert len(found) == len(panel)
+    assert all((r.p, r.q, r.x) == (hand(r.code, r.date, 3), hand(r.code, r.date, 4), 1.0) for r in found)
+    assert any(r.p is None for r in found if r.code == "a" and r.date > day(400))
