@@ -79,7 +79,7 @@ class Known(dict):
         return at
 
     def forget(self) -> None:
-        if len(self) > 150_000:
+        if len(self) > 50_000:
             self.clear()
             self.hashes.clear()
             self.ends.clear()
@@ -178,9 +178,9 @@ def passages(part: Portion) -> tuple[np.ndarray, ...]:
 
 
 def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about a million characters of text, or one longer text, so that a worker holds few words at a time."""
+    """The batches in slices of about half a million characters of text, or one longer text, so that a worker holds few words at a time."""
     for batch in batches:
-        at = np.cumsum([len(t) for t in batch.column("_s_text").to_pylist()]) >> 20
+        at = np.cumsum([len(t) for t in batch.column("_s_text").to_pylist()]) >> 19
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
         for begin, end in zip(cuts, cuts[1:], strict=False):
             if end > begin:
@@ -204,10 +204,11 @@ def _counts(words: bool):
 
 
 def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BITS, dtype=bool)
+    bits = np.zeros(BITS // 8, dtype=np.uint8)
     for batch in batches:
-        bits[batch.column("_s_hash").to_numpy().view(np.uint64) % np.uint64(BITS)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+        bit = batch.column("_s_hash").to_numpy().view(np.uint64) % np.uint64(BITS)
+        np.bitwise_or.at(bits, (bit >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (bit % np.uint64(8)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
 
 def bit_map(hashes: DataFrame):
