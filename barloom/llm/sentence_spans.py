@@ -33,8 +33,8 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +48,9 @@ BITS = 1 << 26
 WORD = re.compile(r"\S+")
 #: What ends a sentence: white space after a full stop, question or exclamation mark, and line ends.
 BREAK = re.compile(r"[.!?]\s+|\n\s*")
+#: The same for Java's expressions, whose \s is ASCII alone: what Python takes for white space, and the breaks without their mark.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+JAVA_BREAK = rf"(?<=[.!?])[{SPACE}]+|\n[{SPACE}]*"
 _B, _C, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -64,6 +67,11 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def sentence_count(text: Column) -> Column:
+    """How many sentences() finds, by built-in functions."""
+    return F.size(F.filter(F.split(text, JAVA_BREAK), lambda part: part.rlike(f"[^{SPACE}]"))).cast("long")
+
+
 class Known(dict):
     """Words with the place of their hash in one list; two halves of 128 bits a word."""
 
@@ -180,7 +188,7 @@ def passages(part: Portion) -> tuple[np.ndarray, ...]:
 def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about half a million characters of text, or one longer text, so that a worker holds few words at a time."""
     for batch in batches:
-        at = np.cumsum([len(t) for t in batch.column("_s_text").to_pylist()]) >> 19
+        at = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("_s_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) >> 19
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
         for begin, end in zip(cuts, cuts[1:], strict=False):
             if end > begin:
@@ -322,7 +330,7 @@ def cut_text(text: str, gone: list[tuple[int, int]], later: list) -> tuple[str,
 
 
 def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         texts, counts, gone, cuts, words = [], [], [], [], []
         for text, covers, later in zip(*(batch.column(c).to_pylist() for c in ("_s_text", "_s_spans", "_s_words")), strict=True):
             places = sentences(text or "")
@@ -370,16 +378,19 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     gone = written(gone)
     changed = key_bits(gone, KEY)
 
-    @F.pandas_udf("boolean")
-    def is_marked(hashes: pd.Series) -> pd.Series:
-        return pd.Series(marked_in(changed, hashes.to_numpy()))
+    @F.arrow_udf("boolean")
+    def is_marked(hashes: pa.Array) -> pa.Array:
+        return pa.array(marked_in(changed, hashes.to_numpy(zero_copy_only=False)))
 
     named = docs.withColumns(names).withColumn("_s_hit", is_marked(F.xxhash64(*(names[k] for k in KEY))))
     columns = [*others, F.col(text).alias("_s_text"), "_s_spans", "_s_words"]
     marked = named.where("_s_hit").join(gone, KEY, "left").select(*columns)
-    marked = marked.union(named.where("not _s_hit").withColumns({c: F.lit(None).cast(gone.schema[c].dataType) for c in ("_s_spans", "_s_words")}).select(*columns))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
     done = marked.mapInArrow(_removed, ", ".join([*kept, "_s_text string", "_s_cut string", "_s_cut_words long", "_s_sentences long", "_s_gone long"]))
+    # the rows that the bit map rules out stay as they are, without a Python worker for their texts
+    zero, whole = F.lit(0).cast("long"), F.col(text)
+    same = named.where("not _s_hit").select(*others, whole.alias("_s_text"), whole.alias("_s_cut"), zero.alias("_s_cut_words"), sentence_count(text_of(text)).alias("_s_sentences"), zero.alias("_s_gone"))
+    done = done.union(same)
     return done.select(*(F.col("_s_text").alias(text) if c == text else c for c in docs.columns), "_s_sentences", "_s_gone", *(["_s_cut_words", "_s_cut"] if words else []))
 
 

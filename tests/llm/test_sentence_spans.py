@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from barloom.llm import sentence_spans as op
 from barloom.llm.queries import op5_sentence_spans
 
@@ -123,3 +125,11 @@ def test_passages_that_begin_and_end_inside_sentences(spark, sf_dir):
     assert all(r.n_cut_words == len((t or "").split()) - len(expected[k]) for k, t in rows for r in [found[k]])
     assert [found[k].n_cut_words for k in (1, 2, 3, 4, 5, 6, 7, 10)] == [0, 55, 0, 57, 0, 0, 60, 0]
     assert found[8].cut_text is None and found[1].cut_text == rows[0][1] and found[2].n_removed == 0
+
+
+def test_sentence_count_as_in_python(spark):
+    marks = [".", "!", "?", "a", "b.", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\u00e9"]
+    rng = random.Random(8)
+    texts = ["", " ", "\n", "One. Two! Three", *("".join(rng.choice(marks) for _ in range(rng.randrange(1, 30))) for _ in range(3000))]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", op.sentence_count(F.col("text")).alias("n")).collect()
+    assert [r.n for r in found] == [len(op.sentences(r.text)) for r in found]
