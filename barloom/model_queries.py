@@ -365,7 +365,7 @@ def walk_forward_models(spark, d):
 @query("score_contributions")
 def score_contributions(spark, d):
     rows = training(spark, d)
-    found = modelling.top_contributions(rows, modelling.walk_forward(rows, NAMES)[1], NAMES, 2)
+    found = modelling.top_contributions(rows, modelling.walk_forward(rows, NAMES)[1], NAMES)
     return found.select("code", "date", F.array_join(F.transform("factors", lambda x: x["factor"]), ",").alias("factors"))
 
 
@@ -461,7 +461,7 @@ def subperiod_deltas(spark, d):
 
 @query("bootstrap_deltas")
 def bootstrap_deltas(spark, d):
-    return simulate.bootstrap_sharpe(arm_returns(spark, d), 500).select("draw", *r6("diff"))
+    return simulate.bootstrap_sharpe(arm_returns(spark, d)).select("draw", *r6("diff"))
 
 
 @query("facts_wide", "SELECT stat_date, " + ", ".join(f"max(roe) FILTER (k = {k}) AS c{k}" for k in range(4)) + " FROM (SELECT *, CAST(substr(code, 4) AS INTEGER) AS k FROM facts) GROUP BY stat_date", facts=FACTS)
