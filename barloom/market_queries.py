@@ -399,7 +399,7 @@ def ic_weights(spark, d):
     "chunk_ir",
     f"""SELECT factor, round(avg(ic), 6) AS mean_ic, round(stddev_pop(ic), 6) AS std_ic, round(avg(ic) / nullif(stddev_pop(ic), 0), 6) AS ir FROM (
          SELECT factor, {CORR} AS ic FROM (SELECT factor, chunk, {ranked_sql("value", "factor, chunk")} AS x, {ranked_sql("fwd", "factor, chunk")} AS y FROM (
-           SELECT *, ((row_number() OVER (PARTITION BY factor ORDER BY code, date) - 1) * 4) // count(*) OVER (PARTITION BY factor) AS chunk FROM long WHERE fwd IS NOT NULL AND value IS NOT NULL)) GROUP BY factor, chunk) GROUP BY factor""",
+           SELECT *, (row_number() OVER (PARTITION BY factor ORDER BY code, date) * 4 - 1) // count(*) OVER (PARTITION BY factor) AS chunk FROM long WHERE fwd IS NOT NULL AND value IS NOT NULL)) GROUP BY factor, chunk) GROUP BY factor""",
     **IC_TABLES,
 )
 def chunk_ir(spark, d):

@@ -109,13 +109,17 @@ def degenerate_days(rows: DataFrame, names: list[str]) -> DataFrame:
     return days.groupBy("factor").agg(F.avg(F.when(bad, 1.0).otherwise(0.0)).alias("degenerate"))
 
 
-def pick(metrics: DataFrame, correlations: DataFrame, n: int, most: float = 0.7, score: str = "abs_ic_mean") -> list[str]:
-    """Names of the n best factors of which none correlates above most with one before it.
+def pick(metrics: DataFrame, correlations: DataFrame, n: int, most: float = 0.7, score: str = "abs_ic_mean", least_ir: float = 0.0, degenerate: DataFrame | None = None, most_degenerate: float = 0.5) -> list[str]:
+    """Names of the n best factors (by the size of score) of which none correlates by most or more with one before it.
 
-    metrics and correlations are one row a factor and a pair of factors; the factor library bounds both.
+    Factors with an ir of a size below least_ir, or with too large a share of degenerate days, are passed over. metrics and
+    correlations are one row a factor and a pair of factors; the factor library bounds both.
     """
-    order = [r["factor"] for r in metrics.where(F.col(score).isNotNull()).orderBy(F.col(score).desc(), "factor").select("factor").collect()]
-    near = {(r["a"], r["b"]) for r in correlations.where(F.abs("corr") > most).select("a", "b").collect()}
+    own = metrics.where(F.col(score).isNotNull() & (F.coalesce(F.abs("ic_ir"), F.lit(0.0)) >= least_ir))
+    if degenerate is not None:
+        own = own.join(degenerate.select("factor", "degenerate"), "factor", "left").where(F.coalesce("degenerate", F.lit(0.0)) <= most_degenerate)
+    order = [r["factor"] for r in own.orderBy(F.abs(score).desc(), "factor").select("factor").collect()]
+    near = {(r["a"], r["b"]) for r in correlations.where(F.abs("corr") >= most).select("a", "b").collect()}
     out: list[str] = []
     for name in order:
         if len(out) < n and not any((name, held) in near for held in out):
@@ -147,10 +151,17 @@ def ic_weights(ic: DataFrame, least: float = 0.0) -> DataFrame:
 
 
 def chunk_ir(rows: DataFrame, names: list[str], chunks: int = 4) -> DataFrame:
-    """factor, ir: mean over spread of the coefficients of equal chunks of the rows in order of code and date."""
-    whole = Window.partitionBy("factor").orderBy("code", "date")
+    """factor, ir: mean over spread of the coefficients of equal chunks of the rows in order of code and date.
+
+    A row's number is the count of rows of the codes before its own (from a table of a row a factor and code) and its
+    number within the code, so that no window holds a whole factor.
+    """
     pairs = unpivot(rows.where("fwd is not null"), names, ["code", "date", "fwd"]).where("value is not null").withColumn("value", F.round("value", 9))
-    placed = pairs.withColumns({"nth": F.row_number().over(whole) - 1, "n": F.count("*").over(Window.partitionBy("factor"))}).withColumn("chunk", F.floor(F.col("nth") * chunks / F.col("n")))
+    counts, over = pairs.groupBy("factor", "code").agg(F.count("*").alias("own")), Window.partitionBy("factor")
+    before = F.coalesce(F.sum("own").over(over.orderBy("code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("factor", "code", before.alias("before"), F.sum("own").over(over).alias("n"))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("factor", "code").orderBy("date"))
+    placed = pairs.join(counts, ["factor", "code"]).withColumn("chunk", F.floor((nth * chunks - 1) / F.col("n")))
     ranked = placed.select("factor", "chunk", mean_rank(F.col("value"), ["factor", "chunk"]).alias("x"), mean_rank(F.col("fwd"), ["factor", "chunk"]).alias("y"))
-    per = ranked.groupBy("factor", "chunk").agg(correlated(F.col("x"), F.col("y")).alias("ic"))
-    return per.groupBy("factor").agg(F.avg("ic").alias("mean_ic"), F.stddev_pop("ic").alias("std_ic"), F.try_divide(F.avg("ic"), F.stddev_pop("ic")).alias("ir"))
+    per = ranked.groupBy("factor", "chunk").agg(F.coalesce(correlated(F.col("x"), F.col("y")), F.lit(0.0)).alias("ic"))
+    return per.groupBy("factor").agg(F.avg("ic").alias("mean_ic"), F.stddev_pop("ic").alias("std_ic"), F.when(F.stddev_pop("ic") >= 1e-12, F.avg("ic") / F.stddev_pop("ic")).alias("ir"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market_queries, model_queries
+from . import market_queries, model_queries, report_queries
 from .factors import library, registry
 from .sources import adapters
 
@@ -37,3 +37,5 @@ for _name, _query in market_queries.QUERIES.items():
     add(_name, _query, market_queries.ORACLES.get(_name))
 for _name, _query in model_queries.QUERIES.items():
     add(_name, _query, model_queries.ORACLES.get(_name))
+for _name, _query in report_queries.QUERIES.items():
+    add(_name, _query, report_queries.ORACLES.get(_name))

@@ -17,7 +17,7 @@ DAY = dt.date(2020, 1, 1)
 CHECKED = [
     "bars_weekly", "panel_grid", "tradability_mask", "eligibility", "candidate_pool_stratified", "top_k_capped", "recommendation_pool", "weekly_resample", "factors_technical", "factors_ewma", "factors_correlation", "factors_breadth",
     "factors_alpha101_03", "factors_gtja191_05", "factors_alpha101_variants_04", "daily_ic", "factor_newey_west", "ic_correlation", "regime_ic", "chunk_ir", "cs_industry_and_size", "facts_as_of", "factors_fundamental", "triggers",
-    "curve_metrics", "rebalance_log", "stream_weekly_volume",
+    "curve_metrics", "rebalance_log", "stream_weekly_volume", "verdict_statistics", "bars_after_warmup", "metric_spread", "variant_winners", "selection_json", "selection_diff", "ir_weights",
 ]
 
 
