@@ -85,7 +85,7 @@ def metric_spread(spark, d):
 
 # variants of a factor against their base on two halves of the days
 
-WINDOWS, BASE, CUT = (5, 10, 20, 60), 20, "1995-06-05"
+WINDOWS, BASE, CUT = (5, 10, 20, 60), 20, "1998-06-01"
 MOMENTA = " UNION ALL ".join(
     f"SELECT code, date, date >= DATE '{CUT}' AS late, close, 'momentum_{n}' AS factor, round(close / nullif(lag(close, {n}) OVER w, 0) - 1, 9) AS value, lead(close, 5) OVER w / nullif(close, 0) - 1 AS fwd FROM panel WINDOW w AS (PARTITION BY code ORDER BY date)" for n in WINDOWS
 )
