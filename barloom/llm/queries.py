@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprint, html_blocks, line_quality, mixing, ngram_join, pii, sentence_spans, toxicity
+from . import byte_bpe, exact_dedup, fingerprint, html_blocks, line_quality, mixing, ngram_join, pii, sentence_spans, spelling, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,4 +52,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op5_sentence_spans, op6_fingerprints, op7_html_blocks, op8_byte_bpe, op9_ngram_join, op10_toxicity)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op13_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op5_sentence_spans, op6_fingerprints, op7_html_blocks, op8_byte_bpe, op9_ngram_join, op10_toxicity, op13_spelling)}
