@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprint, html_blocks, line_quality, mixing, ngram_join, pii, sentence_spans, spelling, token_alignment, toxicity
+from . import byte_bpe, chat_format, exact_dedup, fingerprint, html_blocks, line_quality, mixing, ngram_join, pii, sentence_spans, spelling, token_alignment, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.op11_rows(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.op12_rows(table(spark, sf_dir, "documents"))
 
@@ -60,4 +64,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.op13_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op5_sentence_spans, op6_fingerprints, op7_html_blocks, op8_byte_bpe, op9_ngram_join, op10_toxicity, op12_token_alignment, op13_spelling)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_line_quality, op5_sentence_spans, op6_fingerprints, op7_html_blocks, op8_byte_bpe, op9_ngram_join, op10_toxicity, op11_chat_format, op12_token_alignment, op13_spelling)}
