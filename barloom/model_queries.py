@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 from .functions.fields import close, open_, ret, volume
 from .market_queries import FACTORS, SCORES, labelled, r6, scores
-from .operators import analysis, cross, fundamentals, indicators, modelling, series, simulate
+from .operators import analysis, cross, fundamentals, indicators, modelling, ranking, series, simulate
 from .plans.expression import as_sql, column, evaluate
 from .sources import adapters as src
+from .sources import shared
 from .streaming import ingest
 
 QUERIES: dict = {}
@@ -400,22 +398,13 @@ def window_inventory(spark, d):
 # streams
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the session's spark.checkpoint.dir; only a local session without one gets a folder of its machine."""
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not shared and not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='barloom-')}/stream-{uuid.uuid4().hex}"
-
-
 @query(
     "stream_weekly_volume",
     "SELECT code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, sum(l_quantity) AS volume FROM (SELECT " + src.code_sql("l_suppkey") + " AS code, l_shipdate, l_quantity FROM lineitem) GROUP BY 1, 2",
 )
 def stream_weekly_volume(spark, d):
     """The weekly volumes as a stream that processes all files and stops."""
-    path, out = f"{d}/lineitem.parquet", _folder(spark)
+    path, out = f"{d}/lineitem.parquet", shared.folder(spark, "stream")
     events = ingest.arrivals(spark, f"{path}*", spark.read.parquet(path).schema).select(src.code_of("l_suppkey").alias("code"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").alias("volume"))
     ingest.run_once(ingest.weekly_volume(events), f"{out}/rows", f"{out}/state", "update")
     return ingest.latest(spark, f"{out}/rows", ["code", "w"]).select("code", F.to_date("w.start").alias("date"), "volume")
@@ -434,9 +423,10 @@ def stream_weekly_volume(spark, d):
 )
 def quantile_verdicts(spark, d):
     own = scores(spark, d)
-    cuts = own.where("date < '2000-01-03'").agg(F.percentile("score", F.array(*map(F.lit, (0.9, 0.7, 0.3, 0.1)))).alias("q"))
-    best, good, poor, worst = (F.col("q")[k] for k in range(4))
-    return own.crossJoin(F.broadcast(cuts)).select("code", "date", indicators.quantile_verdict(F.col("score"), best, good, poor, worst).alias("verdict"))
+    cuts = ranking.quantiles(own.where("date < '2000-01-03'"), "score", [0.9, 0.7, 0.3, 0.1])
+    cuts = cuts.agg(*(F.max(F.when(F.col("share") == q, F.col("score"))).alias(n) for n, q in (("best", 0.9), ("good", 0.7), ("poor", 0.3), ("worst", 0.1))))
+    judged = indicators.quantile_verdict(F.col("score"), *map(F.col, ("best", "good", "poor", "worst")))
+    return own.crossJoin(F.broadcast(cuts)).select("code", "date", judged.alias("verdict"))  # the cuts are one row
 
 
 RETURNS = "SELECT date, avg(r) FILTER (code LIKE '600%') AS a, avg(r) FILTER (code LIKE '300%') AS b FROM (SELECT code, date, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS r FROM panel) GROUP BY date"

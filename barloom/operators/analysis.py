@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from . import ranking
 
 
 def by_code():
@@ -135,11 +137,16 @@ def standardise(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame
     return scored, stats
 
 
-def pooled_ic(rows: DataFrame, names: list[str]) -> DataFrame:
-    """factor, ic over all rows at once, by mean ranks."""
-    pairs = unpivot(rows.where("fwd is not null"), names, ["code", "date", "fwd"]).where("value is not null").withColumn("value", F.round("value", 9))
-    ranked = pairs.select("factor", mean_rank(F.col("value"), ["factor"]).alias("x"), mean_rank(F.col("fwd"), ["factor"]).alias("y"))
-    return ranked.groupBy("factor").agg(correlated(F.col("x"), F.col("y")).alias("ic"))
+def pooled_ic(rows: DataFrame, names: list[str], method: str = "spearman") -> DataFrame:
+    """factor, ic over all rows at once, by mean ranks (or by values); no task holds a factor."""
+    pairs = unpivot(rows.where("fwd is not null"), names, ["code", "date", "fwd"]).where("value is not null")
+    pairs = pairs.select("factor", F.round("value", 9).alias("value"), "fwd")
+    if method == "spearman":
+        pairs = written(pairs)
+        pairs = ranking.mean_ranks(ranking.mean_ranks(pairs, "value", "x", ["factor"]), "fwd", "y", ["factor"])
+    else:
+        pairs = pairs.select("factor", F.col("value").alias("x"), F.col("fwd").alias("y"))
+    return pairs.groupBy("factor").agg(correlated(F.col("x"), F.col("y")).alias("ic"))
 
 
 def ic_weights(ic: DataFrame, least: float = 0.0) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market_queries, model_queries, report_queries
+from . import library_queries, market_queries, model_queries, report_queries
 from .factors import library, registry
 from .sources import adapters
 
@@ -33,9 +33,6 @@ for _family in CLASSIC:
 for _family in ("alpha101", "gtja191", "alpha101_variants"):
     for _k, _own in enumerate(library.batches(_family)):
         _add_factors(f"factors_{_family}_{_k + 1:02d}", _own)
-for _name, _query in market_queries.QUERIES.items():
-    add(_name, _query, market_queries.ORACLES.get(_name))
-for _name, _query in model_queries.QUERIES.items():
-    add(_name, _query, model_queries.ORACLES.get(_name))
-for _name, _query in report_queries.QUERIES.items():
-    add(_name, _query, report_queries.ORACLES.get(_name))
+for _module in (market_queries, model_queries, report_queries, library_queries):
+    for _name, _query in _module.QUERIES.items():
+        add(_name, _query, _module.ORACLES.get(_name))
