@@ -24,6 +24,7 @@ are not looked at.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -121,7 +122,7 @@ def align(a_lengths: np.ndarray, b_lengths: np.ndarray) -> Alignment:
     """Aligns two sequences of token lengths that cover the same bytes."""
     a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
     a_starts, b_starts = a_ends - a_lengths, b_ends - b_lengths
-    cuts = np.intersect1d(a_ends, b_ends)
+    cuts = np.intersect1d(a_ends, b_ends, assume_unique=bool(a_lengths.all() and b_lengths.all()))
     first, last = np.searchsorted(b_ends, a_starts, "right"), np.searchsorted(b_starts, a_ends, "left")
     left = np.repeat(np.arange(len(a_ends)), last - first)
     begins = np.cumsum(last - first) - (last - first)
@@ -130,9 +131,14 @@ def align(a_lengths: np.ndarray, b_lengths: np.ndarray) -> Alignment:
 
 
 def joined_ids(ids: np.ndarray, groups: np.ndarray, n: int) -> list[str]:
-    """The decimal ids of each of n groups, joined by commas."""
-    own, ends = list(map(str, ids.tolist())), np.searchsorted(groups, np.arange(n), "right").tolist()
-    return [",".join(own[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    """The decimal ids of each of n groups, joined by commas; every group has some."""
+    own, ends = list(map(str, ids.tolist())), np.searchsorted(groups, np.arange(n), "right")
+    begins = np.concatenate([[0], ends[:-1]])
+    out = list(map(own.__getitem__, begins.tolist()))
+    several = np.flatnonzero(ends - begins > 1)
+    for k, begin, end in zip(several.tolist(), begins[several].tolist(), ends[several].tolist(), strict=True):
+        out[k] = ",".join(own[begin:end])
+    return out
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,13 +150,21 @@ def expanded(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
+class Numbers(dict):
+    """A number for each piece, in order of the first meeting."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = k = len(self)
+        return k
+
+
 @dataclass
 class Pieces:
     """What a worker knows of the pieces it has met: a number for each, and its counts, groups and links by number."""
 
     own: Tokenizers
-    numbers: dict[str, int] = field(default_factory=dict)
-    new: list[str] = field(default_factory=list)
+    numbers: Numbers = field(default_factory=Numbers)
+    alone: set[str] = field(default_factory=set)
     groups: list[str] = field(default_factory=list)
 
     def __post_init__(self):
@@ -158,22 +172,18 @@ class Pieces:
 
     def number(self, text: str) -> list[int]:
         """The numbers of the pieces of a text with a space before it."""
-        numbers, new = self.numbers, self.new
-        out = []
-        for piece in CUT.split(text):
-            k = numbers.get(piece)
-            if k is None:
-                k = numbers[piece] = len(numbers)
-                new.append(piece)
-            out.append(k)
-        return out
+        pieces = CUT.split(text)
+        # the rule of CUT leaves only the first one's begin and the last one's end to be white space next to other pieces
+        for piece in {pieces[0], pieces[-1]}:
+            if piece[1:2].isspace() or piece[-1:].isspace() or len(piece) < 2:
+                self.alone.add(piece)
+        return list(map(self.numbers.__getitem__, pieces))
 
     def learn(self):
         """Encodes and aligns the pieces that were numbered since the last call."""
         calls, held, chars = [], [], 0
-        for piece in self.new:
-            # only pieces that begin and end as the rule of CUT says may stand next to each other
-            alone = len(piece) > PIECE_CHARS or piece[1:2].isspace() or piece[-1:].isspace() or len(piece) < 2
+        for piece in itertools.islice(self.numbers, len(self.groups), None):
+            alone = len(piece) > PIECE_CHARS or piece in self.alone
             if held and (alone or chars > CALL_CHARS):
                 calls.append(held)
                 held, chars = [], 0
@@ -210,7 +220,6 @@ class Pieces:
             links.append(pair(a[x.left], b[x.right]))
         self.counts, self.links = np.concatenate(rows), np.concatenate(links)
         self.at = np.concatenate([[0], np.cumsum(self.counts[:, 4])])
-        self.new = []
 
 
 #: Rows of three kinds: 0 a document, 1 a block (the links of a chunk that are in a slice), 2 pairs counted in a task.
