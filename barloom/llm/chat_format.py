@@ -25,7 +25,6 @@ op11, the added conversation); extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import pieces
+from .byte_bpe import encoder, pieces, read_ranks
 
 #: Characters of a part, and of what one call encodes.
 PART = 1 << 18
@@ -75,26 +74,25 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 class Encoder:
-    """Ids and offsets of a text by a tokenizer file of the tokenizers library; control strings of the vocabulary are plain text."""
+    """Ids and offsets of a text by a rank file of the tiktoken library, without special tokens."""
 
-    def __init__(self, json: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, processors
-
-        self.own = Tokenizer.from_str(json)
-        self.own.encode_special_tokens = True
-        self.own.post_processor = processors.ByteLevel(trim_offsets=False)
+    def __init__(self, ranks: bytes, pattern: str):
+        self.own = encoder(ranks, pattern)
+        own = self.own.token_byte_values()
+        ids = [self.own.encode_single_token(x) for x in own]
+        self.lengths = np.zeros(max(ids) + 1, dtype=np.int64)
+        self.lengths[ids] = [len(x) for x in own]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begins, ends) of the tokens of text, in code points."""
-        ids, spans, at = [np.zeros(0, dtype=np.int64)], [np.zeros((0, 2), dtype=np.int64)], 0
-        for piece in pieces(text, PIECE):
-            found = self.own.encode(piece, add_special_tokens=False)
-            ids.append(np.array(found.ids, dtype=np.int64))
-            spans.append(np.array(found.offsets, dtype=np.int64).reshape(-1, 2) + at)
-            at += len(piece)
-        both = np.concatenate(spans)
-        return np.concatenate(ids), both[:, 0], both[:, 1]
+        """(ids, begins, ends) of the tokens of text, in code points; tokens of a part of a character have all of it."""
+        ids = np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(self.own.encode_ordinary(piece), dtype=np.int64) for piece in pieces(text, PIECE))])
+        ends = np.cumsum(self.lengths[ids])
+        if text.isascii():
+            return ids, ends - self.lengths[ids], ends
+        leads = (np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80
+        upto = np.concatenate([[0], np.cumsum(leads)])  # characters that begin before each byte
+        begins = ends - self.lengths[ids]
+        return ids, upto[begins] - ~leads[begins], upto[ends]
 
 
 def loss_mask(begins: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +151,11 @@ def part_of(own: Encoder, turns: list[tuple[str | None, str | None]], roles: fro
     return formatted, ids, ends, mask.tobytes(), covered.ravel()
 
 
-def _parts(json, roles: frozenset):
+def _parts(ranks, pattern: str, roles: frozenset):
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         from pyspark import TaskContext
 
-        own, number = Encoder(json.value), TaskContext.get().partitionId() << 32
+        own, number = Encoder(ranks.value, pattern), TaskContext.get().partitionId() << 32
         conversation, turns, chars = None, [], 0
         edge = True  # the first conversation of a task may have begun in another one
         for batch in batches:
@@ -176,17 +174,17 @@ def _parts(json, roles: frozenset):
     return lambda batches: batched(parts(batches), PARTS)
 
 
-def formatted(rows: DataFrame, tokenizer_json: str, roles: frozenset = frozenset({"assistant"})) -> DataFrame:
+def formatted(rows: DataFrame, ranks: bytes, pattern: str, roles: frozenset = frozenset({"assistant"})) -> DataFrame:
     """The rows of PARTS of conversations (conv_id, turn, role, text); parts in order of (conv_id, part) make up a conversation.
 
     edge is false where a part surely is a whole conversation.
     """
-    json = rows.sparkSession.sparkContext.broadcast(tokenizer_json)
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
     named = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").isNull().alias("no_turn"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     key = ["conv_id", "no_turn", "turn", "role"]
     # bounds of ranges reach the driver: no whole texts among them
     ranged = named.repartitionByRange(*key, F.substring("text", 1, 32)).sortWithinPartitions(*key, "text")
-    return ranged.select("conv_id", "role", "text").mapInArrow(_parts(json, roles), PARTS)
+    return ranged.select("conv_id", "role", "text").mapInArrow(_parts(shared, pattern, roles), PARTS)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
@@ -239,11 +237,11 @@ def digests(parts: DataFrame) -> DataFrame:
     return read.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(lambda batches: batched(_digested(batches), RESULT), RESULT)
 
 
-def default_tokenizer() -> str:
+def default_tokenizer() -> tuple[bytes, str]:
+    """The contents of a rank file, and the pattern of its matches."""
     import public_tokenizers
 
-    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        return file.read()
+    return read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
 def added(spark: SparkSession) -> DataFrame:
@@ -252,4 +250,4 @@ def added(spark: SparkSession) -> DataFrame:
 
 def op11_rows(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(added(conversations.sparkSession))
-    return digests(formatted(rows, default_tokenizer()))
+    return digests(formatted(rows, *default_tokenizer()))
