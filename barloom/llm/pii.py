@@ -208,6 +208,9 @@ def protect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     of_classes = cut(telling_of_classes(found, held, total), narrow=True)
     entities = entities_of(found).select(*KEYS, "_p_entity").distinct()
     terms = entities.join(told, "_p_entity").select(*KEYS, "_p_term", "_p_disclosure")
+    # a term of both sorts tells as much as the sort that tells more, whichever way it is looked for
+    both = of_classes.select("_p_term", F.col("_p_disclosure").alias("_p_class_disclosure"))
+    terms = terms.join(both, "_p_term", "left").select(*KEYS, "_p_term", F.greatest("_p_disclosure", "_p_class_disclosure").alias("_p_disclosure"))
     few = of_classes.count() <= FEW
     if not few:
         words = keyed.select(*KEYS, F.explode(F.array_distinct(words_of(F.col("_p_text")))).alias("_p_term"))

@@ -182,3 +182,14 @@ def test_long_text_with_a_telling_term(spark):
         took.append(time.time() - began)
         assert found[104].n_terms == (20_000 if term == "Hildegarda" else 0)
     assert took[1] < took[2] + 2
+
+
+def test_a_term_of_both_sorts_tells_the_same_either_way(spark, monkeypatch):
+    texts = [*planted(), *(f"number{k} before Dorwen and aa.bb@mail.org after day{k}" for k in range(6)), *("Dorwen stands here alone" for _ in range(3))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for few in (1000, 0):
+        monkeypatch.setattr(op, "FEW", few)
+        found.append(sorted((r.doc_id, r.spans) for r in op.op3_rows(docs).collect()))
+    assert found[0] == found[1]
+    assert any("removed" in spans or "general" in spans for _, spans in found[0][-9:])
