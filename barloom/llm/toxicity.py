@@ -16,12 +16,14 @@ features. Scoring is one pass over the texts, without a shuffle.
 
 Edge cases: a null or empty text scores by the bias alone; rows repeated in documents are scored each, and an id that
 is there more than once is fitted once, by the least of its rows' features; null labels are ignored, and an id that is
-labelled both ways is a confirmed one; a null id is in fold 0; without any confirmed toxic row every score is 0; extra
-columns are kept, and score and predicted replace columns of those names; an empty table gives an empty result.
+labelled both ways is a confirmed one; a null id is in fold 0; without any confirmed toxic row every score is that of a
+bias of -60, below 1e-25; with a few confirmed rows a feature needs half of them; extra columns are kept, and
+score and predicted replace columns of those names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,6 +44,8 @@ THRESHOLD = 0.3
 #: Hash buckets of the features, the confirmed documents that a bucket needs, and how many buckets are fitted.
 BUCKETS = 1 << 22
 SUPPORT = 5
+#: Ids of confirmed documents that are broadcast at most, 100 MB of them.
+MOST_IDS = 5_000_000
 SELECTED = 3000
 EPOCHS, RATE, DECAY = 40, 0.05, 2e-3
 WORD = re.compile(r"[^\W\d_]+")
@@ -91,15 +95,19 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def selected(rows: DataFrame, toxic: DataFrame) -> np.ndarray:
     """The buckets whose share of the confirmed documents differs most surely from their share of all, counted over all rows.
 
-    toxic: the ids of the confirmed ones, a few bytes a label.
+    A bucket needs SUPPORT confirmed documents, or half of them where there are fewer than twice as many. toxic: the ids of
+    the confirmed ones, broadcast up to MOST_IDS of them and joined beyond.
     """
-    marked = rows.join(F.broadcast(toxic.select("doc_id", F.lit(True).alias("positive"))), "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
+    ids = toxic.select("doc_id", F.lit(True).alias("positive"))
+    ids = F.broadcast(ids) if toxic.count() <= MOST_IDS else ids
+    marked = rows.join(ids, "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
     counts = marked.mapInPandas(counted, "bucket long, documents long, confirmed long").groupBy("bucket").agg(F.sum("documents").alias("documents"), F.sum("confirmed").alias("confirmed"))
-    counts = cut(counts.where(F.col("confirmed") >= SUPPORT), narrow=True)
+    counts = cut(counts.where(F.col("confirmed") > 0), narrow=True)
     total = counts.where("bucket = -1").first()
     if total is None:
         return np.zeros(0, dtype=np.int64)
     every, own = float(total.documents), float(total.confirmed)
+    counts = counts.where(F.col("confirmed") >= min(SUPPORT, math.ceil(own / 2)))
     p, u, both = F.col("confirmed") / own, F.col("documents") / every, (F.col("confirmed") + F.col("documents")) / (own + every)
     sure = F.abs((p - u) / F.sqrt(both * (1 - both) * (1 / own + 1 / every) + 1e-12))
     best = counts.where("bucket >= 0").withColumn("sure", sure).where("sure > 3").orderBy(F.desc("sure"), "bucket").limit(SELECTED)
