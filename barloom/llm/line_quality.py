@@ -9,7 +9,7 @@ bounded sample of labelled rows of the training folds; what reaches the driver i
 pass over the whole texts, without a shuffle, and runs all documents of a batch abreast.
 
 Edge cases: a null or empty text is one empty line; every line counts, however many there are; rows repeated in
-documents are scored each; null labels are ignored; a null id is in fold 0; without labels of both kinds every score
+documents are scored each, and an id is fitted once, by the least of its rows' lines; null labels are ignored; a null id is in fold 0; without labels of both kinds every score
 is 0.5; extra columns are kept; an empty table gives an empty result.
 """
 
@@ -147,7 +147,7 @@ def logit(p: np.ndarray) -> np.ndarray:
 def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [line_features(t) for t in batch["text"]]
-        yield pd.DataFrame({"quality": batch["quality"], "lines": [x.astype(np.float32).tobytes() for x, _ in found], "lengths": [n.astype(np.float32).tobytes() for _, n in found]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "lines": [x.astype(np.float32).tobytes() for x, _ in found], "lengths": [n.astype(np.float32).tobytes() for _, n in found]})
 
 
 def scorer(spark, model):
@@ -173,8 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """A column function that scores a text, learned from the training folds."""
     own = labels.where(share_of("doc_id", FOLDS) != HELD_OUT).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(own, "doc_id", sample, "quality")
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    found = rows.mapInPandas(featured, "quality int, lines binary, lengths binary").toPandas()
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    found = rows.mapInPandas(featured, "doc_id long, quality int, lines binary, lengths binary")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("lines", "lengths", "quality")).alias("one")).select("one.*").toPandas()  # one row an id, however often it is there
     if found["quality"].nunique() < 2:
         return scorer(docs.sparkSession, None)
     own = sorted(zip(found["lines"], found["lengths"], found["quality"], strict=True))  # the fit does not depend on the order of arrival

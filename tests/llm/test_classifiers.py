@@ -137,3 +137,21 @@ def test_fit_takes_an_id_once(spark, monkeypatch):
     toxicity.train(docs, labels)
     trained = [k for k in range(20) if zlib.crc32(str(k).encode()) % 4 != 2]
     assert seen["n"] == (sum(k % 2 for k in trained), len(trained))
+
+
+def test_few_confirmed_rows_still_make_a_classifier(spark):
+    rows = [(k, f"awful nasty words {k}", 1) for k in range(4)] + [(10 + k, f"good kind words {k}", 0) for k in range(20)]
+    rows = [(next(i for i in range(100 * d, 100 * d + 99) if zlib.crc32(str(i).encode()) % 4 != 2), t, x) for d, t, x in rows]
+    docs = spark.createDataFrame([*(r[:2] for r in rows), *((100_000 + k, f"good kind things {k}") for k in range(80))], SCHEMA)
+    labels = spark.createDataFrame([(i, 1 - x, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.op10_rows(docs, labels).collect()}
+    assert min(found[i] for i, _, x in rows if x) > max(found[i] for i, _, x in rows if not x)
+
+
+def test_a_row_ten_thousand_times_is_fitted_once(spark):
+    texts = [(k, "good words in a line here\nand another one" if k % 2 else f"BAD!! {'awful ' * 9}\nXX!!") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(texts, SCHEMA)
+    often = once.union(once.where("doc_id = 7").crossJoin(spark.range(10_000)).drop("id"))
+    a, b = ({r.doc_id: r.score for r in line_quality.op4_rows(docs, labels).collect()} for docs in (once, often))
+    assert a == b
