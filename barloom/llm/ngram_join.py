@@ -298,7 +298,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     members = cut(banded.join(buckets, ["_g_band", "_g_hash"]).join(classes.select("_g_class", "_g_n"), "_g_class").select("_g_root", "_g_band", "_g_class", "_g_n"), narrow=True)
     wanted = named.join(_items(members, least).groupBy("_g_class").agg(F.collect_list("_g_items").alias("_g_items")), "_g_class")  # at most a bucket a band
     texts = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).cast("long").alias("_g_id"), F.col(doc_id).isNull().alias("_g_none"), F.xxhash64(text_of(text)).alias("_g_text"), text_of(text).alias("_g_whole"))
-    texts = texts.join(wanted, ["_g_id", "_g_none", "_g_text"]).select("_g_class", "_g_items", "_g_bands", word_hashes("_g_whole").alias("_g_words"))
+    # of rows with one id and text one goes on: the join has brought them together, so this needs no other exchange
+    texts = texts.join(wanted, ["_g_id", "_g_none", "_g_text"]).dropDuplicates(["_g_id", "_g_none", "_g_text"]).select("_g_class", "_g_items", "_g_bands", word_hashes("_g_whole").alias("_g_words"))
     item = "array<struct<root: long, band: int, items: array<struct<_g_left: long, _g_right: long, _g_second: boolean>>>>"
     sets = texts.mapInArrow(_sets(empty), f"_g_class long, _g_items {item}, _g_bands array<long>, _g_grams array<long>")
     work = sets.select("_g_class", "_g_grams", "_g_bands", F.explode("_g_items").alias("_g_item"))

@@ -88,3 +88,12 @@ def test_counts_of_common_grams():
         for b in range(50):
             if a != b:
                 assert counts[a, b] == len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_one_row_ten_thousand_times(spark):
+    text = " ".join(f"word{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words stand here now and go")], "doc_id long, text string")
+    docs = docs.union(docs.where("doc_id = 1").crossJoin(spark.range(10_000)).drop("id"))
+    found = op.op9_rows(docs.repartition(6))
+    rows = {(r.doc_id, r.n_copies, r.n_links, r.group_id, r["count"]) for r in found.groupBy("doc_id", "n_copies", "n_links", "group_id").count().collect()}
+    assert rows == {(1, 10_001, 1, 1, 10_001), (2, 1, 1, 1, 1), (3, 1, 0, 3, 1)}
