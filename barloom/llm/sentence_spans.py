@@ -43,8 +43,8 @@ from .common import text_of, written
 SENTENCES, WORDS, LONG = 3, 25, 40
 #: Words of a repeated passage at least, and of an anchor; a passage has PASSAGE - ANCHOR + 1 runs to take its anchor from.
 PASSAGE, ANCHOR = 50, 25
-#: Bits that tell repeated anchors.
-BITS = 1 << 26
+#: Bits of a bit map for each hash at least, up to MOST_BITS (64 MB); of one segment, which one task makes.
+SPARSE, MOST_BITS, SEGMENT = 16, 1 << 29, 1 << 22
 WORD = re.compile(r"\S+")
 #: What ends a sentence: white space after a full stop, question or exclamation mark, and line ends.
 BREAK = re.compile(r"[.!?]\s+|\n\s*")
@@ -211,26 +211,49 @@ def _counts(words: bool):
     return counts
 
 
-def _bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BITS // 8, dtype=np.uint8)
-    for batch in batches:
-        bit = batch.column("_s_hash").to_numpy().view(np.uint64) % np.uint64(BITS)
-        np.bitwise_or.at(bits, (bit >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (bit % np.uint64(8)).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
-
+def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits in order of segments as the bytes of each segment that has some; one segment is held at a time."""
+    held, own = None, np.zeros(SEGMENT // 8, dtype=np.uint8)
 
-def bit_map(hashes: DataFrame):
-    """A broadcast bit map of fixed size; what it does not mark is not among the hashes."""
-    bits = np.zeros(BITS // 8, dtype=np.uint8)
-    for row in hashes.mapInArrow(_bits, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row.bits, dtype=np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(bits.tobytes())
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["segment", "bits"])
 
-
-def marked_in(bits, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes.view(np.uint64) % np.uint64(BITS)
-    marks = np.frombuffer(bits.value, dtype=np.uint8)[(bit >> np.uint64(3)).astype(np.int64)]
-    return (marks >> (np.uint64(7) - bit % np.uint64(8)).astype(np.uint8) & 1).astype(bool)
+    for batch in batches:
+        bits = batch.column("bit").to_numpy()
+        segments = bits // SEGMENT
+        begins = np.flatnonzero(np.diff(segments, prepend=-1))
+        for begin, end in zip(begins, [*begins[1:], len(bits)], strict=True):
+            if held != segments[begin]:
+                if held is not None:
+                    yield out()
+                held = int(segments[begin])
+                own[:] = 0
+            bit = bits[begin:end] % SEGMENT
+            np.bitwise_or.at(own, bit >> 3, np.uint8(128) >> (bit & 7).astype(np.uint8))
+    if held is not None:
+        yield out()
+
+
+class BitMap:
+    """Marks among hashes: what it does not mark is surely not there. Its size follows their count, SPARSE bits or more for each."""
+
+    def __init__(self, hashes: DataFrame):
+        hashes = written(hashes.toDF("_s_hash"))
+        n = hashes.count()
+        self.bits = min(MOST_BITS, max(SEGMENT, 1 << (SPARSE * n).bit_length()))
+        placed = hashes.select(F.col("_s_hash").bitwiseAND(F.lit(self.bits - 1)).alias("bit"))
+        # a segment is made by one task and comes here once; together they have MOST_BITS at most
+        ranged = placed.repartition(F.floor(F.col("bit") / SEGMENT)).sortWithinPartitions("bit")
+        marks = np.zeros(self.bits // 8, dtype=np.uint8)
+        for row in ranged.mapInArrow(_segments, "segment long, bits binary").collect():
+            at = row.segment * (SEGMENT // 8)
+            marks[at : at + SEGMENT // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+        self.shared = hashes.sparkSession.sparkContext.broadcast(marks.tobytes())
+
+    def marked(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes.view(np.int64) & np.int64(self.bits - 1)
+        marks = np.frombuffer(self.shared.value, dtype=np.uint8)[bit >> 3]
+        return (marks >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 #: Spans and stretches of one table. h1, h2: of a span its key, of a stretch its anchor and the sum of its runs' hashes.
@@ -249,12 +272,12 @@ def _occurrences(bits, words: bool):
         for batch in portions(batches):
             part = Portion(batch.column("_s_text").to_pylist(), known)
             h1, h2, text, begin, end = spans(part)
-            own = marked_in(bits, h1)
+            own = bits.marked(h1)
             yield rows(batch, text[own], h1[own], h2[own], begin[own], end[own], pa.nulls(int(own.sum()), pa.list_(pa.int64())))
             if not words:
                 continue
             text, begin, whole, anchor, place = passages(part)
-            own = marked_in(bits, anchor)
+            own = bits.marked(anchor)
             text, begin, whole, anchor, place = (x[own] for x in (text, begin, whole, anchor, place))
             starts = np.flatnonzero(np.diff(place, prepend=-1))
             if not len(starts):
@@ -276,14 +299,14 @@ def only_marked(rows: DataFrame, bits, key: list[str]) -> DataFrame:
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(marked_in(bits, batch.column("_s_hash").to_numpy())))
+            yield batch.filter(pa.array(bits.marked(batch.column("_s_hash").to_numpy())))
 
     hashed = rows.withColumn("_s_hash", F.xxhash64(*key))
     return hashed.mapInArrow(marked, hashed.schema).drop("_s_hash")
 
 
 def key_bits(rows: DataFrame, key: list[str]):
-    return bit_map(rows.select(F.xxhash64(*key).alias("_s_hash")))
+    return BitMap(rows.select(F.xxhash64(*key)))
 
 
 def place() -> Column:
@@ -366,7 +389,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     names: dict[str, Column] = {"_s_none": F.col(doc_id).isNull(), "_s_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_s_key": F.xxhash64(text_of(text))}
     keyed = docs.select(*(c.alias(n) for n, c in names.items()), text_of(text).alias("_s_text"))
     counts = keyed.select("_s_text").mapInArrow(_counts(words), "_s_hash long, _s_count long").groupBy("_s_hash").agg(F.sum("_s_count").alias("_s_count"))
-    bits = bit_map(counts.where("_s_count > 1").select("_s_hash"))
+    bits = BitMap(counts.where("_s_count > 1").select("_s_hash"))
     found = written(keyed.mapInArrow(_occurrences(bits, words), FOUND))
     own = found.where("_s_runs is null").select(*KEY, "_s_h1", "_s_h2", "_s_begin", "_s_end")
     later = own.join(firsts(own, ["_s_h1", "_s_h2"]), ["_s_h1", "_s_h2"]).where(place() != F.col("_s_first")).select(*KEY, "_s_begin", "_s_end", F.lit(True).alias("_s_is_span"))
@@ -380,7 +403,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     @F.arrow_udf("boolean")
     def is_marked(hashes: pa.Array) -> pa.Array:
-        return pa.array(marked_in(changed, hashes.to_numpy(zero_copy_only=False)))
+        return pa.array(changed.marked(hashes.to_numpy(zero_copy_only=False)))
 
     named = docs.withColumns(names).withColumn("_s_hit", is_marked(F.xxhash64(*(names[k] for k in KEY))))
     columns = [*others, F.col(text).alias("_s_text"), "_s_spans", "_s_words"]
