@@ -7,8 +7,10 @@ small labelled pages below, tells main text from the rest; a hint is one of its
 Pages are independent: one pass, no shuffle.
 
 Scripts, styles, comments and other elements that are never shown as text are left out while cutting. An element that
-wraps the article, its headline or most of the page is its layout, whatever its name: a form around the whole page or a
-"has-sidebar" column has no mark. Every step moves on in the page and is done once, so the time is in proportion to its
+wraps the article or its headline, or outside of an article all there is, is the page's layout, whatever its name: a form
+around the whole page or a "has-sidebar" column has no mark. No part is judged by its share of the page: a long sidebar,
+notice, advert or form beside a short article goes. Readers' parts are known by their names, or by a headline such as
+"3 comments", from which on the element around it is theirs. Every step moves on in the page and is done once, so the time is in proportion to its
 length, also for broken markup; an unclosed tag ends at the next "<".
 
 Edge cases: a null html is an empty one, whose text is empty; unclosed and stray tags, unclosed comments and text
@@ -33,9 +35,11 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 HIDDEN = frozenset("script style noscript template iframe object svg math head title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 APART = frozenset("nav header footer aside form menu button select dialog".split())
-READERS = frozenset("comment comments commentlist replies disqus respond".split())
-STRONG = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored sidebar navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent popup modal overlay newsletter subscribe pagination pager login signup".split())
-WEAK = frozenset("promo promotion nav header notice share sharing social related recommended widget".split())
+READERS = frozenset("comment comments commentlist reply replies disqus respond responses discussion discussions reactions".split())
+#: A headline that begins the readers' part.
+READERS_HEADLINE = re.compile(r"\W*(?:\d+\s+)?(?:(?:reader|user|leave a|post a|add a|your)\s+)?(?:comments?|repl(?:y|ies))\b.{0,24}$", re.IGNORECASE)
+STRONG = frozenset("notice notices alert promo promotion ad ads advert adverts advertisement advertising banner sponsor sponsored sidebar navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent popup modal overlay newsletter subscribe pagination pager login signup".split())
+WEAK = frozenset("nav header share sharing social related recommended widget".split())
 #: A name like "no-sidebar" or "has-ads" speaks of the layout.
 LAYOUT = frozenset("no has with without hide show is not layout".split())
 MAIN = frozenset("article main".split())
@@ -73,24 +77,28 @@ PAGES = (
 class Mark:
     """An open element that hints at something else than the article, and what it turned out to wrap."""
 
-    __slots__ = ("article", "begin", "hint", "kind", "parent", "voids", "words")
+    __slots__ = ("article", "begin", "hint", "inside", "kind", "parent", "voids", "words")
 
-    def __init__(self, kind: str, begin: int, parent: Mark | None):
-        self.kind, self.begin, self.parent = kind, begin, parent
+    def __init__(self, kind: str, begin: int, parent: Mark | None, inside: bool):
+        self.kind, self.begin, self.parent, self.inside = kind, begin, parent, inside
         self.article = self.voids = False  # does it hold an article; a main element or a headline
         self.words, self.hint = 0, (0, 0)
 
     def own(self, total: int) -> tuple[int, int]:
-        """(apart, hint) of this element alone, when the page has been read."""
-        share = self.words / max(1, total)
+        """(apart, hint) of this element alone, when the page has been read; decided by what it holds and stands in, not by its size.
+
+        inside: it stands in an article or main element. Outside of one, an element that holds the article, or a form or
+        a name without any text beside it, is the page's layout.
+        """
         if self.voids and self.kind not in ("nav", "aside", "footer", "menu", "button", "select", "dialog"):
             return 0, 0
         if self.kind == "readers":
             return 0, 2
+        layout = self.article or (not self.inside and self.words == total)
         if self.kind in ("strong", "weak"):
-            return (0, 0) if self.article or share >= 0.8 else (0, 2 if self.kind == "strong" else 1)
+            return (0, 0) if layout else (0, 1 if self.kind == "weak" and self.inside else 2)
         if self.kind == "form":
-            return (0, 0) if self.article or share >= 0.5 else (1, 0)
+            return (0, 0) if layout else (1, 0)
         return (0, 0) if self.kind == "header" and self.article else (1, 0)
 
 
@@ -133,6 +141,7 @@ def blocks(page: str) -> list[Block]:
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
+    headline: list[str] = []  # a headline of a readers' part that was just read
     mark: Mark | None = None
     total = 0
     at, end, headless = 0, len(page), True
@@ -144,6 +153,8 @@ def blocks(page: str) -> list[Block]:
             heading = any(opened[h] for h in ("h1", "h2", "h3", "h4", "h5", "h6"))
             out.append(Block(text, len("".join(linked).split()), mark, opened["article"] + opened["main"] > 0, heading))
             total += out[-1].words
+            if heading and READERS_HEADLINE.match(text):
+                headline.append(text)
         parts.clear()
         linked.clear()
 
@@ -198,6 +209,13 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if opened[name]:
                 close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            if headline:
+                # what follows in the element around the headline is the readers'
+                if name in ("h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1][0] not in ("body", "html", "article", "main") and stack[-1][1] is None:
+                    mark = Mark("readers", total, mark, opened["article"] + opened["main"] > 0)
+                    stack[-1] = (stack[-1][0], mark)
+                    out[-1].mark = mark
+                headline.clear()
         elif name not in VOID:
             if tops and stack[tops[-1]][0] in CLOSES.get(name, ()):
                 close(tops[-1])
@@ -207,7 +225,7 @@ def blocks(page: str) -> list[Block]:
             while name == "article" and held and not held.article:
                 held.article, held = True, held.parent
             kind = kind_of(name, m[3])
-            own = Mark(kind, total, mark) if kind else None
+            own = Mark(kind, total, mark, opened["article"] + opened["main"] > 0) if kind else None
             mark = own or mark
             if name in BLOCKS:
                 tops.append(len(stack))

@@ -73,3 +73,47 @@ def test_broken_markup_takes_linear_time():
             began = time.process_time()
             op.main_text(page, TREE)
             assert time.process_time() - began < 1, piece
+
+
+SHORT = "<h1>A short one</h1><p>Only these few words are the article.</p>"
+GONE = "<p>" + "gone gone gone gone gone gone gone gone gone gone gone gone gone gone gone gone. " * 5 + "</p>"
+
+
+def test_long_parts_beside_a_short_article_go():
+    want = "A short one Only these few words are the article."
+    for page in (
+        f"<article>{SHORT}</article><div class=sidebar>{GONE * 5}</div>",
+        f"<div class='cookie-consent'>{GONE * 4}</div><article>{SHORT}</article>",
+        f"<div id=banner-top>{GONE}</div><main>{SHORT}</main>",
+        f"<article>{SHORT}<div class=advert>{GONE * 3}</div></article>",
+        f"<article>{SHORT}<form action=x><label>{GONE}</label>{GONE * 4}</form></article>",
+        f"<main>{SHORT}<form>{GONE * 6}</form></main>",
+        f"<article>{SHORT}<div class=notice>{GONE * 2}</div></article>",
+        f"<div class='site-notice'>{GONE}</div><article>{SHORT}</article>",
+        f"<article>{SHORT}</article><div id=discussion><article>{GONE}</article><article>{GONE}</article></div>",
+        f"<main>{SHORT}<section><article class=reply>{GONE}</article><article class=reply>{GONE}</article></section></main>",
+        f"<main>{SHORT}<section><h2>3 comments</h2><article>{GONE}</article>{GONE}</section></main>",
+        f"<article>{SHORT}<div><h3>Leave a reply</h3>{GONE}</div></article>",
+        f"<nav><ul>{'<li><a>menu words here</a>' * 30}</ul></nav><article>{SHORT}</article><footer>{GONE * 3}</footer>",
+        f"<div class=promo>{GONE * 2}</div><article>{SHORT}</article>",
+        f"<article>{SHORT}<aside>{GONE * 4}</aside></article>",
+    ):
+        assert op.main_text(page, TREE) == want, page[:120]
+
+
+def test_pages_without_an_article_element():
+    """Pages marked by hand: what stands between the braces is the main text."""
+    body = "{" + "<h1>The head of it</h1><p>" + "Some words of the text that go on for a while. " * 4 + "</p><p>" + "More of the same text in a second paragraph here. " * 3 + "</p>}"
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Part {k}</a>" for k in range(6)) + "</ul>"
+    pages = [
+        body, menu + body, body + menu, f"<nav>{menu}</nav>{body}", f"<div>{menu}</div><div>{body}</div>", f"<div id=nav>{menu}</div><div id=content>{body}</div>",
+        f"<header><a>Home</a> My site</header>{body}<footer>All rights</footer>", f"<div class=header>My site</div>{body}<div class=footer>All rights and more words of the footer</div>",
+        f"<table><tr><td>{menu}</td><td>{body}</td></tr></table>", f"{body}<div class=sidebar><h3>More</h3>{GONE * 3}</div>", f"<div class=sidebar>{GONE * 3}</div>{body}", f"<div class=ad>{GONE}</div>{body}",
+        f"{body}<div class=comments>{GONE * 4}</div>", f"{body}<section><h2>Comments (2)</h2>{GONE * 2}</section>", f"<div class=cookie-banner>{GONE * 2}</div>{body}", f"<form id=page>{body}</form>",
+        f"<div class='layout has-sidebar'>{body}</div>", f"{body}<form><label>Your name</label><input><button>Send</button></form>", f"<script>var x = '<p>{GONE}</p>'</script><style>p{{}}</style>{body}", f"<!-- {GONE} -->{body}<div class=newsletter>{GONE}</div>",
+        f"<div class=breadcrumbs><a>Home</a> <a>News</a></div>{body}<div class=pagination><a>1</a> <a>2</a></div>", f"<div id=wrapper><div id=masthead>My site</div><div id=main-column>{body}</div></div>",
+    ]
+    for page in pages:
+        inner = re.search(r"\{<h1>.*?\}", page, re.S)[0]
+        want = " ".join(re.sub(r"<[^>]*>", " ", inner.strip("{}")).split())
+        assert op.main_text(page.replace(inner, inner.strip("{}")), TREE) == want, page[:100]
