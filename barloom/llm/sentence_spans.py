@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -212,26 +211,16 @@ def _counts(words: bool):
 
 
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits in order of segments as the bytes of each segment that has some; one segment is held at a time."""
-    held, own = None, np.zeros(SEGMENT // 8, dtype=np.uint8)
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["segment", "bits"])
-
+    """The bytes of each segment that has some of the bits. A task has all of a segment, and MOST_BITS at most."""
+    own: dict[int, np.ndarray] = {}
     for batch in batches:
         bits = batch.column("bit").to_numpy()
         segments = bits // SEGMENT
-        begins = np.flatnonzero(np.diff(segments, prepend=-1))
-        for begin, end in zip(begins, [*begins[1:], len(bits)], strict=True):
-            if held != segments[begin]:
-                if held is not None:
-                    yield out()
-                held = int(segments[begin])
-                own[:] = 0
-            bit = bits[begin:end] % SEGMENT
-            np.bitwise_or.at(own, bit >> 3, np.uint8(128) >> (bit & 7).astype(np.uint8))
-    if held is not None:
-        yield out()
+        for k in np.unique(segments).tolist():
+            bit = bits[segments == k] % SEGMENT
+            np.bitwise_or.at(own.setdefault(k, np.zeros(SEGMENT // 8, dtype=np.uint8)), bit >> 3, np.uint8(128) >> (bit & 7).astype(np.uint8))
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["segment", "bits"])
 
 
 class BitMap:
@@ -243,7 +232,7 @@ class BitMap:
         self.bits = min(MOST_BITS, max(SEGMENT, 1 << (SPARSE * n).bit_length()))
         placed = hashes.select(F.col("_s_hash").bitwiseAND(F.lit(self.bits - 1)).alias("bit"))
         # a segment is made by one task and comes here once; together they have MOST_BITS at most
-        ranged = placed.repartition(F.floor(F.col("bit") / SEGMENT)).sortWithinPartitions("bit")
+        ranged = placed.repartition(F.floor(F.col("bit") / SEGMENT))
         marks = np.zeros(self.bits // 8, dtype=np.uint8)
         for row in ranged.mapInArrow(_segments, "segment long, bits binary").collect():
             at = row.segment * (SEGMENT // 8)
@@ -335,19 +324,29 @@ def later_stretches(stretches: DataFrame) -> DataFrame:
     return later.union(single.select(*KEY, "_s_begin", F.col("_s_begin").alias("_s_end")))
 
 
+#: Which characters are white space to Python's expressions; above the last of them none is.
+IS_SPACE = np.array([chr(k).isspace() for k in range(0x3002)])
+
+
+def word_starts(text: str) -> np.ndarray:
+    """Where the matches of WORD begin."""
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), 0x3001)
+    space = IS_SPACE[codes]
+    return np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(space) else np.zeros(0, dtype=np.int64)
+
+
 def cut_text(text: str, gone: list[tuple[int, int]], later: list) -> tuple[str, int]:
     """The text without the gone ranges and the runs of PASSAGE words that begin in the later ranges of words, and how many words went."""
-    places = [m.start() for m in WORD.finditer(text)]
-    edge = np.zeros(len(places) + 1, dtype=np.int64)
+    starts = word_starts(text)
+    edge = np.zeros(len(starts) + 1, dtype=np.int64)
     for own in later:
         edge[own["_s_begin"]] += 1
         edge[own["_s_end"] + PASSAGE] -= 1
-    for a, b in gone:
-        edge[bisect_left(places, a)] += 1
-        edge[bisect_left(places, b)] -= 1
+    for sign, places in zip((1, -1), zip(*gone, strict=True), strict=False):
+        np.add.at(edge, np.searchsorted(starts, places), sign)
     out = np.cumsum(edge[:-1]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[True], out, [True]]).astype(np.int8)))  # words kept begin and end
-    places.append(len(text))
+    places = [*starts.tolist(), len(text)]
     lead = text[: places[0]] if len(out) and not out[0] else ""
     return (lead + "".join(text[places[a] : places[b]] for a, b in turns.reshape(-1, 2))).rstrip(), int(out.sum())
 

@@ -133,3 +133,8 @@ def test_sentence_count_as_in_python(spark):
     texts = ["", " ", "\n", "One. Two! Three", *("".join(rng.choice(marks) for _ in range(rng.randrange(1, 30))) for _ in range(3000))]
     found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", op.sentence_count(F.col("text")).alias("n")).collect()
     assert [r.n for r in found] == [len(op.sentences(r.text)) for r in found]
+
+
+def test_word_starts_are_those_of_the_expression():
+    for text in ("", " ", "a", "a b", "  a\x1c\xa0b\u3000c\u3001d 🙂\ue000 x\n", "ab\x85\u2028c\u200bd "):
+        assert op.word_starts(text).tolist() == [m.start() for m in op.WORD.finditer(text)]
