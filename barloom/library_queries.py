@@ -7,8 +7,9 @@ import hashlib
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .market_queries import r6
-from .operators import ranking, trades
+from .factors import library, registry, table
+from .market_queries import CORR, FACTORS, labelled, r6, ranked_sql
+from .operators import analysis, gram, library_analysis, ranking, trades
 from .sources import adapters as src
 from .sources import shared, store
 
@@ -165,3 +166,77 @@ def trade_list(spark, d):
 )
 def trade_statistics(spark, d):
     return trades.statistics(trades.trades(positions(spark, d))).select("code", "trades", "open_trades", *r6("win_rate", "mean_pct", "best_pct", "worst_pct", "mean_bars"))
+
+
+# the whole library: one family of more than a hundred factors
+
+LIBRARY = registry.names("gtja191")
+LIBRARY_LONG = " UNION ALL ".join(
+    f"SELECT factor, code, date, value FROM (UNPIVOT (SELECT * FROM f{k}) ON {', '.join(batch)} INTO NAME factor VALUE value)" for k, batch in enumerate(library.batches("gtja191"))
+)
+LIBRARY_PARTS = {f"f{k}": library.factors_sql("SELECT * FROM panel", batch) for k, batch in enumerate(library.batches("gtja191"))}
+LIBRARY_IC = f"""SELECT factor, date, CASE WHEN NOT bad AND count(x) >= 2 AND stddev_pop(x) >= 1e-12 AND stddev_pop(y) >= 1e-12 THEN {CORR} END AS ic, any_value(bad) AS degenerate FROM (
+  SELECT factor, date, bad, {ranked_sql("x", "factor, date")} AS x, {ranked_sql("y", "factor, date")} AS y FROM (
+    SELECT factor, date, bad, CASE WHEN fwd IS NOT NULL THEN round(least(greatest(v, lo), hi), 9) END AS x, fwd AS y FROM (
+      SELECT factor, date, round(value, 9) AS v, fwd, quantile_cont(round(value, 9), 0.01) OVER w AS lo, quantile_cont(round(value, 9), 0.99) OVER w AS hi
+      FROM library JOIN labels_of USING (code, date) WHERE value IS NOT NULL WINDOW w AS (PARTITION BY factor, date)) JOIN (
+      SELECT factor, date, count(DISTINCT round(value, 9))::DOUBLE / count(*) <= 0.01 OR count(*)::DOUBLE / max(held) < 0.05 AS bad FROM library JOIN (SELECT date, count(close) AS held FROM panel GROUP BY date) USING (date) WHERE value IS NOT NULL GROUP BY factor, date) USING (factor, date)))
+  GROUP BY factor, date, bad"""
+LIBRARY_TABLES = {**LIBRARY_PARTS, "library": LIBRARY_LONG, "labels_of": "SELECT code, date, close, lead(close, 5) OVER (PARTITION BY code ORDER BY date) / nullif(close, 0) - 1 AS fwd FROM panel", "lic": LIBRARY_IC}
+
+
+def library_rows(spark, d):
+    """(factor, code, date, value, fwd, close) of the family, its values written batch by batch."""
+    panel = src.panel(spark, d)
+    labels = shared.written(analysis.forward_return(panel, 5).select("code", "date", "fwd", "close"))
+    return table.factor_rows(panel, LIBRARY).join(labels, ["code", "date"])
+
+
+@query(
+    "library_summary",
+    """SELECT factor, days, round(m, 6) AS mean_ic, round(s, 6) AS ic_std, round(CASE WHEN s > 1e-12 THEN m / s END, 6) AS ic_ir, round(a, 6) AS abs_ic_mean, round(g, 6) AS degenerate
+       FROM (SELECT factor, count(ic) AS days, avg(ic) AS m, stddev_pop(ic) AS s, avg(abs(ic)) AS a, avg(CASE WHEN degenerate THEN 1.0 ELSE 0.0 END) AS g FROM lic GROUP BY factor)""",
+    **LIBRARY_TABLES,
+)
+def library_summary(spark, d):
+    found = library_analysis.summary(shared.written(library_analysis.daily_ic(library_rows(spark, d))))
+    return found.where("degenerate is not null").select("factor", "days", *r6("mean_ic", "ic_std", "ic_ir", "abs_ic_mean", "degenerate"))
+
+
+@query(
+    "library_picks",
+    """WITH RECURSIVE ordered AS (SELECT factor, row_number() OVER (ORDER BY abs_ic DESC, factor) AS nth FROM (SELECT factor, avg(abs(ic)) AS abs_ic FROM lic GROUP BY factor HAVING count(ic) > 0 AND avg(CASE WHEN degenerate THEN 1.0 ELSE 0.0 END) <= 0.5)),
+       near AS (SELECT p.factor AS a, q.factor AS b FROM lic p JOIN lic q USING (date) WHERE p.ic IS NOT NULL AND q.ic IS NOT NULL GROUP BY 1, 2 HAVING abs(covar_pop(p.ic, q.ic) / nullif(stddev_pop(p.ic) * stddev_pop(q.ic), 0)) >= 0.7),
+       walk AS (SELECT 0::BIGINT AS nth, []::VARCHAR[] AS held UNION ALL
+         SELECT o.nth, CASE WHEN len(w.held) < 10 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.a = o.factor AND list_contains(w.held, n.b)) THEN list_append(w.held, o.factor) ELSE w.held END FROM walk w JOIN ordered o ON o.nth = w.nth + 1)
+       SELECT unnest(range(1, len(held) + 1))::INTEGER AS place, unnest(held) AS factor FROM (SELECT held FROM walk ORDER BY nth DESC LIMIT 1)""",
+    **LIBRARY_TABLES,
+)
+def library_picks(spark, d):
+    """Two parts analysed apart and merged, all correlations at once, and the ten best of which none is near another."""
+    rows = shared.written(library_rows(spark, d))
+    half = len(LIBRARY) // 2
+    parts = [library_analysis.daily_ic(rows.where(F.col("factor").isin(part))) for part in (LIBRARY[: half + 5], LIBRARY[half:])]
+    ic = shared.written(library_analysis.merged(parts))
+    found = library_analysis.summary(ic)
+    best = analysis.pick(found.drop("degenerate"), library_analysis.ic_correlation(ic, LIBRARY), 10, degenerate=found)
+    return spark.createDataFrame([(k + 1, n) for k, n in enumerate(best)], "place int, factor string")
+
+
+@query("walk_forward_library")
+def walk_forward_library(spark, d):
+    """All factors of the family as scores across a day, learnt from the sums of products of each month."""
+    labels, day = analysis.forward_return(src.panel(spark, d), 5).select("code", "date", "fwd"), Window.partitionBy("factor", "date")
+    own = table.factor_rows(src.panel(spark, d), LIBRARY).where("value is not null")
+    spread = F.stddev_pop("value").over(day)
+    own = own.withColumn("value", F.when(spread > 1e-12, (F.col("value") - F.avg("value").over(day)) / spread))
+    found, _ = gram.walk_forward(table.as_vectors(own, LIBRARY).join(labels, ["code", "date"]), len(LIBRARY), nulls="zero")
+    return found.select("code", "date", *r6("score"))
+
+
+@query("walk_forward_hosts")
+def walk_forward_hosts(spark, d):
+    """Five factors, a refit every 12 bars on the last 8 of such periods, without the rows of the code that is scored."""
+    rows = labelled(spark, d).select("code", "date", "fwd", F.array(*FACTORS).alias("x"))
+    found, _ = gram.walk_forward(rows, len(FACTORS), every=12, window=8, exclude_host=True)
+    return found.select("code", "date", *r6("score"))
