@@ -27,13 +27,13 @@ result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +71,10 @@ def sentence_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, JAVA_BREAK), lambda part: part.rlike(f"[^{SPACE}]"))).cast("long")
 
 
+#: Words that a worker remembers, some 30 MB of them.
+KNOWN = 200_000
+
+
 class Known(dict):
     """Words with the place of their hash in one list; two halves of 128 bits a word."""
 
@@ -81,12 +85,12 @@ class Known(dict):
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self.hashes)
-        self.hashes.append(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        self.hashes.append(xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass")))
         self.ends.append(word[-1] in ".!?")
         return at
 
     def forget(self) -> None:
-        if len(self) > 50_000:
+        if len(self) > KNOWN:
             self.clear()
             self.hashes.clear()
             self.ends.clear()
