@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .factors import library, registry, table
-from .market_queries import CORR, FACTORS, labelled, r6, ranked_sql
-from .operators import analysis, gram, library_analysis, ranking, trades
+from .market_queries import CORR, FACTORS, IC_TABLES, labelled, r6, ranked_sql
+from .operators import analysis, boosting, gram, library_analysis, pipeline, ranking, trades
 from .sources import adapters as src
 from .sources import shared, store
 
@@ -240,3 +240,66 @@ def walk_forward_hosts(spark, d):
     rows = labelled(spark, d).select("code", "date", "fwd", F.array(*FACTORS).alias("x"))
     found, _ = gram.walk_forward(rows, len(FACTORS), every=12, window=8, exclude_host=True)
     return found.select("code", "date", *r6("score"))
+
+
+# boosted trees, and both steps as estimators: learnt from the days before a cut, told for the days from then on
+
+CUT = "2000-01-03"
+TREE_FACTORS = registry.names("technical") + registry.names("statistics")
+
+
+def tree_rows(spark, d):
+    labels = analysis.forward_return(src.panel(spark, d), 5).select("code", "date", "fwd")
+    return shared.written(library.factors(src.panel(spark, d), TREE_FACTORS).join(labels, ["code", "date"]))
+
+
+@query("boosted_pick")
+def boosted_pick(spark, d):
+    """The factors of largest gain, at most 20, with a hundredth of the first one's or more."""
+    trees = boosting.grow(tree_rows(spark, d).where(F.col("date") < CUT), TREE_FACTORS)
+    return spark.createDataFrame([(k + 1, n, float(v)) for k, (n, v) in enumerate(boosting.picked(trees))], "place int, factor string, gain double")
+
+
+@query("boosted_contributions")
+def boosted_contributions(spark, d):
+    """The eight factors that move each score most, with the score."""
+    rows = tree_rows(spark, d)
+    trees = boosting.grow(rows.where(F.col("date") < CUT), TREE_FACTORS)
+    later = rows.where(F.col("date") >= CUT)
+    scores = later.select("code", "date", F.round(boosting.score(trees), 6).alias("score"))
+    return boosting.top_contributions(later, trees, ["code", "date"]).join(scores, ["code", "date"]).select("code", "date", "nth", "factor", F.round("part", 6).alias("part"), "score")
+
+
+WHOLE = f"SELECT code, date, fwd, {', '.join(FACTORS)} FROM labelled WHERE date < DATE '{CUT}' AND fwd IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in FACTORS)}"
+STATS = " UNION ALL ".join(
+    f"SELECT '{f}' AS factor, (SELECT avg({f}) FROM whole) AS mean, (SELECT stddev_pop({f}) FROM whole) AS sd, (SELECT {CORR} FROM (SELECT {ranked_sql('x', '1')} AS x, {ranked_sql('y', '1')} AS y FROM (SELECT round({f}, 9) AS x, fwd AS y FROM whole))) AS ic" for f in FACTORS
+)
+WEIGHED = " + ".join(f"coalesce(({f} - (SELECT mean FROM stats WHERE factor = '{f}')) / (SELECT CASE WHEN sd < 1e-12 THEN 1 ELSE sd END FROM stats WHERE factor = '{f}'), 0) * (SELECT ic FROM stats WHERE factor = '{f}')" for f in FACTORS)
+
+
+@query(
+    "weigher_scores",
+    f"SELECT code, date, round(CASE WHEN coalesce({', '.join(FACTORS)}) IS NOT NULL THEN ({WEIGHED}) / (SELECT sum(abs(ic)) FROM stats) END, 6) AS score FROM labelled WHERE date >= DATE '{CUT}'",
+    **IC_TABLES, whole=WHOLE, stats=STATS,
+)
+def weigher_scores(spark, d):
+    """The weigher by rank coefficients alone, on all five factors."""
+    rows = shared.written(labelled(spark, d))
+    model = pipeline.ICWeigher(names=FACTORS).fit(rows.where(F.col("date") < CUT))
+    return model.transform(rows.where(F.col("date") >= CUT)).select("code", "date", *r6("score"))
+
+
+@query("two_step_scores")
+def two_step_scores(spark, d):
+    """Lasso chooses, ratios of chunks weigh."""
+    rows = shared.written(labelled(spark, d))
+    model = pipeline.TwoStep(pipeline.LassoSelector(names=FACTORS), pipeline.IRWeigher(names=FACTORS)).fit(rows.where(F.col("date") < CUT))
+    return model.transform(rows.where(F.col("date") >= CUT)).select("code", "date", *r6("score"))
+
+
+@query("latest_scores")
+def latest_scores(spark, d):
+    """Each code's last bar by the newest monthly model, saved and read again."""
+    rows, path = shared.written(labelled(spark, d)), shared.folder(spark, "models")
+    pipeline.Monthly(names=FACTORS).fit(rows).save(path)
+    return pipeline.MonthlyModel.load(path).latest(rows).select("code", "date", "model_month", *r6("score"))

@@ -157,7 +157,7 @@ def ic_weights(ic: DataFrame, least: float = 0.0) -> DataFrame:
     return kept.select("factor", F.when(total > 1e-12, F.col("own") / total).otherwise(1 / n).alias("weight"))
 
 
-def chunk_ir(rows: DataFrame, names: list[str], chunks: int = 4) -> DataFrame:
+def chunk_ir(rows: DataFrame, names: list[str], chunks: int = 4, method: str = "spearman") -> DataFrame:
     """factor, ir: mean over spread of the coefficients of equal chunks of the rows in order of code and date.
 
     A row's number is the count of rows of the codes before its own (from a table of a row a factor and code) and its
@@ -169,6 +169,7 @@ def chunk_ir(rows: DataFrame, names: list[str], chunks: int = 4) -> DataFrame:
     counts = counts.select("factor", "code", before.alias("before"), F.sum("own").over(over).alias("n"))
     nth = F.col("before") + F.row_number().over(Window.partitionBy("factor", "code").orderBy("date"))
     placed = pairs.join(counts, ["factor", "code"]).withColumn("chunk", F.floor((nth * chunks - 1) / F.col("n")))
-    ranked = placed.select("factor", "chunk", mean_rank(F.col("value"), ["factor", "chunk"]).alias("x"), mean_rank(F.col("fwd"), ["factor", "chunk"]).alias("y"))
+    rank = (lambda c: mean_rank(F.col(c), ["factor", "chunk"])) if method == "spearman" else F.col
+    ranked = placed.select("factor", "chunk", rank("value").alias("x"), rank("fwd").alias("y"))
     per = ranked.groupBy("factor", "chunk").agg(F.coalesce(correlated(F.col("x"), F.col("y")), F.lit(0.0)).alias("ic"))
     return per.groupBy("factor").agg(F.avg("ic").alias("mean_ic"), F.stddev_pop("ic").alias("std_ic"), F.when(F.stddev_pop("ic") >= 1e-12, F.avg("ic") / F.stddev_pop("ic")).alias("ir"))

@@ -56,7 +56,7 @@ def square(packed: np.ndarray, p: int) -> np.ndarray:
 BLOCKS = "code string, known int, sums array<double>"
 
 
-def _blocks(p: int):
+def block_rows(p: int):
     """Rows in order of code and period as one row of sums for each code and period."""
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def blocks(rows: DataFrame, p: int, nulls: str = "drop") -> DataFrame:
     if nulls == "zero":
         rows = rows.where(F.exists("x", lambda v: ~none(v))).withColumn("x", F.transform("x", lambda v: F.when(none(v), 0.0).otherwise(v)))
     whole = rows.where("known is not null and fwd is not null and not isnan(fwd)").where(~F.exists("x", none))
-    return written(whole.select("code", "known", "x", "fwd").repartition("code").sortWithinPartitions("code", "known").mapInArrow(_blocks(p), BLOCKS))
+    return written(whole.select("code", "known", "x", "fwd").repartition("code").sortWithinPartitions("code", "known").mapInArrow(block_rows(p), BLOCKS))
 
 
 def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
