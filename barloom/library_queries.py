@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .factors import library, registry, table
 from .market_queries import CORR, FACTORS, IC_TABLES, labelled, r6, ranked_sql
-from .operators import analysis, boosting, gram, library_analysis, pipeline, ranking, trades
+from .functions.fields import ret
+from .operators import analysis, arms, boosting, cross, gram, library_analysis, pipeline, ranking, series, trades
+from .plans.expression import column, evaluate
 from .sources import adapters as src
 from .sources import shared, store
+from .streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,7 +66,7 @@ def bars_of_codes(spark, d):
 ARRIVALS = """SELECT code, date, close, 'a' AS source, 1 AS arrival FROM bars WHERE date < DATE '1996-01-01' UNION ALL
   SELECT code, date, close + 1, 'a', 2 FROM bars WHERE date >= DATE '1995-06-01' AND date < DATE '1999-01-01' AND code NOT LIKE '300%' UNION ALL
   SELECT code, date, close + 2, 'b', 3 FROM bars WHERE code LIKE '688%'"""
-MERGED = """SELECT code, date, round(arg_min(close, arrival), 4) AS close, arg_min(source, arrival) AS source FROM arrivals WHERE code NOT LIKE '688%' OR arrival = 3 GROUP BY code, date"""
+MERGED = """SELECT code, date, arg_min(close, arrival) AS close, arg_min(source, arrival) AS source FROM arrivals WHERE code NOT LIKE '688%' OR arrival = 3 GROUP BY code, date"""
 
 
 def merged_store(spark, d) -> str:
@@ -84,7 +87,7 @@ SCHEMA = "code string, date date, close double, source string"
 
 @query("bars_merged_store", "SELECT * FROM merged", arrivals=ARRIVALS, merged=MERGED)
 def bars_merged_store(spark, d):
-    return store.current(spark, merged_store(spark, d), SCHEMA).select("code", "date", F.round("close", 4).alias("close"), "source")
+    return store.current(spark, merged_store(spark, d), SCHEMA)
 
 
 @query(
@@ -205,11 +208,11 @@ def library_summary(spark, d):
 
 @query(
     "library_picks",
-    """WITH RECURSIVE ordered AS (SELECT factor, row_number() OVER (ORDER BY abs_ic DESC, factor) AS nth FROM (SELECT factor, avg(abs(ic)) AS abs_ic FROM lic GROUP BY factor HAVING count(ic) > 0 AND avg(CASE WHEN degenerate THEN 1.0 ELSE 0.0 END) <= 0.5)),
+    """SELECT place, factor FROM (WITH RECURSIVE ordered AS (SELECT factor, row_number() OVER (ORDER BY abs_ic DESC, factor) AS nth FROM (SELECT factor, avg(abs(ic)) AS abs_ic FROM lic GROUP BY factor HAVING count(ic) > 0 AND avg(CASE WHEN degenerate THEN 1.0 ELSE 0.0 END) <= 0.5)),
        near AS (SELECT p.factor AS a, q.factor AS b FROM lic p JOIN lic q USING (date) WHERE p.ic IS NOT NULL AND q.ic IS NOT NULL GROUP BY 1, 2 HAVING abs(covar_pop(p.ic, q.ic) / nullif(stddev_pop(p.ic) * stddev_pop(q.ic), 0)) >= 0.7),
        walk AS (SELECT 0::BIGINT AS nth, []::VARCHAR[] AS held UNION ALL
          SELECT o.nth, CASE WHEN len(w.held) < 10 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.a = o.factor AND list_contains(w.held, n.b)) THEN list_append(w.held, o.factor) ELSE w.held END FROM walk w JOIN ordered o ON o.nth = w.nth + 1)
-       SELECT unnest(range(1, len(held) + 1))::INTEGER AS place, unnest(held) AS factor FROM (SELECT held FROM walk ORDER BY nth DESC LIMIT 1)""",
+       SELECT unnest(range(1, len(held) + 1))::INTEGER AS place, unnest(held) AS factor FROM (SELECT held FROM walk ORDER BY nth DESC LIMIT 1))""",
     **LIBRARY_TABLES,
 )
 def library_picks(spark, d):
@@ -236,9 +239,11 @@ def walk_forward_library(spark, d):
 
 @query("walk_forward_hosts")
 def walk_forward_hosts(spark, d):
-    """Five factors, a refit every 12 bars on the last 8 of such periods, without the rows of the code that is scored."""
-    rows = labelled(spark, d).select("code", "date", "fwd", F.array(*FACTORS).alias("x"))
-    found, _ = gram.walk_forward(rows, len(FACTORS), every=12, window=8, exclude_host=True)
+    """Four factors, a refit every 12 bars on the last 8 of such periods, without the rows of the code that is scored."""
+    names, panel = ["momentum_5", "momentum_10", "momentum_20", "alpha_101"], src.panel(spark, d)
+    labels = analysis.forward_return(panel, 5).select("code", "date", "fwd")
+    rows = library.factors(panel, names).join(labels, ["code", "date"]).select("code", "date", "fwd", F.array(*names).alias("x"))
+    found, _ = gram.walk_forward(rows, len(names), every=12, window=8, exclude_host=True)
     return found.select("code", "date", *r6("score"))
 
 
@@ -303,3 +308,107 @@ def latest_scores(spark, d):
     rows, path = shared.written(labelled(spark, d)), shared.folder(spark, "models")
     pipeline.Monthly(names=FACTORS).fit(rows).save(path)
     return pipeline.MonthlyModel.load(path).latest(rows).select("code", "date", "model_month", *r6("score"))
+
+
+# streams of three arrivals
+
+
+def arrived(spark, d):
+    """RUNNING after three arrivals of daily bars, each its own start of the stream: the second repeats the 30 days before
+    it and lacks some codes, the third brings those, and once more what some codes had long before."""
+    path, own = shared.folder(spark, "stream"), shared.written(src.bars(spark, d, "day"))
+    own = own.select("code", "date", *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")))
+    arrivals = (
+        own.where("date < '1996-01-10'"),
+        own.where("date >= '1995-12-11' and date < '1999-03-04' and code not like '300%'"),
+        own.where("date >= '1999-03-04' or (code like '300%' and date >= '1996-01-10') or (code like '688%' and date < '1995-06-01')"),
+    )
+    for k, rows in enumerate(arrivals):
+        rows.coalesce(4).write.parquet(f"{path}/in/{k}")
+        ingest.run_once(ingest.running_weeks(ingest.arrivals(spark, f"{path}/in/*", own.schema)), f"{path}/out", f"{path}/state")
+    return spark.read.schema(ingest.RUNNING).parquet(f"{path}/out")
+
+
+@query(
+    "stream_running_weeks",
+    """SELECT code, date, week, first_value(open) OVER w AS open, max(high) OVER w AS high, min(low) OVER w AS low, close, sum(volume) OVER w AS volume
+       FROM (SELECT *, CAST(date_trunc('week', date) AS DATE) AS week FROM daily) WINDOW w AS (PARTITION BY code, week ORDER BY date)""",
+    daily=src.DAILY,
+)
+def stream_running_weeks(spark, d):
+    return arrived(spark, d).where("kind = 'accepted'").drop("kind")
+
+
+@query(
+    "stream_left_out",
+    """SELECT code, count(*) AS n FROM (
+         SELECT code FROM daily WHERE date >= DATE '1995-12-11' AND date < DATE '1996-01-10' AND code NOT LIKE '300%' UNION ALL SELECT code FROM daily WHERE code LIKE '688%' AND date < DATE '1995-06-01') GROUP BY code""",
+    daily=src.DAILY,
+)
+def stream_left_out(spark, d):
+    """What came late or again, by code: told, not dropped silently."""
+    return arrived(spark, d).where("kind <> 'accepted'").groupBy("code").agg(F.count("*").alias("n"))
+
+
+# arms
+
+BASE = {"strategy": {"fast": 5, "slow": 20}, "backtest": {"history": {"from": "1995-01-01", "to": "2003-01-01"}, "cost": 0.0}, "stocks": []}
+ARMS = {"a": {}, "b": {"strategy": {"fast": 3, "slow": 10}, "backtest": {"cost": 0.001, "history": {"from": "1996-01-01", "to": None}}}, "broken": {"strategy": {"fast": 3}}}
+
+
+def arm_trades(rows, configuration):
+    """The statistics of a moving-average cross by code, less the cost of each trade."""
+    fast, slow, backtest = configuration["strategy"]["fast"], configuration["strategy"]["slow"], configuration["backtest"]
+    along = Window.partitionBy("code").orderBy("date")
+    mean = lambda n: F.when(F.count("close").over(along.rowsBetween(1 - n, 0)) == n, F.avg("close").over(along.rowsBetween(1 - n, 0)))
+    own = rows.where((F.col("date") >= backtest["history"]["from"]) & (F.col("date") < backtest["history"]["to"])).withColumn("above", mean(fast) > mean(slow))
+    held = own.withColumn("position", F.coalesce(F.lag("above").over(along), F.lit(False)))
+    return trades.statistics(trades.trades(held).withColumn("ret", F.col("ret") - backtest["cost"])).select("code", F.col("trades").cast("double").alias("trades"), "win_rate", "mean_pct")
+
+
+def arm_sql(fast: int, slow: int, since: str, cost: float) -> str:
+    mean = lambda n: f"CASE WHEN count(close) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg(close) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+    return f"""SELECT code, count(exit)::DOUBLE AS trades, avg(CASE WHEN q / nullif(p, 0) - 1 - {cost} > 0 THEN 1.0 ELSE 0.0 END) FILTER (exit IS NOT NULL) AS win_rate, avg(q / nullif(p, 0) - 1 - {cost}) FILTER (exit IS NOT NULL) * 100 AS mean_pct FROM (
+      SELECT code, arg_max_null(n, date) AS exit, arg_min(open, date) AS p, arg_max(coalesce(no, close), date) AS q FROM (
+        SELECT *, nth - row_number() OVER (PARTITION BY code ORDER BY date) AS island FROM (
+          SELECT *, lead(date) OVER v AS n, lead(open) OVER v AS no, row_number() OVER v AS nth, coalesce(lag(f > s) OVER v, false) AS position FROM (
+            SELECT *, {mean(fast)} AS f, {mean(slow)} AS s FROM bars WHERE date >= DATE '{since}' AND date < DATE '2003-01-01' WINDOW w AS (PARTITION BY code ORDER BY date)) WINDOW v AS (PARTITION BY code ORDER BY date)) WHERE position) GROUP BY code, island) GROUP BY code"""
+
+
+def run_arms(spark, d):
+    return arms.run(src.bars(spark, d), {name: arms.effective(BASE, arm) for name, arm in ARMS.items()}, arm_trades)
+
+
+@query(
+    "arms_diff",
+    " UNION ALL ".join(f"SELECT code, '{m}' AS metric, round(x.{m}, 6) AS a, round(y.{m}, 6) AS b, round(y.{m} - x.{m}, 6) AS diff FROM arm_a x FULL JOIN arm_b y USING (code)" for m in ("trades", "win_rate", "mean_pct")),
+    arm_a=arm_sql(5, 20, "1995-01-01", 0.0), arm_b=arm_sql(3, 10, "1996-01-01", 0.001),
+)
+def arms_diff(spark, d):
+    """Two arms over the same bars, and a third that fails and is left out."""
+    found, _ = run_arms(spark, d)
+    return arms.differences(found, "code", ["trades", "win_rate", "mean_pct"], "a", "b").select("code", "metric", *r6("a", "b", "diff"))
+
+
+# preprocessing with its switches
+
+SCORED = """SELECT *, CASE WHEN c IS NOT NULL THEN CASE WHEN stddev_pop(c) OVER w < 1e-12 THEN 0 ELSE (c - avg(c) OVER w) / stddev_pop(c) OVER w END END AS z FROM (
+  SELECT p.code, p.date, ind_or_unknown AS ind, CASE WHEN p.r IS NOT NULL THEN greatest(least(p.r, quantile_cont(p.r, 0.95) OVER v), quantile_cont(p.r, 0.05) OVER v) END AS c, s FROM (
+    SELECT code, date, ind_or_unknown, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS r, CASE WHEN volume > 0 THEN ln(volume) END AS s FROM panel) p WINDOW v AS (PARTITION BY date)) WINDOW w AS (PARTITION BY date)"""
+
+
+@query(
+    "cs_switches",
+    """SELECT code, date, round(coalesce(yc - b * xc, z), 6) + 0 AS plain, round(coalesce(z - fit, z), 6) + 0 AS fundamental, round(z - avg(z) OVER (PARTITION BY date, ind), 6) + 0 AS contains_mcap FROM (
+         SELECT *, sum(yc * xc) OVER w / nullif(sum(xc * xc) OVER w, 0) AS b, CASE WHEN count(y) OVER w >= 10 AND var_pop(x) OVER w > 1e-12 THEN avg(y) OVER w + covar_pop(y, x) OVER w / nullif(var_pop(x) OVER w, 0) * (x - avg(x) OVER w) END AS fit FROM (
+           SELECT *, y - avg(y) OVER (PARTITION BY date, ind) AS yc, x - avg(x) OVER (PARTITION BY date, ind) AS xc FROM (
+             SELECT *, CASE WHEN s IS NOT NULL THEN z END AS y, CASE WHEN z IS NOT NULL THEN s END AS x FROM scored)) WINDOW w AS (PARTITION BY date))""",
+    scored=SCORED,
+)
+def cs_switches(spark, d):
+    """One factor as each of three kinds: free of industry and size, of size alone, of industry alone."""
+    size, switches = series.log(column("volume")), {"winsorise": (0.05, 0.95), "least_codes": 5}
+    n = src.table(spark, d, "supplier").count()
+    kinds = {"plain": (), "fundamental": ("fundamental",), "contains_mcap": ("contains_mcap",)}
+    outputs = {name: cross.preprocess(ret, tags, n, size=size, **switches) for name, tags in kinds.items()}
+    return evaluate(src.panel(spark, d), outputs, rounded=False).select("code", "date", *((F.round(c, 6) + 0).alias(c) for c in outputs))

@@ -92,3 +92,28 @@ def industry_strength(x, bucket: str = "ind") -> Expression:
     median = quantile(x, 0.5, f"date, {bucket}")
     members = across(f"count({{0}}) OVER (PARTITION BY date, {bucket})", x)
     return element("CASE WHEN {3} IS NOT NULL AND {2} >= 2 THEN {0} - {1} END", x, median, members, lift(bucket))
+
+
+def industry_or_day(x, mapped: bool = True) -> Expression:
+    """x less the mean of its industry, or without a map of industries less the day's mean."""
+    return industry_neutral(x) if mapped else demean(x)
+
+
+def preprocess(x, tags: tuple[str, ...] = (), n_codes: int | None = None, winsorise: tuple[float, float] | None = (0.01, 0.99), score: bool = True, industry: bool = True, size=None, mapped: bool = True, least_codes: int = 200) -> Expression:
+    """x made comparable across a day, step by step: tails cut, score, freed of industry and size.
+
+    Below least_codes nothing is done. Factors tagged "fundamental" keep their industry's level, those tagged
+    "contains_mcap" their size; size is an expression (such as the logarithm of the market's value), or None for no such
+    step; without a map of industries that step is left out.
+    """
+    own = lift(x)
+    if n_codes is not None and n_codes < least_codes:
+        return own
+    if winsorise:
+        own = winsorize(own, *winsorise)
+    if score:
+        own = zscore(own)
+    by_industry, by_size = industry and mapped and "fundamental" not in tags, size is not None and "contains_mcap" not in tags
+    if by_industry and by_size:
+        return industry_and_size(own, size)
+    return industry_centred(own) if by_industry else regressed(own, size) if by_size else own
