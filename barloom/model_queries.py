@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from .functions.fields import close, open_, ret, volume
-from .market_queries import FACTORS, SCORES, labelled, r6, scores
+from .market_queries import CORR, FACTORS, IC_TABLES, SCORES, labelled, r6, scores
 from .operators import analysis, cross, fundamentals, indicators, modelling, ranking, series, simulate
 from .plans.expression import as_sql, column, evaluate
 from .sources import adapters as src
@@ -374,7 +374,15 @@ def score_ic(spark, d):
     return analysis.summary(analysis.daily_ic(both, ["score"])).select("factor", "days", *r6("mean_ic", "ic_std", "ic_ir"))
 
 
-@query("factor_pick")
+@query(
+    "factor_pick",
+    f"""SELECT place, factor FROM (WITH RECURSIVE ordered AS (SELECT factor, row_number() OVER (ORDER BY s DESC, factor) AS nth FROM (SELECT factor, avg(abs(ic)) AS s FROM ic GROUP BY factor HAVING count(ic) > 0)),
+       near AS (SELECT p.factor AS a, q.factor AS b FROM (SELECT factor, date, ic AS x FROM ic WHERE ic IS NOT NULL) p JOIN (SELECT factor, date, ic AS y FROM ic WHERE ic IS NOT NULL) q USING (date) GROUP BY 1, 2 HAVING abs({CORR}) >= 0.7),
+       walk AS (SELECT 0::BIGINT AS nth, []::VARCHAR[] AS held UNION ALL
+         SELECT o.nth, CASE WHEN len(w.held) < 3 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.a = o.factor AND list_contains(w.held, n.b)) THEN list_append(w.held, o.factor) ELSE w.held END FROM walk w JOIN ordered o ON o.nth = w.nth + 1)
+       SELECT unnest(range(1, len(held) + 1))::INTEGER AS place, unnest(held) AS factor FROM (SELECT held FROM walk ORDER BY nth DESC LIMIT 1))""",
+    **IC_TABLES,
+)
 def factor_pick(spark, d):
     ic = analysis.daily_ic(labelled(spark, d), FACTORS)
     best = analysis.pick(analysis.summary(ic), analysis.ic_correlation(ic), 3)
