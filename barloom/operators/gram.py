@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .modelling import fit
+from .lasso import fit
 
 #: Sums of all periods that are broadcast at most, in numbers: 512 MB of them.
 MOST_SUMS = 1 << 26

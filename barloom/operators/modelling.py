@@ -1,89 +1,35 @@
 """Two-step scoring: choose factors by Lasso, weigh them, refit every month on what was known by then.
 
-The rows are summed once, by month, into the products that a fit needs (factors by factors). A month's fit takes the
-sums of all months whose labels had ended; these are a few numbers a month, and all fits run on them on the driver.
-Scores are one join of the rows with the month's coefficients.
+The sums of products that a fit needs are taken by code and month and added up (see gram); the fits run where the sums
+are, and scores are one join of the rows with the month's coefficients.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def lasso(gram: np.ndarray, cross: np.ndarray, alpha: float, rounds: int = 1000, close: float = 1e-10) -> np.ndarray:
-    """Least squares with a penalty on sizes, on standardised columns: gram = X'X / n, cross = X'y / n."""
-    w = np.zeros(len(cross))
-    for _ in range(rounds):
-        moved = 0.0
-        for j in range(len(w)):
-            if gram[j, j] <= 0:
-                continue
-            rest = cross[j] - gram[j] @ w + gram[j, j] * w[j]
-            new = np.sign(rest) * max(abs(rest) - alpha, 0.0) / gram[j, j]
-            moved, w[j] = max(moved, abs(new - w[j])), new
-        if moved < close:
-            break
-    return w
-
-
-def monthly_sums(rows: DataFrame, names: list[str]) -> DataFrame:
-    """month (of the day on which the label had ended, with the embargo) and the sums of products of 1, factors, label.
-
-    rows: date, known (that day), fwd and the factors; rows with a missing value take no part.
-    """
-    terms = ["one", *names, "fwd"]
-    own = rows.dropna(subset=[*names, "fwd", "known"]).withColumn("one", F.lit(1.0))
-    pairs = {f"{a}__{b}": F.sum(F.col(a) * F.col(b)) for i, a in enumerate(terms) for b in terms[i:]}
-    return own.groupBy(F.trunc("known", "month").alias("month")).agg(*(v.alias(k) for k, v in pairs.items()))
-
-
-def fit(sums: np.ndarray, p: int, alpha: float, weigher: str) -> dict | None:
-    """means, spreads and weights from a symmetric matrix of sums over (1, factors, label)."""
-    n = sums[0, 0]
-    if n < 10 * p:
-        return None
-    mean, y = sums[0, 1 : p + 1] / n, sums[0, p + 1] / n
-    cov = sums[1 : p + 1, 1 : p + 1] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov), 0))
-    sd[sd < 1e-12] = 1.0
-    gram, cross = cov / np.outer(sd, sd), (sums[1 : p + 1, p + 1] / n - mean * y) / sd
-    chosen = np.abs(lasso(gram, cross, alpha)) > 1e-8
-    if not chosen.any():
-        chosen[:] = True
-    sy = np.sqrt(max(sums[p + 1, p + 1] / n - y * y, 0))
-    raw = np.where(chosen, 1.0 if weigher == "equal" or sy < 1e-12 else cross / sy, 0.0)
-    total = np.abs(raw).sum()
-    return {"mean": mean, "sd": sd, "weight": raw / total if total > 1e-12 else chosen / chosen.sum(), "n": int(n)}
+from ..sources.shared import written
+from . import gram
+from .lasso import fit, lasso  # noqa: F401  they are part of this module's interface
 
 
 def walk_forward(rows: DataFrame, names: list[str], alpha: float = 0.0005, weigher: str = "ic") -> tuple[DataFrame, DataFrame]:
     """(scores, models): code, date, score by the model of the month; month, factor, mean, sd, weight, n of each fit.
 
-    A month's model knows the labels that had ended before the month. Missing factors count as their mean, unless all are.
+    rows: code, date, known (the day on which the label had ended, with the embargo), fwd and the factors. A month's model
+    knows the labels that had ended before the month. Missing factors count as their mean, unless all are.
     """
-    spark = rows.sparkSession
-    terms, p = ["one", *names, "fwd"], len(names)
-    found = sorted(monthly_sums(rows, names).collect(), key=lambda r: r["month"])  # a row a month
-    months = [r["m"] for r in rows.select(F.trunc("date", "month").alias("m")).distinct().orderBy("m").collect()]
-    total, k, models = np.zeros((p + 2, p + 2)), 0, []
-    for month in months:
-        while k < len(found) and found[k]["month"] < month:
-            for i, a in enumerate(terms):
-                for j, b in enumerate(terms[i:], i):
-                    total[i, j] += found[k][f"{a}__{b}"]
-            k += 1
-        model = fit(np.triu(total) + np.triu(total, 1).T, p, alpha, weigher)
-        if model:
-            models += [(month, f, float(model["mean"][j]), float(model["sd"][j]), float(model["weight"][j]), model["n"]) for j, f in enumerate(names)]
-    table = spark.createDataFrame(models, "month date, factor string, mean double, sd double, weight double, n long")
-    wide = table.groupBy("month").pivot("factor", names).agg(F.first(F.struct("mean", "sd", "weight")))
-    part = lambda f: F.coalesce((F.col(f"r.{f}") - F.col(f"m.{f}.mean")) / F.col(f"m.{f}.sd"), F.lit(0.0)) * F.col(f"m.{f}.weight")
-    joined = rows.withColumn("month", F.trunc("date", "month")).alias("r").join(F.broadcast(wide).alias("m"), "month")
-    score = sum((part(f) for f in names[1:]), part(names[0]))
-    scores = joined.select("r.code", "r.date", F.when(F.coalesce(*(F.col(f"r.{f}") for f in names)).isNotNull(), score).alias("score"))
-    return scores, table
+    p, month = len(names), F.trunc("date", "month")
+    periods = rows.select(month.alias("month")).distinct().withColumn("period", (F.row_number().over(Window.orderBy("month")) - 1).cast("int"))  # a row a month
+    x = F.array(*(F.col(n).cast("double") for n in names)).alias("x")
+    dated = rows.select("code", "date", x, "fwd", month.alias("month"), F.trunc("known", "month").alias("known_month")).join(periods, "month")
+    known = periods.select(F.col("month").alias("known_month"), (F.col("period") + 1).alias("known"))
+    dated = written(dated.join(known, "known_month", "left").drop("known_month"))
+    found = gram.models(gram.blocks(dated, p), dated.select("code", "period").distinct(), p, alpha=alpha, weigher=weigher)
+    each = found.join(periods, "period").select("month", "n", F.posexplode(F.arrays_zip("mean", "sd", "weight")).alias("k", "m"))
+    table = each.select("month", F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("factor"), "m.mean", "m.sd", "m.weight", "n")
+    return gram.scored(dated, found, p, False), table
 
 
 def top_contributions(rows: DataFrame, table: DataFrame, names: list[str], n: int = 8) -> DataFrame:

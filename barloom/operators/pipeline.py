@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 import numpy as np
 
 from . import analysis, boosting, gram
-from .modelling import lasso
+from .lasso import lasso
 
 
 class HasFactors(Params):
