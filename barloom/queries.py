@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import library_queries, market_queries, model_queries, report_queries
-from .factors import library, registry
+from .factors import library, registry, table
 from .sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _add_factors(name: str, own: list[str]) -> None:
-    add(name, lambda spark, sf_dir: library.factors(adapters.panel(spark, sf_dir), own), adapters.with_tables(library.factors_sql("SELECT * FROM panel", own)))
+    add(name, lambda spark, sf_dir: library.factors(table.stored_panel(adapters.panel(spark, sf_dir)), own), adapters.with_tables(library.factors_sql("SELECT * FROM panel", own)))
 
 
 CLASSIC = ("technical", "statistics", "ewma", "vwap", "position", "turnover", "acceleration", "range", "composite", "correlation", "breadth", "custom", "market", "liquidity", "extreme", "moments", "long")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: This region's suppliers have no industry, so that unmapped codes occur.
 UNMAPPED = "ASIA"
 
@@ -91,7 +93,8 @@ def align(bars: DataFrame) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aligned bars with ind (industry), solo (industry, or the code where unmapped), ind_or_unknown."""
-    with_industry = align(bars(spark, sf_dir)).join(industries(spark, sf_dir).select("code", "ind"), "code", "left")
+    own = shared.written(bars(spark, sf_dir))  # codes, days and rows are read from one pass over the shipments
+    with_industry = align(own).join(industries(spark, sf_dir).select("code", "ind"), "code", "left")
     return with_industry.withColumns({"solo": F.coalesce("ind", F.concat(F.lit("solo "), "code")), "ind_or_unknown": F.coalesce("ind", F.lit("unknown"))})
 
 
