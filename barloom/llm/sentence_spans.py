@@ -71,8 +71,8 @@ def sentence_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, JAVA_BREAK), lambda part: part.rlike(f"[^{SPACE}]"))).cast("long")
 
 
-#: Words that a worker remembers, some 30 MB of them.
-KNOWN = 200_000
+#: Words that a worker remembers, some 60 MB of them.
+KNOWN = 400_000
 
 
 class Known(dict):
@@ -124,8 +124,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def spans(part: Portion) -> tuple[np.ndarray, ...]:
-    """(two hashes, text, first and last sentence within the text) of the spans of a portion."""
+def spans(part: Portion, halves: int = 2) -> tuple[np.ndarray, ...]:
+    """(two hashes, text, first and last sentence within the text) of the spans of a portion; halves=1 leaves out the second hash."""
     at, n = part.sentence_at, len(part.sentence_at) - 1
     owner = np.repeat(np.arange(len(part.first) - 1), np.diff(part.first))
     every = np.arange(n)
@@ -139,30 +139,31 @@ def spans(part: Portion) -> tuple[np.ndarray, ...]:
     # a sentence's keys are sums of its words' hashes by their places, a run's keys the same of its sentences
     place = np.arange(len(part.words)) - np.repeat(at[:-1], np.diff(at))
     keys = []
-    for words, base in ((part.words, _B), (part.others, _C)):
+    for words, base in ((part.words, _B), (part.others, _C))[:halves]:
         powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(max(n, int(place.max(initial=0)) + 1), base)]))
         undo = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, np.uint64(pow(int(base), -1, 1 << 64)))]))
         own = _mixed(np.add.reduceat(words * powers[place], at[:-1]) + np.diff(at).astype(np.uint64) * _M) if n else words[:0]
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(own * powers[:n], dtype=np.uint64)])
         keys.append(_mixed((sums[end] - sums[begin]) * undo[begin] + (end - begin).astype(np.uint64) * _M))
     text = owner[begin] if n else begin
-    return keys[0], keys[1], text, begin - part.first[text], end - 1 - part.first[text]
+    return keys[0], keys[-1], text, begin - part.first[text], end - 1 - part.first[text]
 
 
-def run_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each run of ANCHOR words and of each of PASSAGE words."""
-    power = {n: np.uint64(pow(int(_B), n, 1 << 64)) for n in (*(1 << k for k in range(8)), ANCHOR, PASSAGE - ANCHOR)}
-    n = len(words) - ANCHOR + 1
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size words, by sums of runs of powers of two."""
+    n = len(words) - size + 1
     if n < 1:
-        return words[:0], words[:0]
-    out, twice, done = np.zeros(n, dtype=np.uint64), words, 0  # twice: runs of `size` words
-    for k in range(ANCHOR.bit_length()):
-        size = 1 << k
-        if ANCHOR & size:
-            out = out * power[size] + twice[done : done + n]
-            done += size
-        twice = twice[:-size] * power[size] + twice[size:] if len(twice) > size else twice
-    return _mixed(out), _mixed(out[: -(PASSAGE - ANCHOR)] * power[ANCHOR] + out[PASSAGE - ANCHOR :])
+        return words[:0]
+    out, twice, done = np.zeros(n, dtype=np.uint64), words, 0  # twice: runs of `have` words
+    for k in range(size.bit_length()):
+        have = 1 << k
+        power = np.uint64(pow(int(_B), have, 1 << 64))
+        if size & have:
+            out = out * power + twice[done : done + n]
+            done += have
+        if size >> (k + 1):
+            twice = twice[:-have] * power + twice[have:]
+    return _mixed(out)
 
 
 def least_places(x: np.ndarray, size: int) -> np.ndarray:
@@ -175,17 +176,23 @@ def least_places(x: np.ndarray, size: int) -> np.ndarray:
     return place
 
 
-def passages(part: Portion) -> tuple[np.ndarray, ...]:
-    """(text, first word, hash, anchor's hash, anchor's place) of each run of PASSAGE words; the anchor's hash is of the other half."""
-    whole = run_hashes(part.words)[1]
-    short = run_hashes(part.others)[0]
+def anchors(part: Portion) -> tuple[np.ndarray, ...]:
+    """(text, first word, anchor's hash, anchor's place) of each run of PASSAGE words in a text, the hash of the words' second half."""
+    short = run_hashes(part.others, ANCHOR)
+    n = len(part.words) - PASSAGE + 1
+    if n < 1:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, short[:0], none
     owner = np.repeat(np.arange(len(part.text_at) - 1), np.diff(part.text_at))
-    at = np.arange(len(whole))
-    if not len(at):
-        return at, at, whole, short[:0], at
-    at = at[owner[at] == owner[at + PASSAGE - 1]]
+    at = np.flatnonzero(owner[:n] == owner[PASSAGE - 1 :])
     place = least_places(short, PASSAGE - ANCHOR + 1)[at]
-    return owner[at], at - part.text_at[:-1][owner[at]], whole[at], short[place], place
+    return owner[at], at, short[place], place
+
+
+def passages(part: Portion) -> tuple[np.ndarray, ...]:
+    """(text, first word within the text, hash, anchor's hash, anchor's place) of each run of PASSAGE words."""
+    owner, at, anchor, place = anchors(part)
+    return owner, at - part.text_at[:-1][owner], run_hashes(part.words, PASSAGE)[at], anchor, place
 
 
 def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +211,9 @@ def _counts(words: bool):
         known = Known()
         for batch in portions(batches):
             part = Portion(batch.column("_s_text").to_pylist(), known)
-            found = [spans(part)[0]]
+            found = [spans(part, 1)[0]]
             if words:
-                *_, anchor, place = passages(part)
+                *_, anchor, place = anchors(part)
                 found.append(anchor[np.unique(place, return_index=True)[1]])
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["_s_hash", "_s_count"])
