@@ -138,3 +138,9 @@ def test_sentence_count_as_in_python(spark):
 def test_word_starts_are_those_of_the_expression():
     for text in ("", " ", "a", "a b", "  a\x1c\xa0b\u3000c\u3001d 🙂\ue000 x\n", "ab\x85\u2028c\u200bd "):
         assert op.word_starts(text).tolist() == [m.start() for m in op.WORD.finditer(text)]
+
+
+def test_sentences_are_counted_without_their_places(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for text in [*texts, "", " ", ". . .", "a.\n\n b! c?d. ", "\n", "x\x85. y.\u3000z", "...", "a .\n. b"]:
+        assert op.sentence_number(text) == len(op.sentences(text)), text[:80]
