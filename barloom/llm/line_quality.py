@@ -4,8 +4,9 @@ Each line is good or bad. A line's evidence is its own features and those of the
 transition matrix ties neighbours. Forward and backward sums give each line's probability of being good; a document's
 quality is the mean of these, weighted by the lines' lengths, on a scale that is fitted to the labelled documents.
 
-The field is fitted by its conditional likelihood, each line of a labelled document taking the document's label, from a
-bounded sample of labelled rows of the training folds; what reaches the driver is a few numbers a line. Scoring is one
+Lines have no labels of their own: the field is fitted so that the documents' qualities tell the documents' labels, by one
+objective for evidence, transitions and scale, on a bounded sample of labelled rows of the training folds; so a good
+document may have bad lines. What reaches the driver is a few numbers a line. Scoring is one
 pass over the whole texts, without a shuffle, and runs all documents of a batch abreast.
 
 Edge cases: a null or empty text is one empty line; every line counts, however many there are; rows repeated in
@@ -31,6 +32,8 @@ SAMPLE = 6000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.5
 EPOCHS, RATE, DECAY = 25, 0.05, 1e-3
+#: Qualities nearer to 0 or 1 than this count as this.
+EDGE = 1e-4
 #: Kinds of bytes: 1 lower case, 2 upper case, 3 digit, 4 white space, 5 bar, 6 exclamation or question mark, 7 full stop or comma, 8 other signs, 0 the rest.
 KINDS = np.zeros(256, dtype=np.int64)
 for _kind, _bytes in ((1, range(97, 123)), (2, range(65, 91)), (3, range(48, 58)), (4, b" \t\r\x0b\x0c"), (5, b"|"), (6, b"!?"), (7, b".,"), (8, b"\"#$%&'()*+-/:;<=>@[\\]^_`{}~")):
@@ -68,6 +71,11 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
 
 
 WIDTH = 3 * OWN + 3
+#: What holds each parameter back: neighbours and transitions more than a line's own features, so that lines differ within
+#: a document as far as their own evidence goes; last the scale (from 1) and the offset (not at all).
+NEAR_DECAY = 0.2
+DECAYS = np.r_[np.full(OWN, DECAY), np.full(2 * OWN, NEAR_DECAY), np.full(3, DECAY), np.full(4, NEAR_DECAY), DECAY, 0.0]
+REST = np.r_[np.zeros(WIDTH + 4), 1.0, 0.0]
 
 
 def marginals(odds: list[np.ndarray], tie: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -107,43 +115,61 @@ def marginals(odds: list[np.ndarray], tie: np.ndarray) -> tuple[list[np.ndarray]
     return out, expected
 
 
-def quality(good: np.ndarray, lengths: np.ndarray) -> float:
-    weights = lengths + 1
-    return float((good * weights).sum() / weights.sum())
+def shares(lengths: np.ndarray) -> np.ndarray:
+    """What each line counts for in its document: its length and one, as shares."""
+    return (lengths + 1) / (lengths + 1).sum()
 
 
-def fit(chains: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
-    """(weights, transitions, scale) of the field: maximum conditional likelihood in small batches."""
-    w, tie = np.zeros(WIDTH), np.zeros((2, 2))
-    adam, rng = Adam(WIDTH + 4, RATE), np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // 256)):
-            xs = [chains[k] for k in part]
-            good, expected = marginals([x @ w for x in xs], tie)
-            truth = np.zeros((2, 2))
-            g = np.zeros(WIDTH)
-            for k, x, p in zip(part, xs, good, strict=True):
-                g += (p - labels[k]) @ x / len(x)
-                truth[labels[k], labels[k]] += len(x) - 1
-            lines = max(1.0, truth.sum())
-            g = np.r_[g / len(part) + DECAY * w, ((expected - truth) / lines + DECAY * tie).ravel()]
-            step = adam.step(g)
-            w, tie = w - step[:WIDTH], tie - step[WIDTH:].reshape(2, 2)
-    good, _ = marginals([x @ w for x in chains], tie)
-    z = logit(np.array([quality(p, n) for p, n in zip(good, lengths, strict=True)]))
-    a, b, scale = 1.0, 0.0, Adam(2, 0.05)
-    for _ in range(400):
-        p = sigmoid(a * z + b)
-        step = scale.step(np.array([((p - labels) * z).mean() + 1e-4 * a, (p - labels).mean()]))
-        a, b = a - step[0], b - step[1]
-    return w, tie, (a, b)
+def quality(good: np.ndarray, lengths: np.ndarray) -> float:
+    return float((good * shares(lengths)).sum())
 
 
 def logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-4, 1 - 1e-4)
+    p = np.clip(p, EDGE, 1 - EDGE)
     return np.log(p / (1 - p))
 
 
+def objective(theta: np.ndarray, chains: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray]:
+    """The loss of documents' labels under the field, and its gradient; theta is weights, transitions, scale and offset.
+
+    A document's quality q is the expected share of good lines, its score the sigmoid of scale * logit(q) + offset. Lines
+    have no labels: what a line's evidence or a transition adds to q is its covariance with that share, and this is how
+    fast the line's probability and the transitions' counts change as the evidence is tilted by the shares. So one pass
+    gives the loss, and one tilted to either side the gradient.
+    """
+    w, tie, a, b = theta[:WIDTH], theta[WIDTH:-2].reshape(2, 2), theta[-2], theta[-1]
+    odds = [x @ w for x in chains]
+    good, _ = marginals(odds, tie)
+    q = np.array([float(p @ c) for p, c in zip(good, counts, strict=True)])
+    z = logit(q)
+    s = sigmoid(a * z + b)
+    loss = float(np.mean(np.logaddexp(0, np.where(labels == 1, -1, 1) * (a * z + b)))) + float(DECAYS @ (theta - REST) ** 2) / 2
+    inside = (q > EDGE) & (q < 1 - EDGE)
+    slope = np.where(inside, (s - labels) * a / np.maximum(q * (1 - q), EDGE / 2), 0.0) / len(labels)
+    size = max((abs(g) * c.max() for g, c in zip(slope, counts, strict=True)), default=0.0)
+    g = DECAYS * (theta - REST)
+    g[-2:] += ((s - labels) * z).mean(), (s - labels).mean()
+    if size > 0:
+        step = 1e-3 / size
+        tilt = [step * k * c for k, c in zip(slope, counts, strict=True)]
+        more, many = marginals([o + t for o, t in zip(odds, tilt, strict=True)], tie)
+        less, few = marginals([o - t for o, t in zip(odds, tilt, strict=True)], tie)
+        for x, p, m in zip(chains, more, less, strict=True):
+            g[:WIDTH] += (p - m) @ x / (2 * step)
+        g[WIDTH:-2] += ((many - few) / (2 * step)).ravel()
+    return loss, g
+
+
+def fit(chains: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
+    """(weights, transitions, scale) of the field, by the objective in small batches."""
+    theta, counts = REST.copy(), [shares(n) for n in lengths]
+    adam, rng = Adam(len(theta), RATE), np.random.default_rng(seed)
+    for _ in range(EPOCHS):
+        for part in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // 256)):
+            theta = theta - adam.step(objective(theta, [chains[k] for k in part], [counts[k] for k in part], labels[part])[1])
+    return theta[:WIDTH], theta[WIDTH:-2].reshape(2, 2), (float(theta[-2]), float(theta[-1]))
+
+
 def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [line_features(t) for t in batch["text"]]
@@ -169,19 +195,24 @@ def scorer(spark, model):
     return score
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """A column function that scores a text, learned from the training folds."""
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """(weights, transitions, scale) learned from the training folds; None without labels of both kinds."""
     own = labels.where(share_of("doc_id", FOLDS) != HELD_OUT).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(own, "doc_id", sample, "quality")
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     found = rows.mapInPandas(featured, "doc_id long, quality int, lines binary, lengths binary")
     found = found.groupBy("doc_id").agg(F.min(F.struct("lines", "lengths", "quality")).alias("one")).select("one.*").toPandas()  # one row an id, however often it is there
     if found["quality"].nunique() < 2:
-        return scorer(docs.sparkSession, None)
+        return None
     own = sorted(zip(found["lines"], found["lengths"], found["quality"], strict=True))  # the fit does not depend on the order of arrival
     numbers = lambda raw: np.frombuffer(raw, dtype=np.float32).astype(np.float64)
     chains = [with_neighbours(numbers(x).reshape(-1, OWN)) for x, _, _ in own]
-    return scorer(docs.sparkSession, fit(chains, [numbers(n) for _, n, _ in own], np.array([q for _, _, q in own])))
+    return fit(chains, [numbers(n) for _, n, _ in own], np.array([q for _, _, q in own]))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """A column function that scores a text."""
+    return scorer(docs.sparkSession, fitted(docs, labels, sample))
 
 
 def op4_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,3 +220,19 @@ def op4_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held: Column = share_of("doc_id", FOLDS) == HELD_OUT
     found = docs.select("doc_id", held.alias("held_out"), score(text_of()).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def line_labels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, good, is_good): every line of every document with its probability of being good."""
+    model = fitted(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, tie, _ = shared.value or (np.zeros(WIDTH), np.zeros((2, 2)), None)
+        for batch in batches:
+            good, _ = marginals([with_neighbours(line_features(t)[0]) @ w for t in batch["text"]], tie)
+            sizes = [len(g) for g in good]
+            out = pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes), "line": np.concatenate([np.arange(n) for n in sizes]), "good": np.concatenate(good)})
+            yield out.assign(is_good=out["good"] >= 0.5)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInPandas(told, "doc_id long, line long, good double, is_good boolean")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -155,3 +156,70 @@ def test_a_row_ten_thousand_times_is_fitted_once(spark):
     often = once.union(once.where("doc_id = 7").crossJoin(spark.range(10_000)).drop("id"))
     a, b = ({r.doc_id: r.score for r in line_quality.op4_rows(docs, labels).collect()} for docs in (once, often))
     assert a == b
+
+
+def small_field(rng, sizes: list[int]):
+    chains = [line_quality.with_neighbours(rng.normal(size=(n, line_quality.OWN))) for n in sizes]
+    counts = [line_quality.shares(rng.integers(0, 90, n).astype(float)) for n in sizes]
+    theta = np.r_[0.3 * rng.normal(size=line_quality.WIDTH + 4), 1.4, -0.2]
+    return theta, chains, counts
+
+
+def loss_by_hand(theta: np.ndarray, chains: list, counts: list, labels: np.ndarray) -> float:
+    """The objective by going through all labellings of each document's lines."""
+    w, tie, (a, b) = theta[: line_quality.WIDTH], theta[line_quality.WIDTH : -2].reshape(2, 2), theta[-2:]
+    total = 0.0
+    for x, c, y in zip(chains, counts, labels, strict=True):
+        weights, share = [], []
+        for lines in itertools.product((0, 1), repeat=len(x)):
+            weights.append(np.exp(sum(k * (row @ w) for k, row in zip(lines, x, strict=True)) + sum(tie[i, j] for i, j in zip(lines, lines[1:], strict=False))))
+            share.append(float(np.array(lines) @ c))
+        q = float(np.dot(weights, share) / np.sum(weights))
+        z = a * np.log(q / (1 - q)) + b
+        total += np.log1p(np.exp(-z if y else z)) / len(labels)
+    return total + float(line_quality.DECAYS @ (theta - line_quality.REST) ** 2) / 2
+
+
+def test_line_quality_objective_and_gradient_by_hand():
+    rng = np.random.default_rng(4)
+    theta, chains, counts = small_field(rng, [1, 3, 5, 2, 4])
+    labels = np.array([1, 0, 1, 1, 0])
+    loss, g = line_quality.objective(theta, chains, counts, labels)
+    assert loss == pytest.approx(loss_by_hand(theta, chains, counts, labels), rel=1e-9)
+    for k in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        rise = (loss_by_hand(theta + step, chains, counts, labels) - loss_by_hand(theta - step, chains, counts, labels)) / 2e-5
+        assert g[k] == pytest.approx(rise, abs=2e-6), k
+
+
+def test_line_quality_scores_by_hand(spark):
+    rng = np.random.default_rng(5)
+    theta, _, _ = small_field(rng, [1])
+    w, tie, (a, b) = theta[: line_quality.WIDTH], theta[line_quality.WIDTH : -2].reshape(2, 2), theta[-2:]
+    texts = ["One line of words.", "Two\nLINES!! 12", "a b\n\nc | d\nE\nf f f", ""]
+    own = line_quality.scorer(spark, (w, tie, (a, b)))
+    found = sorted(r.s for r in spark.createDataFrame([(t,) for t in texts], "text string").select(own("text").alias("s")).collect())
+    hand = []
+    for text in texts:
+        x, n = line_quality.line_features(text)
+        one = np.r_[theta[:-2], 1.0, 0.0]
+        # the loss of a document labelled 1 under scale 1 and offset 0 is minus the logarithm of its quality
+        q = np.exp(-(loss_by_hand(one, [line_quality.with_neighbours(x)], [line_quality.shares(n)], np.array([1])) - float(line_quality.DECAYS @ (one - line_quality.REST) ** 2) / 2))
+        hand.append(1 / (1 + np.exp(-(a * np.log(q / (1 - q)) + b))))
+    assert found == pytest.approx(sorted(hand))
+
+
+def test_a_good_document_may_have_bad_lines(spark):
+    """Lines of one kind stand only in good documents, of another in both: the field tells which lines make a document bad."""
+    rng = np.random.default_rng(6)
+    good, bad = "Plain words of a sentence stand here in order.", "BUY!!! NOW!!! $$$ 999 | 888 | 777 !!!"
+    rows = [(k, "\n".join(good if rng.random() < (0.85 if k % 2 else 0.25) else bad for _ in range(12)), k % 2) for k in range(600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], SCHEMA), spark.createDataFrame([(k, q, 0) for k, _, q in rows], "doc_id long, quality int, toxic int")
+    found = line_quality.line_labels(docs, labels).toPandas()
+    assert len(found) == 600 * 12
+    lines = [line == good for _, text, _ in rows for line in text.split("\n")]
+    own = found.sort_values(["doc_id", "line"])["is_good"].to_numpy()
+    assert (own == np.array(lines)).mean() > 0.9
+    mixed = [k for k, text, q in rows if q and bad in text]
+    assert not found[found["doc_id"].isin(mixed)].groupby("doc_id")["is_good"].all().any()
