@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+from . import hand_sql
 from .functions.fields import close, open_, ret, volume
 from .market_queries import CORR, FACTORS, IC_TABLES, SCORES, labelled, r6, scores
 from .operators import analysis, cross, fundamentals, indicators, modelling, ranking, series, simulate
@@ -51,6 +52,8 @@ for _name, _value in {
 expressions("fn_math", {"signed_power": series.signed_power(ret, 0.5), "safe_div": close / column("nullif(volume, 10)"), "larger": series.largest(open_, close), "log": series.log(volume), "limited": series.at_most(series.at_least(ret, -0.5), 0.5)})
 expressions("indicators", indicators.indicators())
 
+ORACLES |= hand_sql.oracles()
+
 # hand-written twins of single operators, so that a mistake in the expressions can't pass both sides
 
 
