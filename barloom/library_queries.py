@@ -148,12 +148,16 @@ TRADES = """SELECT code, min(date) AS entry, arg_max_null(n, date) AS exit, coun
     SELECT *, lead(date) OVER w AS n, lead(open) OVER w AS no, row_number() OVER w AS nth FROM positions WINDOW w AS (PARTITION BY code ORDER BY date)) WHERE position) GROUP BY code, island"""
 
 
-def positions(spark, d):
-    """Held on the bar after one that closes with a fast mean above a slow one."""
+def crossed(rows, fast: int, slow: int):
+    """rows with position: held on the bar after one that closes with a fast mean above a slow one."""
     along = Window.partitionBy("code").orderBy("date")
     mean = lambda n: F.when(F.count("close").over(along.rowsBetween(1 - n, 0)) == n, F.avg("close").over(along.rowsBetween(1 - n, 0)))
-    own = src.bars(spark, d).withColumn("above", mean(5) > mean(20))
-    return own.select("code", "date", "open", "close", F.coalesce(F.lag("above").over(along), F.lit(False)).alias("position"))
+    own = rows.withColumn("above", mean(fast) > mean(slow))
+    return own.withColumn("position", F.coalesce(F.lag("above").over(along), F.lit(False))).drop("above")
+
+
+def positions(spark, d):
+    return crossed(src.bars(spark, d), 5, 20)
 
 
 @query("trade_list", "SELECT code, entry, max(exit) AS exit, max(bars) AS bars, round(max(q / nullif(p, 0)) - 1, 6) AS ret FROM trades GROUP BY code, entry", positions=POSITIONS, trades=TRADES)
@@ -358,12 +362,10 @@ ARMS = {"a": {}, "b": {"strategy": {"fast": 3, "slow": 10}, "backtest": {"cost":
 
 def arm_trades(rows, configuration):
     """The statistics of a moving-average cross by code, less the cost of each trade."""
-    fast, slow, backtest = configuration["strategy"]["fast"], configuration["strategy"]["slow"], configuration["backtest"]
-    along = Window.partitionBy("code").orderBy("date")
-    mean = lambda n: F.when(F.count("close").over(along.rowsBetween(1 - n, 0)) == n, F.avg("close").over(along.rowsBetween(1 - n, 0)))
-    own = rows.where((F.col("date") >= backtest["history"]["from"]) & (F.col("date") < backtest["history"]["to"])).withColumn("above", mean(fast) > mean(slow))
-    held = own.withColumn("position", F.coalesce(F.lag("above").over(along), F.lit(False)))
-    return trades.statistics(trades.trades(held).withColumn("ret", F.col("ret") - backtest["cost"])).select("code", F.col("trades").cast("double").alias("trades"), "win_rate", "mean_pct")
+    backtest, strategy = configuration["backtest"], configuration["strategy"]
+    own = rows.where((F.col("date") >= backtest["history"]["from"]) & (F.col("date") < backtest["history"]["to"]))
+    done = trades.trades(crossed(own, strategy["fast"], strategy["slow"])).withColumn("ret", F.col("ret") - backtest["cost"])
+    return trades.statistics(done).select("code", F.col("trades").cast("double").alias("trades"), "win_rate", "mean_pct")
 
 
 def arm_sql(fast: int, slow: int, since: str, cost: float) -> str:
