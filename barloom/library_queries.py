@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .factors import library, registry, table
-from .market_queries import CORR, FACTORS, IC_TABLES, labelled, r6, ranked_sql
+from .market_queries import CORR, FACTORS, IC_TABLES, SCORES, labelled, r6, ranked_sql, scores
 from .functions.fields import ret
-from .operators import analysis, arms, boosting, cross, gram, library_analysis, pipeline, ranking, series, trades
+from .operators import analysis, arms, boosting, cross, gram, library_analysis, pipeline, ranking, series, trades, universe
 from .plans.expression import column, evaluate
 from .sources import adapters as src
 from .sources import shared, store
@@ -414,3 +414,25 @@ def cs_switches(spark, d):
     kinds = {"plain": (), "fundamental": ("fundamental",), "contains_mcap": ("contains_mcap",)}
     outputs = {name: cross.preprocess(ret, tags, n, size=size, **switches) for name, tags in kinds.items()}
     return evaluate(src.panel(spark, d), outputs, rounded=False).select("code", "date", *((F.round(c, 6) + 0).alias(c) for c in outputs))
+
+
+# choices that can be filled
+
+
+@query("open_or_before", "SELECT code, date, coalesce(CASE WHEN volume >= 20 THEN open END, lag(close) OVER (PARTITION BY code ORDER BY date)) AS open FROM bars")
+def open_or_before(spark, d):
+    """Opens of thin bars count as missing here."""
+    own = src.bars(spark, d)
+    return universe.open_or_before(own.withColumn("open", F.when(F.col("volume") >= 20, F.col("open")))).select("code", "date", "open")
+
+
+@query(
+    "top_k_fillable",
+    """SELECT code, date, score, place FROM (SELECT code, date, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS place FROM (
+         SELECT *, row_number() OVER (PARTITION BY date, coalesce(ind, 'Unknown') ORDER BY score DESC, code) AS within, max(CASE WHEN ind IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY date) AS mapped
+         FROM scores WHERE score IS NOT NULL AND (code, date) IN (SELECT (code, date) FROM (SELECT code, date, lead(open) OVER (PARTITION BY code ORDER BY date) AS o FROM panel) WHERE o > 0)) WHERE within <= 2 OR mapped = 0) WHERE place <= 10""",
+    scores=SCORES,
+)
+def top_k_fillable(spark, d):
+    """The ten best of each day that have an open on the next one."""
+    return universe.capped_top(scores(spark, d), 10, 2, "ind", only=universe.fillable(src.panel(spark, d))).select("code", "date", "score", "place")

@@ -120,14 +120,25 @@ def stratified(pool: DataFrame, n: int = 3) -> DataFrame:
     return ranked.withColumn("source_tag", F.when(F.col("by_value") & F.col("by_amount"), "mcap+liq").when(F.col("by_value"), "mcap").otherwise("liq")).drop("by_value", "by_amount")
 
 
-def capped_top(scores: DataFrame, k: int, cap: int, group: str = "industry", day: str = "date") -> DataFrame:
-    """The k best of each day with at most cap of a group, score first and code among equals.
+def open_or_before(bars: DataFrame) -> DataFrame:
+    """bars with the close before where a bar has no open."""
+    return bars.withColumn("open", F.coalesce("open", F.lag("close").over(by_code())))
+
+
+def fillable(bars: DataFrame) -> DataFrame:
+    """(code, date) of the days on whose signal a fill at the next bar's open is possible."""
+    return bars.withColumn("_open", F.lead("open").over(by_code())).where("_open is not null and _open > 0").select("code", "date")
+
+
+def capped_top(scores: DataFrame, k: int, cap: int, group: str = "industry", day: str = "date", only: DataFrame | None = None) -> DataFrame:
+    """The k best of each day with at most cap of a group, score first and code among equals; only: (code, day) that may be taken.
 
     Taking greedily and passing over full groups is the same as the first cap of each group and then the first k. The cap
     does not hold on a day on which no code has a group.
     """
     order = [F.col("score").desc(), F.col("code")]
     valid = scores.where("score is not null")
+    valid = valid if only is None else valid.join(only, ["code", day], "left_semi")
     mapped = F.max(F.col(group).isNotNull()).over(Window.partitionBy(day))
     within = F.row_number().over(Window.partitionBy(day, F.coalesce(group, F.lit("Unknown"))).orderBy(*order))
     kept = valid.withColumns({"within": within, "mapped": mapped}).where((F.col("within") <= cap) | ~F.col("mapped"))
