@@ -283,13 +283,16 @@ WHOLE = f"SELECT code, date, fwd, {', '.join(FACTORS)} FROM labelled WHERE date
 STATS = " UNION ALL ".join(
     f"SELECT '{f}' AS factor, (SELECT avg({f}) FROM whole) AS mean, (SELECT stddev_pop({f}) FROM whole) AS sd, (SELECT {CORR} FROM (SELECT {ranked_sql('x', '1')} AS x, {ranked_sql('y', '1')} AS y FROM (SELECT round({f}, 9) AS x, fwd AS y FROM whole))) AS ic" for f in FACTORS
 )
-WEIGHED = " + ".join(f"coalesce(({f} - (SELECT mean FROM stats WHERE factor = '{f}')) / (SELECT CASE WHEN sd < 1e-12 THEN 1 ELSE sd END FROM stats WHERE factor = '{f}'), 0) * (SELECT ic FROM stats WHERE factor = '{f}')" for f in FACTORS)
+OF = "(SELECT {} FROM stats WHERE factor = '{}')"
+WEIGHED = " + ".join(
+    f"coalesce(({f} - {OF.format('coalesce(mean, 0)', f)}) / {OF.format('CASE WHEN sd >= 1e-12 THEN sd ELSE 1 END', f)}, 0) * {OF.format('CASE WHEN size > 1e-12 THEN coalesce(ic, 0) / size ELSE 0.2 END', f)}" for f in FACTORS
+)
 
 
 @query(
     "weigher_scores",
-    f"SELECT code, date, round(CASE WHEN coalesce({', '.join(FACTORS)}) IS NOT NULL THEN ({WEIGHED}) / (SELECT sum(abs(ic)) FROM stats) END, 6) AS score FROM labelled WHERE date >= DATE '{CUT}'",
-    **IC_TABLES, whole=WHOLE, stats=STATS,
+    f"SELECT code, date, round(CASE WHEN coalesce({', '.join(FACTORS)}) IS NOT NULL THEN {WEIGHED} END, 6) AS score FROM labelled WHERE date >= DATE '{CUT}'",
+    **IC_TABLES, whole=WHOLE, each=STATS, stats="SELECT *, coalesce(sum(abs(ic)) OVER (), 0) AS size FROM each",
 )
 def weigher_scores(spark, d):
     """The weigher by rank coefficients alone, on all five factors."""
