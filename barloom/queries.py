@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library_queries, market_queries, model_queries, report_queries
+from . import hand_sql, library_queries, market_queries, model_queries, report_queries
 from .factors import library, registry, table
 from .sources import adapters
 
@@ -36,3 +36,4 @@ for _family in ("alpha101", "gtja191", "alpha101_variants"):
 for _module in (market_queries, model_queries, report_queries, library_queries):
     for _name, _query in _module.QUERIES.items():
         add(_name, _query, _module.ORACLES.get(_name))
+add("factors_by_hand", lambda spark, sf_dir: library.factors(table.stored_panel(adapters.panel(spark, sf_dir)), hand_sql.FACTORS), hand_sql.factors())

@@ -15,7 +15,7 @@ from barloom.queries import ORACLES, QUERIES
 from barloom.sources import adapters, shared, store
 
 DAY = dt.date(2020, 1, 1)
-CHECKED = ["bars_from_store", "bars_of_codes", "bars_merged_store", "fetch_states", "quarters_to_load", "iso_weeks", "global_ranks", "global_quantiles", "trade_list", "trade_statistics", "arms_diff", "open_or_before", "top_k_fillable", "weigher_scores", "cs_switches", "stream_running_weeks", "stream_left_out", "factor_pick", "ic_weights", "quantile_verdicts"]
+CHECKED = ["bars_from_store", "bars_of_codes", "bars_merged_store", "fetch_states", "quarters_to_load", "iso_weeks", "global_ranks", "global_quantiles", "trade_list", "trade_statistics", "arms_diff", "factors_by_hand", "ts_argmax", "cs_industry_strength", "open_or_before", "top_k_fillable", "weigher_scores", "cs_switches", "stream_running_weeks", "stream_left_out", "factor_pick", "ic_weights", "quantile_verdicts"]
 
 
 @pytest.fixture(scope="module")
