@@ -42,14 +42,14 @@ def stored_table(spark, d) -> str:
 
 @query(
     "bars_from_store",
-    "SELECT code, date, round(close / nullif(lag(close) OVER w, 0) - 1, 6) AS ret, round(avg(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean_5, max(high) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS high_20 FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)",
+    "SELECT code, date, round(close / nullif(lag(close) OVER w, 0) - 1, 6) AS ret, min(low) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS low_5, max(high) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS high_20 FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)",
 )
 def bars_from_store(spark, d):
     """Windows along a code over the bucketed table: no exchange stands under them."""
     along = Window.partitionBy("code").orderBy("date")
     own = store.table_bars(spark, stored_table(spark, d))
     ret = F.try_divide("close", F.lag("close").over(along)) - 1
-    return own.select("code", "date", F.round(ret, 6).alias("ret"), F.round(F.avg("close").over(along.rowsBetween(-4, 0)), 6).alias("mean_5"), F.max("high").over(along.rowsBetween(-19, 0)).alias("high_20"))
+    return own.select("code", "date", F.round(ret, 6).alias("ret"), F.min("low").over(along.rowsBetween(-4, 0)).alias("low_5"), F.max("high").over(along.rowsBetween(-19, 0)).alias("high_20"))
 
 
 @query(
