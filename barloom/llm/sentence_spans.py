@@ -205,9 +205,9 @@ def passages(part: Portion) -> tuple[np.ndarray, ...]:
 
 
 def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about half a million characters of text, or one longer text, so that a worker holds few words at a time."""
+    """The batches in slices of about two million characters of text, or one longer text, so that a worker holds few words at a time."""
     for batch in batches:
-        at = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("_s_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) >> 19
+        at = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("_s_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) >> 21
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
         for begin, end in zip(cuts, cuts[1:], strict=False):
             if end > begin:
