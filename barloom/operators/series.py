@@ -6,6 +6,10 @@ Relaxed operators need int(0.6 d) values of a window of d rows, strict ones all
 from __future__ import annotations
 
 
+import numpy as np
+import pandas as pd
+
+from ..plans import blocks
 from ..plans.expression import SPARK, SQL, Expression, along, element, lift, recursion
 
 ORDER = "(PARTITION BY code ORDER BY date)"
@@ -24,11 +28,11 @@ def _enough(d: int, value: str, least: int) -> str:
 
 
 def delay(x, d: int) -> Expression:
-    return along(f"lag({{0}}, {d}) OVER {ORDER}", x) if d else lift(x)
+    return along(f"lag({{0}}, {d}) OVER {ORDER}", x, run=lambda v: blocks.lag(v, d)) if d else lift(x)
 
 
 def lead(x, d: int) -> Expression:
-    return along(f"lead({{0}}, {d}) OVER {ORDER}", x)
+    return along(f"lead({{0}}, {d}) OVER {ORDER}", x, run=lambda v: blocks.lead(v, d))
 
 
 def delta(x, d: int) -> Expression:
@@ -41,7 +45,8 @@ def pct_change(x, d: int = 1) -> Expression:
 
 def rolling(name: str, x, d: int, least: int | None = None) -> Expression:
     """sum, avg, min, max, stddev_pop or stddev_samp of the last d rows; strict unless least is given."""
-    return along(_enough(d, f"{name}({{0}}) OVER {window(d)}", d if least is None else least), x)
+    least = d if least is None else least
+    return along(_enough(d, f"{name}({{0}}) OVER {window(d)}", least), x, run=lambda v: blocks.rolled(name, v, d, least))
 
 
 def ts_sum(x, d: int) -> Expression:
@@ -75,7 +80,7 @@ def adv(volume, d: int) -> Expression:
 def _since(best: str, x, d: int) -> Expression:
     rows = {SPARK: f"collect_list({{0}}) OVER {window(d)}", SQL: f"list({{0}}) OVER {window(d)}"}
     spark = _enough(d, f"CAST({d} - array_position({rows[SPARK]}, {best}({{0}}) OVER {window(d)}) AS DOUBLE)", d)
-    return along({SPARK: spark, SQL: _enough(d, f"CAST({d} - list_position({rows[SQL]}, {best}({{0}}) OVER {window(d)}) AS DOUBLE)", d)}, x)
+    return along({SPARK: spark, SQL: _enough(d, f"CAST({d} - list_position({rows[SQL]}, {best}({{0}}) OVER {window(d)}) AS DOUBLE)", d)}, x, run=lambda v: blocks.since(best, v, d))
 
 
 def ts_argmax(x, d: int) -> Expression:
@@ -91,14 +96,14 @@ def ts_rank(x, d: int) -> Expression:
     """Share of the window's values that are at most today's."""
     spark = f"size(filter(collect_list({{0}}) OVER {window(d)}, v -> v <= {{0}}))"
     sql = f"len(list_filter(list({{0}}) OVER {window(d)}, lambda v: v <= {{0}}))"
-    return along({SPARK: _enough(d, f"{spark} / {d}D", d), SQL: _enough(d, f"{sql} / {d}.0", d)}, x)
+    return along({SPARK: _enough(d, f"{spark} / {d}D", d), SQL: _enough(d, f"{sql} / {d}.0", d)}, x, run=lambda v: blocks.ranked(v, d))
 
 
 def ts_product(x, d: int) -> Expression:
     if d == 1:
         return lift(x)
     spark = f"aggregate(collect_list({{0}}) OVER {window(d)}, 1D, (a, v) -> a * v)"
-    return along({SPARK: _enough(d, spark, relaxed(d)), SQL: _enough(d, f"list_product(list({{0}}) FILTER ({{0}} IS NOT NULL) OVER {window(d)})", relaxed(d))}, x)
+    return along({SPARK: _enough(d, spark, relaxed(d)), SQL: _enough(d, f"list_product(list({{0}}) FILTER ({{0}} IS NOT NULL) OVER {window(d)})", relaxed(d))}, x, run=lambda v: blocks.product(v, d, relaxed(d)))
 
 
 def _paired(x, y) -> tuple[Expression, Expression]:
@@ -110,16 +115,16 @@ def correlation(x, y, d: int) -> Expression:
     w = window(d)
     flat = f"count({{0}}) OVER {w} = {d} AND stddev_pop({{0}}) OVER {w} >= 1e-7 AND stddev_pop({{1}}) OVER {w} >= 1e-7"
     value = f"covar_pop({{0}}, {{1}}) OVER {w} / nullif(stddev_pop({{0}}) OVER {w} * stddev_pop({{1}}) OVER {w}, 0)"
-    raw = along(f"CASE WHEN {flat} THEN {value} END", *_paired(x, y))
+    raw = along(f"CASE WHEN {flat} THEN {value} END", *_paired(x, y), run=lambda u, v: blocks.correlated(u, v, d))
     return element("CASE WHEN abs({0}) <= 1.0000000001 THEN greatest(least({0}, CAST(1 AS DOUBLE)), CAST(-1 AS DOUBLE)) END", raw)
 
 
 def covariance(x, y, d: int) -> Expression:
-    return along(f"CASE WHEN count({{0}}) OVER {window(d)} = {d} THEN covar_samp({{0}}, {{1}}) OVER {window(d)} END", *_paired(x, y))
+    return along(f"CASE WHEN count({{0}}) OVER {window(d)} = {d} THEN covar_samp({{0}}, {{1}}) OVER {window(d)} END", *_paired(x, y), run=lambda u, v: blocks.together(u, v, d)[2] / (d - 1))
 
 
 def _nth() -> Expression:
-    return along(f"CAST(row_number() OVER {ORDER} AS DOUBLE)", "code")
+    return along(f"CAST(row_number() OVER {ORDER} AS DOUBLE)", "code", run=lambda v: np.cumsum(np.ones_like(v), axis=0))
 
 
 def decay_linear(x, d: int) -> Expression:
@@ -129,11 +134,21 @@ def decay_linear(x, d: int) -> Expression:
     w = window(d)
     top = f"sum({{1}}) OVER {w} - ({{2}} - {d}) * sum({{0}}) OVER {w}"
     bottom = f"sum({{3}}) OVER {w} - ({{2}} - {d}) * count({{0}}) OVER {w}"
-    return along(_enough(d, f"({top}) / nullif({bottom}, 0)", relaxed(d)), x, lift(x) * nth, nth, own)
+
+    def run(v, weighted, at, there):
+        above = blocks.total(weighted, d) - (at - d) * blocks.total(v, d)
+        below = blocks.total(there, d) - (at - d) * blocks.count(v, d)
+        return blocks.enough(v, d, relaxed(d), np.where(below == 0, np.nan, above / below))
+
+    return along(_enough(d, f"({top}) / nullif({bottom}, 0)", relaxed(d)), x, lift(x) * nth, nth, own, run=run)
 
 
 def regression_slope(x, d: int) -> Expression:
-    return along(_enough(d, f"regr_slope({{0}}, {{1}}) OVER {window(d)}", d), x, _nth())
+    def run(v, at):
+        spread, _, common = blocks.together(at, v, d)
+        return np.where(spread == 0, np.nan, common / spread)
+
+    return along(_enough(d, f"regr_slope({{0}}, {{1}}) OVER {window(d)}", d), x, _nth(), run=run)
 
 
 def count_true(condition: Expression, d: int) -> Expression:
@@ -143,11 +158,15 @@ def count_true(condition: Expression, d: int) -> Expression:
 
 
 
+def _flat(v: np.ndarray, d: int) -> np.ndarray:
+    return blocks.enough(v, d, d, np.where(blocks.extreme(np.fmax, v, d) == blocks.extreme(np.fmin, v, d), 1.0, 0.0))
+
+
 def rolling_skew(x, d: int) -> Expression:
     """Bias-corrected; 0 for a flat window."""
     spark = f"skewness({{0}}) OVER {window(d)} * {(d * (d - 1)) ** 0.5 / (d - 2)}D"
-    raw = along({SPARK: _enough(d, spark, d), SQL: _enough(d, f"skewness({{0}}) OVER {window(d)}", d)}, x)
-    flat = along(_enough(d, f"CASE WHEN max({{0}}) OVER {window(d)} = min({{0}}) OVER {window(d)} THEN 1 ELSE 0 END", d), x)
+    raw = along({SPARK: _enough(d, spark, d), SQL: _enough(d, f"skewness({{0}}) OVER {window(d)}", d)}, x, run=lambda v: blocks.skewed(v, d))
+    flat = along(_enough(d, f"CASE WHEN max({{0}}) OVER {window(d)} = min({{0}}) OVER {window(d)} THEN 1 ELSE 0 END", d), x, run=lambda v: _flat(v, d))
     return element("CASE WHEN {1} = 1 THEN CAST(0 AS DOUBLE) ELSE {0} END", raw, flat)
 
 
@@ -155,8 +174,8 @@ def rolling_kurt(x, d: int) -> Expression:
     """Bias-corrected excess; -3 for a flat window."""
     a, b = (d - 1) / ((d - 2) * (d - 3)), d + 1
     spark = f"{a}D * ({b} * kurtosis({{0}}) OVER {window(d)} + 6)"
-    raw = along({SPARK: _enough(d, spark, d), SQL: _enough(d, f"kurtosis({{0}}) OVER {window(d)}", d)}, x)
-    flat = along(_enough(d, f"CASE WHEN max({{0}}) OVER {window(d)} = min({{0}}) OVER {window(d)} THEN 1 ELSE 0 END", d), x)
+    raw = along({SPARK: _enough(d, spark, d), SQL: _enough(d, f"kurtosis({{0}}) OVER {window(d)}", d)}, x, run=lambda v: blocks.peaked(v, d))
+    flat = along(_enough(d, f"CASE WHEN max({{0}}) OVER {window(d)} = min({{0}}) OVER {window(d)} THEN 1 ELSE 0 END", d), x, run=lambda v: _flat(v, d))
     return element("CASE WHEN {1} = 1 THEN CAST(-3 AS DOUBLE) ELSE {0} END", raw, flat)
 
 
@@ -168,7 +187,7 @@ def ewm(x, alpha: float) -> Expression:
         f"CASE WHEN v.y IS NULL THEN struct_pack(y := a.y, w := a.w * {keep!r}::DOUBLE) WHEN a.y IS NULL THEN v "
         f"ELSE struct_pack(y := (a.w * {keep!r}::DOUBLE * a.y + {new!r}::DOUBLE * v.y) / (a.w * {keep!r}::DOUBLE + {new!r}::DOUBLE), w := CAST(1 AS DOUBLE)) END"
     )
-    return recursion(f"ewm_{alpha!r}", f"list_reduce({rows}, lambda a, v: {step}).y", lambda s: s.ewm(alpha=alpha, adjust=False).mean(), x)
+    return recursion(f"ewm_{alpha!r}", f"list_reduce({rows}, lambda a, v: {step}).y", lambda v: pd.DataFrame(v).ewm(alpha=alpha, adjust=False).mean().to_numpy(), x)
 
 
 def sma(x, n: int, m: int) -> Expression:
@@ -188,7 +207,7 @@ def _halved(h: float) -> tuple[str, str, str]:
 def ewm_half(x, h: float) -> Expression:
     """Mean with weights that halve every h rows, over all rows so far."""
     _, _, value = _halved(h)
-    return recursion(f"ewm_half_{h!r}", value, lambda s, _: s.ewm(halflife=h).mean(), x, _nth())
+    return recursion(f"ewm_half_{h!r}", value, lambda v, _: pd.DataFrame(v).ewm(halflife=h).mean().to_numpy(), x, _nth())
 
 
 def ewm_half_std(x, h: float) -> Expression:
@@ -198,7 +217,7 @@ def ewm_half_std(x, h: float) -> Expression:
     rows = f"list(struct_pack(w := {w}, x := {{0}})) FILTER ({{0}} IS NOT NULL) {over}"
     biased = f"list_sum(list_transform({rows}, lambda v: v.w * pow(v.x - {m}, 2))) / {sw}"
     sql = f"CASE WHEN count({{0}}) {over} > 1 THEN sqrt({biased} / (1 - {sw2} / pow({sw}, 2))) END"
-    spread = recursion(f"ewm_half_std_{h!r}", sql, lambda s, _: s.ewm(halflife=h).std(), x, _nth())
+    spread = recursion(f"ewm_half_std_{h!r}", sql, lambda v, _: pd.DataFrame(v).ewm(halflife=h).std().to_numpy(), x, _nth())
     return element("CASE WHEN {0} < 1e-9 THEN CAST(0 AS DOUBLE) ELSE {0} END", spread)
 
 
@@ -231,8 +250,12 @@ def sqrt(x) -> Expression:
     return element("sqrt(CASE WHEN {0} >= 0 THEN {0} END)", x)
 
 
-def signed_power(x, a) -> Expression:
-    return element("(sign({0}) * pow(abs({0}), {1}))", x, a)
+def signed_power(x, a, exact: bool = False) -> Expression:
+    """exact: the power is the C library's, to the last bit, for results too large to be cut to digits."""
+    own = element("(sign({0}) * pow(abs({0}), {1}))", x, a)
+    if exact:
+        own.there = element("(sign({0}) * {1})", x, along("pow(abs({0}), {1})", x, a, run=blocks.power))
+    return own
 
 
 def largest(x, y) -> Expression:
