@@ -219,7 +219,7 @@ def together(x: np.ndarray, y: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarr
 def correlated(x: np.ndarray, y: np.ndarray, d: int) -> np.ndarray:
     mx, my, c = together(x, y, d)
     sx, sy = np.sqrt(mx / d), np.sqrt(my / d)
-    return np.where((sx >= 1e-7) & (sy >= 1e-7), c / d / (sx * sy), np.nan)
+    return np.where((sx >= 1e-7) & (sy >= 1e-7), np.clip(c / d / (sx * sy), -1.0, 1.0), np.nan)
 
 
 def _power(x: float, a: float) -> float:

@@ -62,3 +62,12 @@ def test_batches_of_factors_have_no_sliding_frames(spark):
 
 def by_day(spark, values: list[tuple]) -> pd.DataFrame:
     return spark.createDataFrame([("a", DAY + dt.timedelta(days=k), *v) for k, v in enumerate(values)], "code string, date date, x double, y double")
+
+
+def test_two_pairs_that_vary_have_a_correlation(spark):
+    """Sums with a spread near the least one: rounding put the coefficient above 1, and it was dropped."""
+    rng = np.random.default_rng(0)
+    base = 30000 + rng.random(300)
+    own = by_day(spark, [(float(b + k % 2 * 3e-7), float(b / 3 + k % 2 * 4e-7)) for b, pair in zip(base, range(300)) for k in (0, 1)])
+    found = evaluate(own, {"r": series.correlation(x, y, 2)}, rounded=False).orderBy("date").toPandas()["r"].to_numpy(float)[1::2]
+    assert len(found) == 300 and np.isfinite(found).all() and (np.abs(found) <= 1).all()
