@@ -206,7 +206,7 @@ FORMULAS: dict[str, Callable[[Windows], Expression]] = {
     "081": alpha_081,
     "082": lambda w: -smallest(rank(w.decay(w.delta(open_, 1), 15)), w.ranked(w.decay(w.corr(industry_neutral(volume), blend(open_, open_, 0.634196), 17), 7), 13)),
     "083": alpha_083,
-    "084": lambda w: signed_power(w.ranked(vwap - w.max(vwap, 15), 21), w.delta(close, 5)),
+    "084": lambda w: signed_power(w.ranked(vwap - w.max(vwap, 15), 21), w.delta(close, 5), exact=True),
     "085": lambda w: power_of(rank(w.corr(blend(high, close, 0.876703), w.adv(30), 10)), rank(w.corr(w.ranked(mid, 4), w.ranked(volume, 10), 7))),
     "086": lambda w: -flag(w.ranked(w.corr(close, w.sum(w.adv(20), 15), 6), 20) < rank(open_ + close - (vwap + open_))),
     "087": lambda w: -largest(rank(w.decay(w.delta(blend(close, vwap, 0.369701), 2), 3)), w.ranked(w.decay(absolute(w.corr(industry_neutral(w.adv(81)), close, 13)), 5), 14)),

@@ -71,3 +71,13 @@ def test_two_pairs_that_vary_have_a_correlation(spark):
     own = by_day(spark, [(float(b + k % 2 * 3e-7), float(b / 3 + k % 2 * 4e-7)) for b, pair in zip(base, range(300)) for k in (0, 1)])
     found = evaluate(own, {"r": series.correlation(x, y, 2)}, rounded=False).orderBy("date").toPandas()["r"].to_numpy(float)[1::2]
     assert len(found) == 300 and np.isfinite(found).all() and (np.abs(found) <= 1).all()
+
+
+def test_powers_are_the_c_library_s(spark):
+    import math
+
+    rng = np.random.default_rng(1)
+    values = [(float(u), float(v)) for u, v in zip(0.1 + 0.9 * rng.random(4000), rng.normal(size=4000) * 80)]
+    found = evaluate(by_day(spark, values), {"p": series.signed_power(x, y, exact=True)}, rounded=False).orderBy("date").toPandas()["p"]
+    assert found.tolist() == [math.pow(u, v) for u, v in values]
+    assert lift(1).there is None
