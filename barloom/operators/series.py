@@ -217,7 +217,12 @@ def ewm_half_std(x, h: float) -> Expression:
     rows = f"list(struct_pack(w := {w}, x := {{0}})) FILTER ({{0}} IS NOT NULL) {over}"
     biased = f"list_sum(list_transform({rows}, lambda v: v.w * pow(v.x - {m}, 2))) / {sw}"
     sql = f"CASE WHEN count({{0}}) {over} > 1 THEN sqrt({biased} / (1 - {sw2} / pow({sw}, 2))) END"
-    spread = recursion(f"ewm_half_std_{h!r}", sql, lambda v, _: pd.DataFrame(v).ewm(halflife=h).std().to_numpy(), x, _nth())
+
+    def run(v, _):
+        """One value has no spread; after gaps rounding would make it 0."""
+        return np.where(blocks.count(v, len(v)) >= 2, pd.DataFrame(v).ewm(halflife=h).std().to_numpy(), np.nan)
+
+    spread = recursion(f"ewm_half_std_{h!r}", sql, run, x, _nth())
     return element("CASE WHEN {0} < 1e-9 THEN CAST(0 AS DOUBLE) ELSE {0} END", spread)
 
 

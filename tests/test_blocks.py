@@ -73,6 +73,12 @@ def test_two_pairs_that_vary_have_a_correlation(spark):
     assert len(found) == 300 and np.isfinite(found).all() and (np.abs(found) <= 1).all()
 
 
+def test_one_value_has_no_spread(spark):
+    own = by_day(spark, [(None, 0.0)] * 3 + [(1.3, 0.0)] + [(None, 0.0)] * 12 + [(2.0, 0.0)])
+    found = evaluate(own, {"s": series.ewm_half_std(x, 10)}, rounded=False).orderBy("date").toPandas()["s"]
+    assert found[:16].isna().all() and found[16] > 0
+
+
 def test_powers_are_the_c_library_s(spark):
     import math
 
