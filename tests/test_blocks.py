@@ -9,10 +9,13 @@ from contextlib import redirect_stdout
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from barloom.factors import library
-from barloom.operators import cross, series
+from barloom.factors import library, table
+from barloom.operators import cross, library_analysis, series
 from barloom.plans.expression import Expression, column, evaluate, lift
+from barloom.sources import adapters
 
 DAY = dt.date(2020, 1, 6)
 x, y = column("x"), column("y")
@@ -87,3 +90,33 @@ def test_powers_are_the_c_library_s(spark):
     found = evaluate(by_day(spark, values), {"p": series.signed_power(x, y, exact=True)}, rounded=False).orderBy("date").toPandas()["p"]
     assert found.tolist() == [math.pow(u, v) for u, v in values]
     assert lift(1).there is None
+
+
+def test_daily_coefficients_by_columns_and_by_rows(spark):
+    """A row for each factor, code and day took the library past its time; columns give the same coefficients."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(6):
+        for c in range(60):
+            v = [None if rng.random() < 0.2 else float(np.round(rng.normal(), 2)), 1.0, float(rng.normal()) if c < 2 else None, None if k == 3 else float(rng.normal())]
+            rows.append((f"c{c}", DAY + dt.timedelta(days=k), None if rng.random() < 0.1 else float(rng.normal()), None if c == 7 else 1.0, *v))
+    names = ["a", "flat", "rare", "gone"]
+    wide = spark.createDataFrame(rows, "code string, date date, fwd double, close double, a double, flat double, rare double, gone double")
+    order = lambda df: df.toPandas().sort_values(["factor", "date"]).reset_index(drop=True)
+    mine = order(library_analysis.daily_ic_wide(wide, names))
+    want = order(library_analysis.daily_ic(wide.unpivot(["code", "date", "fwd", "close"], names, "factor", "value")))
+    np.testing.assert_allclose(mine["ic"].to_numpy(float), want["ic"].to_numpy(float), rtol=1e-12, atol=1e-14)
+    assert mine[["factor", "date", "usable", "degenerate"]].equals(want[["factor", "date", "usable", "degenerate"]])
+
+
+def test_scores_as_vectors_by_columns_and_by_rows(spark, sf_dir):
+    """Two batches, brought together by a row a batch and by a row a factor."""
+    names, panel = library.batches("gtja191")[0][:3] + library.batches("gtja191")[1][:2], adapters.panel(spark, sf_dir).where("date < '1996-01-01'")
+    day = Window.partitionBy("factor", "date")
+    spread = F.stddev_pop("value").over(day)
+    rows = table.factor_rows(panel, names, 3).where("value is not null")
+    rows = rows.withColumn("value", F.when(spread > 1e-12, (F.col("value") - F.avg("value").over(day)) / spread))
+    order = lambda df: df.toPandas().sort_values(["code", "date"]).reset_index(drop=True)
+    mine, want = order(table.score_vectors(panel, names, 3)), order(table.as_vectors(rows, names))
+    assert len(mine) == len(want) > 100 and mine[["code", "date"]].equals(want[["code", "date"]])
+    np.testing.assert_allclose(np.array(mine["x"].tolist(), float), np.array(want["x"].tolist(), float), rtol=1e-9, atol=1e-12)
