@@ -122,7 +122,7 @@ def verdict_buckets(rows: DataFrame, horizon: int = 5) -> DataFrame:
 
 def with_indicators(bars: DataFrame) -> DataFrame:
     """bars joined with every indicator, unrounded."""
-    return bars.join(evaluate(bars, indicators(), rounded=False), ["code", "date"])
+    return evaluate(bars, indicators(), rounded=False, also=tuple(c for c in bars.columns if c not in ("code", "date")))
 
 
 def verdict_statistics(rows: DataFrame, horizons: tuple[int, ...] = (5, 10)) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.factors import library, table
-from barloom.operators import cross, library_analysis, series
+from barloom.operators import cross, indicators, library_analysis, series
 from barloom.plans.expression import Expression, column, evaluate, lift
 from barloom.sources import adapters
 
@@ -120,3 +120,12 @@ def test_scores_as_vectors_by_columns_and_by_rows(spark, sf_dir):
     mine, want = order(table.score_vectors(panel, names, 3)), order(table.as_vectors(rows, names))
     assert len(mine) == len(want) > 100 and mine[["code", "date"]].equals(want[["code", "date"]])
     np.testing.assert_allclose(np.array(mine["x"].tolist(), float), np.array(want["x"].tolist(), float), rtol=1e-9, atol=1e-12)
+
+
+def test_indicators_need_no_join(spark):
+    """The bars were read and exchanged twice, once to be joined to their own indicators."""
+    own = spark.createDataFrame([], "code string, date date, open double, high double, low double, close double, volume double")
+    text = io.StringIO()
+    with redirect_stdout(text):
+        indicators.with_indicators(own).explain()
+    assert "Join" not in text.getvalue() and indicators.with_indicators(own).columns[:7] == own.columns
