@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..operators.series import pct_change
-from ..plans.expression import column, element
+from ..plans.expression import column, element, places
 
 open_, high, low, close, volume = (column(c) for c in ("open", "high", "low", "close", "volume"))
 #: Rounded, so that a bar without a range has its own price and none beside it.
-vwap = element("round({0}, 8)", (high + low + close) / 3)
+vwap = element(places("{0}", 8), (high + low + close) / 3)
 ret = pct_change(close)
 spread = high - low
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from barloom.factors import library, table
 from barloom.operators import cross, indicators, library_analysis, series
-from barloom.plans.expression import Expression, column, evaluate, lift
+from barloom.plans import blocks
+from barloom.plans.expression import Expression, column, evaluate, lift, places, tidy
 from barloom.sources import adapters
 
 DAY = dt.date(2020, 1, 6)
@@ -129,3 +130,39 @@ def test_indicators_need_no_join(spark):
     with redirect_stdout(text):
         indicators.with_indicators(own).explain()
     assert "Join" not in text.getvalue() and indicators.with_indicators(own).columns[:7] == own.columns
+
+
+def test_values_are_rounded_as_sql_rounds_them(spark):
+    """Spark rounds a value's decimal digits: 1.0000000005 and what lies just below it parted, which are one value in SQL."""
+    import duckdb
+
+    rng = np.random.default_rng(2)
+    halves = (rng.integers(-(10**7), 10**7, 3000) + 0.5) / 1e9
+    v = np.concatenate([halves, np.nextafter(halves, 0), np.nextafter(halves, 9), rng.normal(size=3000) * 10.0 ** rng.integers(-12, 17, 3000), [0.0, -0.0, 0.5, 0.49999999999999994, 2.0**52 + 1, 1e300]])
+    own = pd.DataFrame({"k": range(len(v)), "v": v})
+    sql = duckdb.sql(f"SELECT round(v, 9) AS p, {tidy('v')} AS t FROM own ORDER BY k").df()
+    assert blocks.places(v, 9).tolist() == sql["p"].tolist()
+    assert blocks.tidy(v).tolist() == sql["t"].tolist() and not np.signbit(blocks.tidy(np.array([-0.0, -1e-12]))).any()
+    found = spark.createDataFrame(own).selectExpr("k", f"{places('v', 9)['spark']} AS p").orderBy("k").toPandas()["p"]
+    assert found.tolist() == sql["p"].tolist()
+    ranked = by_day(spark, []).union(spark.createDataFrame([(f"c{k}", DAY, float(w), None) for k, w in enumerate(v[:9000])], "code string, date date, x double, y double"))
+    mine = evaluate(ranked, {"r": cross.rank(x)}, rounded=False).toPandas().set_index("code")["r"]
+    want = pd.Series(sql["p"][:9000].rank(method="average").to_numpy() / 9000, [f"c{k}" for k in range(9000)])
+    np.testing.assert_allclose(mine[want.index].to_numpy(), want.to_numpy(), rtol=1e-15)
+
+
+def test_tidied_columns_keep_null_and_nan(spark):
+    own = spark.createDataFrame([("a", DAY, None, float("nan")), ("b", DAY, 1.00000049, -1e-12)], "code string, date date, x double, y double")
+    found = {r["code"]: r for r in evaluate(own, {"p": column("x"), "q": column("y")}, also=("x",)).collect()}
+    assert found["a"]["p"] is None and np.isnan(found["a"]["q"]) and found["b"]["p"] == 1.0 and found["b"]["q"] == 0 and found["b"]["x"] == 1.00000049
+
+
+def test_doubles_go_to_workers_as_one_column(spark):
+    """Spark asked the size of every column for every row that it sent to a worker, which took most of a batch's time."""
+    panel = spark.createDataFrame([], "code string, date date, open double, high double, low double, close double, volume double, is_bar boolean, ind string, solo string, ind_or_unknown string")
+    df = library.factors(panel, library.batches("alpha101")[5])
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = io.StringIO()
+    with redirect_stdout(text):
+        df.explain("extended")
+    assert "CASE WHEN (abs" not in plan.toString().split("MapInArrow")[0] and text.getvalue().count("_doubles") >= plan.toString().count("MapInArrow") > 2
