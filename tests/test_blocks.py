@@ -166,3 +166,20 @@ def test_doubles_go_to_workers_as_one_column(spark):
     with redirect_stdout(text):
         df.explain("extended")
     assert "CASE WHEN (abs" not in plan.toString().split("MapInArrow")[0] and text.getvalue().count("_doubles") >= plan.toString().count("MapInArrow") > 2
+
+
+def test_bars_are_sorted_after_their_exchange_alone(spark, sf_dir):
+    """Each split of the shipments was sorted whole before the exchange, in memory that grew with the split."""
+    plan = adapters.bars(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.rsplit("Exchange", 1)
+    assert plan.count("Exchange") == 1 and "Aggregate" in above and "Sort" not in below and "Aggregate" not in below
+
+
+def test_tree_rows_make_one_panel(spark, sf_dir, monkeypatch):
+    """The bars were made twice, once for the labels and once for the factors."""
+    from barloom import library_queries
+
+    made, own = [], adapters.panel
+    monkeypatch.setattr(library_queries.shared, "written", lambda df: df)
+    monkeypatch.setattr(library_queries.src, "panel", lambda *a: made.append(1) or own(*a))
+    assert "fwd" in library_queries.tree_rows(spark, sf_dir).columns and len(made) == 1
