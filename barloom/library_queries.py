@@ -254,8 +254,9 @@ TREE_FACTORS = registry.names("technical") + registry.names("statistics")
 
 
 def tree_rows(spark, d):
-    labels = analysis.forward_return(src.panel(spark, d), 5).select("code", "date", "fwd")
-    return shared.written(library.factors(src.panel(spark, d), TREE_FACTORS).join(labels, ["code", "date"]))
+    panel = src.panel(spark, d)
+    labels = analysis.forward_return(panel, 5).select("code", "date", "fwd")
+    return shared.written(library.factors(panel, TREE_FACTORS).join(labels, ["code", "date"]))
 
 
 @query("boosted_pick")
