@@ -106,6 +106,20 @@ def test_toxicity_risk_and_gradient_by_hand():
     assert toxicity.risk(np.zeros(3), sparse_rows(rng, 4, 2), sparse_rows(rng, 4, 2), 0.5)[1] > 0
 
 
+def test_a_few_sure_words_are_enough():
+    """Toxic documents have one to six of ten words that no other has, all three features of each."""
+    rng = np.random.default_rng(3)
+
+    def row(toxic: bool) -> np.ndarray:
+        words = rng.choice(10, rng.integers(1, 7), replace=False) if toxic else np.zeros(0, dtype=int)
+        return np.sort(np.concatenate([rng.integers(30, 60, 8), words, words + 10, words + 20])).astype(np.int32)
+
+    positive = [row(True) for _ in range(400)]
+    _, weights, bias = toxicity.fit(np.arange(60), positive, [*positive, *(row(False) for _ in range(3600))], 0.1)
+    caught, wrong = (np.mean([toxicity.sigmoid(weights[row(toxic)].sum() + bias) >= toxicity.THRESHOLD for _ in range(1000)]) for toxic in (True, False))
+    assert caught > 0.83 and wrong < 0.01, (caught, wrong)
+
+
 def test_toxicity_scores_by_hand(spark):
     """A text's score is the sum of its distinct words' features, whatever its length and repeats."""
     kept = np.unique(np.array([f for w in ("awful", "words", "dreadful") for f in toxicity.word_features(w)], dtype=np.int64))
