@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 
 from ..plans import blocks
-from ..plans.expression import SPARK, SQL, Expression, along, element, lift, recursion
+from ..plans.expression import SPARK, SQL, Expression, along, element, lift, power, recursion
 
 ORDER = "(PARTITION BY code ORDER BY date)"
 
@@ -106,8 +106,13 @@ def ts_product(x, d: int) -> Expression:
     return along({SPARK: _enough(d, spark, relaxed(d)), SQL: _enough(d, f"list_product(list({{0}}) FILTER ({{0}} IS NOT NULL) OVER {window(d)})", relaxed(d))}, x, run=lambda v: blocks.product(v, d, relaxed(d)))
 
 
+def beside(x, y) -> Expression:
+    """x where y is there, too."""
+    return element("CASE WHEN {1} IS NOT NULL THEN {0} END", x, y, do=lambda u, v: np.where(np.isnan(v), np.nan, u))
+
+
 def _paired(x, y) -> tuple[Expression, Expression]:
-    return element("CASE WHEN {1} IS NOT NULL THEN {0} END", x, y), element("CASE WHEN {1} IS NOT NULL THEN {0} END", y, x)
+    return beside(x, y), beside(y, x)
 
 
 def correlation(x, y, d: int) -> Expression:
@@ -116,7 +121,7 @@ def correlation(x, y, d: int) -> Expression:
     flat = f"count({{0}}) OVER {w} = {d} AND stddev_pop({{0}}) OVER {w} >= 1e-7 AND stddev_pop({{1}}) OVER {w} >= 1e-7"
     value = f"covar_pop({{0}}, {{1}}) OVER {w} / nullif(stddev_pop({{0}}) OVER {w} * stddev_pop({{1}}) OVER {w}, 0)"
     raw = along(f"CASE WHEN {flat} THEN {value} END", *_paired(x, y), run=lambda u, v: blocks.correlated(u, v, d))
-    return element("CASE WHEN abs({0}) <= 1.0000000001 THEN greatest(least({0}, CAST(1 AS DOUBLE)), CAST(-1 AS DOUBLE)) END", raw)
+    return element("CASE WHEN abs({0}) <= 1.0000000001 THEN greatest(least({0}, CAST(1 AS DOUBLE)), CAST(-1 AS DOUBLE)) END", raw, do=lambda v: np.where(np.abs(v) <= 1.0000000001, np.clip(v, -1.0, 1.0), np.nan))
 
 
 def covariance(x, y, d: int) -> Expression:
@@ -130,7 +135,7 @@ def _nth() -> Expression:
 def decay_linear(x, d: int) -> Expression:
     """Weights 1 to d, the newest d, over the values that are there."""
     nth = _nth()
-    own = element("CASE WHEN {0} IS NOT NULL THEN {1} END", x, nth)
+    own = element("CASE WHEN {0} IS NOT NULL THEN {1} END", x, nth, do=lambda v, n: np.where(np.isnan(v), np.nan, n))
     w = window(d)
     top = f"sum({{1}}) OVER {w} - ({{2}} - {d}) * sum({{0}}) OVER {w}"
     bottom = f"sum({{3}}) OVER {w} - ({{2}} - {d}) * count({{0}}) OVER {w}"
@@ -152,7 +157,7 @@ def regression_slope(x, d: int) -> Expression:
 
 
 def count_true(condition: Expression, d: int) -> Expression:
-    flag = element("CASE WHEN {0} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END", condition)
+    flag = element("CASE WHEN {0} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END", condition, do=lambda c: np.where(c, 1.0, 0.0))
     return rolling("sum", flag, d)
 
 
@@ -228,11 +233,11 @@ def ewm_half_std(x, h: float) -> Expression:
 
 def where(condition: Expression, x, y) -> Expression:
     """x where the condition is true, else y."""
-    return element("CASE WHEN {0} THEN {1} ELSE {2} END", condition, x, y)
+    return element("CASE WHEN {0} THEN {1} ELSE {2} END", condition, x, y, do=np.where)
 
 
 def only(condition: Expression, x) -> Expression:
-    return element("CASE WHEN {0} THEN {1} END", condition, x)
+    return element("CASE WHEN {0} THEN {1} END", condition, x, do=lambda c, v: np.where(c, v, np.nan))
 
 
 def flag(condition: Expression) -> Expression:
@@ -240,35 +245,35 @@ def flag(condition: Expression) -> Expression:
 
 
 def log(x) -> Expression:
-    return element("ln(CASE WHEN {0} > 0 THEN {0} END)", x)
+    return element("ln(CASE WHEN {0} > 0 THEN {0} END)", x, do=lambda v: np.log(np.where(v > 0, v, np.nan)))
 
 
 def sign(x) -> Expression:
-    return element("sign({0})", x)
+    return element("sign({0})", x, do=np.sign)
 
 
 def absolute(x) -> Expression:
-    return element("abs({0})", x)
+    return element("abs({0})", x, do=np.abs)
 
 
 def sqrt(x) -> Expression:
-    return element("sqrt(CASE WHEN {0} >= 0 THEN {0} END)", x)
+    return element("sqrt(CASE WHEN {0} >= 0 THEN {0} END)", x, do=lambda v: np.sqrt(np.where(v >= 0, v, np.nan)))
 
 
 def signed_power(x, a, exact: bool = False) -> Expression:
     """exact: the power is the C library's, to the last bit, for results too large to be cut to digits."""
-    own = element("(sign({0}) * pow(abs({0}), {1}))", x, a)
+    own = element("(sign({0}) * pow(abs({0}), {1}))", x, a, do=lambda v, p: np.sign(v) * power(np.abs(v), p))
     if exact:
-        own.there = element("(sign({0}) * {1})", x, along("pow(abs({0}), {1})", x, a, run=blocks.power))
+        own.there = element("(sign({0}) * {1})", x, along("pow(abs({0}), {1})", x, a, run=blocks.power), do=lambda v, p: np.sign(v) * p)
     return own
 
 
 def largest(x, y) -> Expression:
-    return element("CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN greatest({0}, {1}) END", x, y)
+    return element("CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN greatest({0}, {1}) END", x, y, do=np.maximum)
 
 
 def smallest(x, y) -> Expression:
-    return element("CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN least({0}, {1}) END", x, y)
+    return element("CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN least({0}, {1}) END", x, y, do=np.minimum)
 
 
 def at_least(x, low) -> Expression:
@@ -280,14 +285,14 @@ def at_most(x, high) -> Expression:
 
 
 def filled(x, value) -> Expression:
-    return element("coalesce({0}, {1})", x, value)
+    return element("coalesce({0}, {1})", x, value, do=lambda v, w: np.where(np.isnan(v), w, v))
 
 
 def nonzero(x) -> Expression:
-    return element("nullif({0}, 0)", x)
+    return element("nullif({0}, 0)", x, do=lambda v: np.where(np.equal(v, 0), np.nan, v))
 
 
 def present(x) -> Expression:
-    return element("({0} IS NOT NULL)", x)
+    return element("({0} IS NOT NULL)", x, do=lambda v: ~np.isnan(v))
 
 

@@ -15,10 +15,11 @@ import itertools
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import blocks, chains
 
 SPARK, SQL = "spark", "sql"
 CODE, DATE = "code", "date"
@@ -28,10 +29,13 @@ class Expression:
     """kind: "c" a column, "e" element-wise, "t" along a code, "x" across a date, "r" a recursion along a code.
 
     run does the window's work over blocks of whole codes (dates), by: a column that run gets after the arguments. A window
-    without a run is left to Spark. there: what takes its place when it runs and is not printed as SQL.
+    without a run is left to Spark. there: what takes its place when it runs and is not printed as SQL. do is the same
+    as the text of an element, over arrays whose NULL is NaN (a condition is false there); value is that of a number.
     """
 
     there: Expression | None = None
+    do: Callable | None = None
+    value: float | None = None
 
     def __init__(self, kind: str, text: str | dict[str, str], args: tuple[Expression, ...] = (), run: Callable | None = None, by: str | None = None):
         self.kind, self.text, self.args, self.run, self.by = kind, text if isinstance(text, dict) else {SPARK: text, SQL: text}, args, run, by
@@ -39,49 +43,49 @@ class Expression:
         self.windows: frozenset[str] = frozenset().union(*(a.windows | ({a.key} if a.kind in "txr" else set()) for a in args))
 
     def __add__(self, other):
-        return element("({0} + {1})", self, other)
+        return element("({0} + {1})", self, other, do=np.add)
 
     def __radd__(self, other):
-        return element("({0} + {1})", other, self)
+        return element("({0} + {1})", other, self, do=np.add)
 
     def __sub__(self, other):
-        return element("({0} - {1})", self, other)
+        return element("({0} - {1})", self, other, do=np.subtract)
 
     def __rsub__(self, other):
-        return element("({0} - {1})", other, self)
+        return element("({0} - {1})", other, self, do=np.subtract)
 
     def __mul__(self, other):
-        return element("({0} * {1})", self, other)
+        return element("({0} * {1})", self, other, do=np.multiply)
 
     def __rmul__(self, other):
-        return element("({0} * {1})", other, self)
+        return element("({0} * {1})", other, self, do=np.multiply)
 
     def __truediv__(self, other):
-        return element("({0} / nullif({1}, 0))", self, other)
+        return element("({0} / nullif({1}, 0))", self, other, do=_divided)
 
     def __rtruediv__(self, other):
-        return element("({0} / nullif({1}, 0))", other, self)
+        return element("({0} / nullif({1}, 0))", other, self, do=_divided)
 
     def __pow__(self, other):
-        return element("pow({0}, {1})", self, other)
+        return element("pow({0}, {1})", self, other, do=power)
 
     def __neg__(self):
-        return element("(- {0})", self)
+        return element("(- {0})", self, do=np.negative)
 
     def __lt__(self, other):
-        return element("({0} < {1})", self, other)
+        return element("({0} < {1})", self, other, do=np.less)
 
     def __le__(self, other):
-        return element("({0} <= {1})", self, other)
+        return element("({0} <= {1})", self, other, do=np.less_equal)
 
     def __gt__(self, other):
-        return element("({0} > {1})", self, other)
+        return element("({0} > {1})", self, other, do=np.greater)
 
     def __ge__(self, other):
-        return element("({0} >= {1})", self, other)
+        return element("({0} >= {1})", self, other, do=np.greater_equal)
 
     def __and__(self, other):
-        return element("({0} AND {1})", self, other)
+        return element("({0} AND {1})", self, other, do=np.logical_and)
 
 
 def column(name: str) -> Expression:
@@ -91,11 +95,25 @@ def column(name: str) -> Expression:
 def lift(value) -> Expression:
     if isinstance(value, Expression):
         return value
-    return Expression("c", f"CAST({value!r} AS DOUBLE)" if isinstance(value, (int, float)) else str(value))
+    if not isinstance(value, (int, float)):
+        return Expression("c", str(value))
+    own = Expression("c", f"CAST({value!r} AS DOUBLE)")
+    own.value = float(value)
+    return own
 
 
-def element(text: str | dict[str, str], *args) -> Expression:
-    return Expression("e", text, tuple(lift(a) for a in args))
+def element(text: str | dict[str, str], *args, do: Callable | None = None) -> Expression:
+    own = Expression("e", text, tuple(lift(a) for a in args))
+    own.do = do
+    return own
+
+
+def _divided(x, y):
+    return x / np.where(np.equal(y, 0), np.nan, y)
+
+
+def power(x, a):
+    return np.where(np.isnan(x) | np.isnan(a), np.nan, np.power(x, a))
 
 
 def along(text: str | dict[str, str], *args, run: Callable | None = None) -> Expression:
@@ -117,7 +135,8 @@ def _running(node: Expression, made: dict[str, Expression]) -> Expression:
             made[node.key] = _running(node.there, made)
         else:
             args = tuple(_running(a, made) for a in node.args)
-            made[node.key] = node if all(a is b for a, b in zip(args, node.args)) else Expression(node.kind, node.text, args, node.run, node.by)
+            own = made[node.key] = node if all(a is b for a, b in zip(args, node.args)) else Expression(node.kind, node.text, args, node.run, node.by)
+            own.do = node.do
     return made[node.key]
 
 
@@ -215,6 +234,8 @@ def evaluate(bars: DataFrame, outputs: dict[str, Expression], rounded: bool = Tr
     made: dict[str, Expression] = {}
     outputs = {name: _running(node, made) for name, node in outputs.items()}
     steps, names = stages(outputs)
+    if chains.fits(bars, steps, outputs, also):
+        return chains.run(bars, steps, outputs, rounded, also)
     final = {name: _render(node, names, SPARK) for name, node in outputs.items()}
     df, placed = bars, None  # placed: the key whose groups lie whole and in order in df's partitions
     for k, step in enumerate(steps):
