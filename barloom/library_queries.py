@@ -254,9 +254,8 @@ TREE_FACTORS = registry.names("technical") + registry.names("statistics")
 
 
 def tree_rows(spark, d):
-    panel = src.panel(spark, d)
-    labels = analysis.forward_return(panel, 5).select("code", "date", "fwd")
-    return shared.written(library.factors(panel, TREE_FACTORS).join(labels, ["code", "date"]))
+    """Labels come with the panel: a join with them would be as large as the panel on both sides."""
+    return shared.written(library.factors(analysis.forward_return(src.panel(spark, d), 5), TREE_FACTORS, also=("fwd",)))
 
 
 @query("boosted_pick")

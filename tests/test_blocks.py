@@ -183,3 +183,13 @@ def test_tree_rows_make_one_panel(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(library_queries.shared, "written", lambda df: df)
     monkeypatch.setattr(library_queries.src, "panel", lambda *a: made.append(1) or own(*a))
     assert "fwd" in library_queries.tree_rows(spark, sf_dir).columns and len(made) == 1
+
+
+def test_tree_rows_join_no_panels(spark, sf_dir, monkeypatch):
+    """The rows are joined as often as the panel is: labels come along, so no join has a panel on either side."""
+    from barloom import library_queries
+    from barloom.sources import adapters, shared
+
+    monkeypatch.setattr(shared, "written", lambda df: df)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(library_queries.tree_rows(spark, sf_dir)) == joins(adapters.panel(spark, sf_dir))
