@@ -271,8 +271,7 @@ def boosted_contributions(spark, d):
     rows = tree_rows(spark, d)
     trees = boosting.grow(rows.where(F.col("date") < CUT), TREE_FACTORS)
     later = rows.where(F.col("date") >= CUT)
-    scores = later.select("code", "date", F.round(boosting.score(trees), 6).alias("score"))
-    return boosting.top_contributions(later, trees, ["code", "date"]).join(scores, ["code", "date"]).select("code", "date", "nth", "factor", F.round("part", 6).alias("part"), "score")
+    return boosting.explained(later, trees, ["code", "date"], 8).select("code", "date", "nth", "factor", *r6("part", "score"))
 
 
 WHOLE = f"SELECT code, date, fwd, {', '.join(FACTORS)} FROM labelled WHERE date < DATE '{CUT}' AND fwd IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in FACTORS)}"

@@ -6,18 +6,23 @@ score is what the expected value changes by at each split on the row's path that
 values (the base) these parts add up to the score. (Not Shapley values: those share a change among orders of asking.)
 
 Rows with a missing factor or label are not learnt from. In scoring a missing value goes to the right side of a split.
-The number of nodes, iterations times two to the depth, bounds what reaches the driver and what is broadcast.
+The number of nodes, iterations times two to the depth, bounds what reaches the driver and what is sent to the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from ..plans import blocks
 from ..sources.shared import folder
 
 
@@ -120,16 +125,66 @@ def paths(trees: Trees) -> list[tuple[int, int, str, float]]:
     return out
 
 
-def contributions(rows: DataFrame, trees: Trees, keys: list[str]) -> DataFrame:
-    """(keys, factor, part) of each row and factor that its paths ask for; base and parts are the score.
+def _leaves(tree: dict[int, Node], columns: dict[str, np.ndarray], n: int) -> np.ndarray:
+    """The leaf of each of n rows; what is missing goes to the right."""
+    out = np.zeros(n, dtype=np.int64)
+
+    def walk(at: int, rows: np.ndarray) -> None:
+        node = tree[at]
+        if node.factor is None:
+            out[rows] = at
+            return
+        low = columns[node.factor][rows] <= node.threshold
+        walk(node.left, rows[low])
+        walk(node.right, rows[~low])
+
+    walk(0, np.arange(n))
+    return out
+
+
+def explained(rows: DataFrame, trees: Trees, keys: list[str], most: int | None = None) -> DataFrame:
+    """(keys, nth, factor, part, score): of each row the factors that its paths ask for, those of largest part first, at
+    most so many. A row's trees are walked where it lies, so nothing is exchanged and nothing but the trees is sent."""
+    of: list[dict[int, list]] = [{} for _ in trees.trees]
+    for k, leaf, factor, part in paths(trees):
+        of[k].setdefault(leaf, []).append((factor, part))
+    names = sorted({n.factor for t in trees.trees for n in t.values() if n.factor})
+    own, doubles = blocks.packed(rows.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.col(n).cast("double").alias(n) for n in names)))
+    types = [rows.schema[k].dataType for k in keys]
+    schema = StructType([*(StructField(k, t) for k, t in zip(keys, types)), StructField("nth", IntegerType()), StructField("factor", StringType()), StructField("part", DoubleType()), StructField("score", DoubleType())])
+
+    def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, n = blocks.unpacked(pa.Table.from_batches([batch]), doubles), batch.num_rows
+            if not n or not names:
+                continue
+            columns = {name: table.column(name).to_numpy() for name in names}
+            parts, asked, score = np.zeros((n, len(names))), np.zeros((n, len(names)), dtype=bool), np.zeros(n)
+            for tree, ways in zip(trees.trees, of):
+                leaves = _leaves(tree, columns, n)
+                for leaf in np.unique(leaves).tolist():
+                    at = leaves == leaf
+                    score[at] += tree[leaf].value
+                    for factor, part in ways.get(leaf, []):
+                        k = names.index(factor)
+                        parts[at, k] += part
+                        asked[at, k] = True
+            order = np.argsort(np.where(asked, -np.abs(parts), np.inf), axis=1, kind="stable")  # names are in order already
+            found = np.minimum(asked.sum(axis=1), len(names) if most is None else most)
+            row = np.repeat(np.arange(n), found)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(found) - found, found)
+            which = order[row, nth]
+            take = pa.array(row)
+            out = {k: table.column(f"_k{i}").take(take) for i, k in enumerate(keys)}
+            out |= {"nth": pa.array(nth + 1, pa.int32()), "factor": pa.array(names, pa.string()).take(pa.array(which)), "part": parts[row, which], "score": score[row]}
+            yield from pa.table(out).combine_chunks().to_batches()
+
+    return own.mapInArrow(of_batches, schema)
 
-    The rows of one key leave a task as one row a factor: they are added up before the shuffle.
-    """
-    spark = rows.sparkSession
-    table = spark.createDataFrame(paths(trees), "tree int, leaf int, factor string, part double")
-    leaves = F.array(*(_case(t, 0, lambda at, _: at) for t in trees.trees)) if trees.trees else F.array().cast("array<int>")
-    own = rows.select(*keys, F.posexplode(leaves).alias("tree", "leaf"))
-    return own.join(F.broadcast(table), ["tree", "leaf"]).groupBy(*keys, "factor").agg(F.sum("part").alias("part"))
+
+def contributions(rows: DataFrame, trees: Trees, keys: list[str]) -> DataFrame:
+    """(keys, factor, part) of each row and factor that its paths ask for; base and parts are the score."""
+    return explained(rows, trees, keys).select(*keys, "factor", "part")
 
 
 def weights(rows: DataFrame, trees: Trees, keys: list[str]) -> DataFrame:
@@ -142,7 +197,4 @@ def weights(rows: DataFrame, trees: Trees, keys: list[str]) -> DataFrame:
 
 def top_contributions(rows: DataFrame, trees: Trees, keys: list[str], n: int = 8) -> DataFrame:
     """(keys, nth, factor, part): of each row the n factors whose parts are largest in size."""
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.abs("part").desc(), "factor"))
-    return contributions(rows, trees, keys).withColumn("nth", nth).where(F.col("nth") <= n).select(*keys, "nth", "factor", "part")
+    return explained(rows, trees, keys, n).select(*keys, "nth", "factor", "part")

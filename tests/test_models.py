@@ -157,3 +157,24 @@ def test_monthly_models_and_the_latest_day(spark):
     m = {r.factor: r for r in again.table.where("month = '2020-07-01'").collect()}
     row = own.iloc[-1]
     assert every[row["code"], row["date"]].score == pytest.approx(sum((row[n] - m[n].mean) / m[n].sd * m[n].weight for n in NAMES))
+
+
+def test_parts_of_largest_size_with_the_score(spark):
+    """Each row's trees walked by hand; told where the row lies, so that no side of a join grows with the rows."""
+    own = made()
+    own.loc[::50, "b"] = None
+    rows = frame(spark, own)
+    trees = boosting.grow(rows, NAMES, iterations=6, depth=3)
+    found = boosting.explained(rows, trees, ["code", "date"], 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert "Exchange" not in boosting.top_contributions(rows, trees, ["code", "date"])._jdf.queryExecution().executedPlan().toString()
+    parts: dict = {}
+    for r in found.orderBy("code", "date", "nth").collect():
+        parts.setdefault((r.code, r.date), []).append((r.nth, r.factor, r.part, r.score))
+    for r in own.itertuples(index=False):
+        score, want = walked(trees, {n: None if np.isnan(getattr(r, n)) else getattr(r, n) for n in NAMES})
+        best = sorted(want.items(), key=lambda x: (-abs(x[1]), x[0]))[:2]
+        assert [(k, f) for k, f, _, _ in parts[r.code, r.date]] == [(k + 1, f) for k, (f, _) in enumerate(best)]
+        assert [p for _, _, p, _ in parts[r.code, r.date]] == pytest.approx([v for _, v in best])
+        assert [s for *_, s in parts[r.code, r.date]] == pytest.approx([score] * len(best))
