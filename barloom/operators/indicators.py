@@ -51,6 +51,12 @@ TRIGGERS = {
 BEFORE = ("ma5", "ma20", "dif", "dea", "hist", "k", "d", "close", "lower", "upper", "rsi6")
 
 
+def before() -> dict[str, Expression]:
+    """The same as expressions, for rows that come from an evaluation anyway."""
+    own = indicators() | {"close": close}
+    return {f"p_{c}": s.delay(own[c], 1) for c in BEFORE} | {f"p{k}_hist": s.delay(own["hist"], k) for k in (2, 3)}
+
+
 def triggers(rows: DataFrame) -> DataFrame:
     """rows (open, close and the indicators) with triggers, an array of (type, direction, weight), all bars at once."""
     along = Window.partitionBy("code").orderBy("date")

@@ -128,14 +128,15 @@ def covariance(x, y, d: int) -> Expression:
     return along(f"CASE WHEN count({{0}}) OVER {window(d)} = {d} THEN covar_samp({{0}}, {{1}}) OVER {window(d)} END", *_paired(x, y), run=lambda u, v: blocks.together(u, v, d)[2] / (d - 1))
 
 
-def _nth() -> Expression:
+def nth() -> Expression:
+    """A row's number along its code, from 1 on."""
     return along(f"CAST(row_number() OVER {ORDER} AS DOUBLE)", "code", run=lambda v: np.cumsum(np.ones_like(v), axis=0))
 
 
 def decay_linear(x, d: int) -> Expression:
     """Weights 1 to d, the newest d, over the values that are there."""
-    nth = _nth()
-    own = element("CASE WHEN {0} IS NOT NULL THEN {1} END", x, nth, do=lambda v, n: np.where(np.isnan(v), np.nan, n))
+    at = nth()
+    own = element("CASE WHEN {0} IS NOT NULL THEN {1} END", x, at, do=lambda v, n: np.where(np.isnan(v), np.nan, n))
     w = window(d)
     top = f"sum({{1}}) OVER {w} - ({{2}} - {d}) * sum({{0}}) OVER {w}"
     bottom = f"sum({{3}}) OVER {w} - ({{2}} - {d}) * count({{0}}) OVER {w}"
@@ -145,7 +146,7 @@ def decay_linear(x, d: int) -> Expression:
         below = blocks.total(there, d) - (at - d) * blocks.count(v, d)
         return blocks.enough(v, d, relaxed(d), np.where(below == 0, np.nan, above / below))
 
-    return along(_enough(d, f"({top}) / nullif({bottom}, 0)", relaxed(d)), x, lift(x) * nth, nth, own, run=run)
+    return along(_enough(d, f"({top}) / nullif({bottom}, 0)", relaxed(d)), x, lift(x) * at, at, own, run=run)
 
 
 def regression_slope(x, d: int) -> Expression:
@@ -153,7 +154,7 @@ def regression_slope(x, d: int) -> Expression:
         spread, _, common = blocks.together(at, v, d)
         return np.where(spread == 0, np.nan, common / spread)
 
-    return along(_enough(d, f"regr_slope({{0}}, {{1}}) OVER {window(d)}", d), x, _nth(), run=run)
+    return along(_enough(d, f"regr_slope({{0}}, {{1}}) OVER {window(d)}", d), x, nth(), run=run)
 
 
 def count_true(condition: Expression, d: int) -> Expression:
@@ -212,7 +213,7 @@ def _halved(h: float) -> tuple[str, str, str]:
 def ewm_half(x, h: float) -> Expression:
     """Mean with weights that halve every h rows, over all rows so far."""
     _, _, value = _halved(h)
-    return recursion(f"ewm_half_{h!r}", value, lambda v, _: pd.DataFrame(v).ewm(halflife=h).mean().to_numpy(), x, _nth())
+    return recursion(f"ewm_half_{h!r}", value, lambda v, _: pd.DataFrame(v).ewm(halflife=h).mean().to_numpy(), x, nth())
 
 
 def ewm_half_std(x, h: float) -> Expression:
@@ -227,7 +228,7 @@ def ewm_half_std(x, h: float) -> Expression:
         """One value has no spread; after gaps rounding would make it 0."""
         return np.where(blocks.count(v, len(v)) >= 2, pd.DataFrame(v).ewm(halflife=h).std().to_numpy(), np.nan)
 
-    spread = recursion(f"ewm_half_std_{h!r}", sql, run, x, _nth())
+    spread = recursion(f"ewm_half_std_{h!r}", sql, run, x, nth())
     return element("CASE WHEN {0} < 1e-9 THEN CAST(0 AS DOUBLE) ELSE {0} END", spread)
 
 

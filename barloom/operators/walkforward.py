@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.expression import evaluate
+from ..sources.shared import written
 from . import indicators, universe
 from . import series as s
 
@@ -19,12 +20,12 @@ LEAST_DAYS, LEAST_WEEKS = 30, 30
 MEANS = (5, 10, 20, 60)
 
 
-def running_weeks(daily: DataFrame) -> DataFrame:
-    """code, date, week and the bar of the week so far."""
+def running_weeks(daily: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """code, date, week, the bar of the week so far, and the columns of daily named in also."""
     so_far = Window.partitionBy("code", "week").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     own = daily.withColumn("week", F.next_day(F.date_sub("date", 1), "FR"))
     return own.select(
-        "code", "date", "week", F.first("open", True).over(so_far).alias("open"), F.max("high").over(so_far).alias("high"), F.min("low").over(so_far).alias("low"), F.last("close", True).over(so_far).alias("close"), F.sum("volume").over(so_far).alias("volume")
+        "code", "date", "week", F.first("open", True).over(so_far).alias("open"), F.max("high").over(so_far).alias("high"), F.min("low").over(so_far).alias("low"), F.last("close", True).over(so_far).alias("close"), F.sum("volume").over(so_far).alias("volume"), *also
     )
 
 
@@ -37,10 +38,9 @@ def week_states(daily: DataFrame) -> DataFrame:
     carried |= {f"sum{n}": s.rolling("sum", close, n - 1) for n in MEANS}
     carried |= {"ema12": s.ema(close, 12), "ema26": s.ema(close, 26), "up": s.ewm(s.at_least(change, 0.0), 1 / 6), "down": s.ewm(s.at_least(-change, 0.0), 1 / 6)}
     carried |= {"mean19": s.rolling("avg", close, 19), "sd19": s.rolling("stddev_pop", close, 19), "low8": s.ts_min(low, 8), "high8": s.ts_max(high, 8), "volume5": s.rolling("avg", volume, 5)}
-    weeks = evaluate(universe.weekly(daily).withColumnRenamed("week", "date"), carried, rounded=False)
-    along = Window.partitionBy("code").orderBy("date")
-    before = {f"p_{c}": F.lag(c).over(along) for c in carried} | {f"p{k}_hist": F.lag("hist", k).over(along) for k in (2, 3)}
-    return weeks.select("code", F.col("date").alias("week"), F.row_number().over(along).alias("nth"), *(v.alias(k) for k, v in before.items()))
+    before = {f"p_{c}": s.delay(x, 1) for c, x in carried.items()} | {f"p{k}_hist": s.delay(own["hist"], k) for k in (2, 3)}
+    weeks = evaluate(universe.weekly(daily).withColumnRenamed("week", "date"), before | {"nth": s.nth()}, rounded=False)
+    return weeks.withColumnRenamed("date", "week")
 
 
 def stepped(before: str, x: Column, alpha: float) -> Column:
@@ -64,16 +64,27 @@ def step(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"hist": 2 * (c("dif") - c("dea")), "j": 3 * c("k") - 2 * c("d")})
 
 
-def weekly_scores(daily: DataFrame) -> DataFrame:
-    """code, date, weekly_score: as of each day, 0 while there are too few weeks."""
-    rows = step(running_weeks(daily).join(week_states(daily), ["code", "week"], "left")).withColumn("triggers", indicators.fired())
-    return rows.select("code", "date", F.when(F.col("nth") >= LEAST_WEEKS, indicators.score()).otherwise(0).alias("weekly_score"))
+def weekly_scores(daily: DataFrame, weeks: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """code, date, weekly_score: as of each day, 0 while there are too few weeks; and the columns of daily named in also.
+
+    weeks: the bars whose weeks count, daily itself unless given. Both sides of the join are sorted and merged: Spark takes
+    the states of the weeks, a row a code and week, for small and would send them all to the driver.
+    """
+    states = week_states(daily if weeks is None else weeks).hint("merge")
+    rows = step(running_weeks(daily, also).join(states, ["code", "week"], "left")).withColumn("triggers", indicators.fired())
+    return rows.select("code", "date", F.when(F.col("nth") >= LEAST_WEEKS, indicators.score()).otherwise(0).alias("weekly_score"), *also)
 
 
 def verdicts(daily: DataFrame) -> DataFrame:
-    """code, date, open, close, verdict, daily_score, weekly_score, final_score, from a code's LEAST_DAYS-th bar on."""
-    nth = F.row_number().over(Window.partitionBy("code").orderBy("date"))
-    own = indicators.triggers(indicators.with_indicators(daily)).select("code", "date", "open", "close", indicators.score().alias("daily_score"), nth.alias("nth"))
-    both = own.where(F.col("nth") >= LEAST_DAYS).join(weekly_scores(daily), ["code", "date"])
+    """code, date, open, close, verdict, daily_score, weekly_score, final_score, from a code's LEAST_DAYS-th bar on.
+
+    A day's own score goes along with its bar, so days are not joined with days.
+    """
+    daily = written(daily)
+    bars = ("open", "high", "low", "close", "volume")
+    own = evaluate(daily, indicators.indicators() | indicators.before() | {"day": s.nth()}, rounded=False, also=bars).withColumn("triggers", indicators.fired())
+    scored = own.select("code", "date", *bars, "day", indicators.score().alias("daily_score"))
+    scored = scored.withColumns({"day_open": F.col("open"), "day_close": F.col("close")})
+    both = weekly_scores(scored, daily, ("day", "day_open", "day_close", "daily_score")).where(F.col("day") >= LEAST_DAYS)
     final = indicators.combined(F.col("daily_score"), F.col("weekly_score"))
-    return both.withColumn("final_score", final).select("code", "date", "open", "close", indicators.verdict(F.col("final_score")).alias("verdict"), "daily_score", "weekly_score", "final_score")
+    return both.withColumn("final_score", final).select("code", "date", F.col("day_open").alias("open"), F.col("day_close").alias("close"), indicators.verdict(F.col("final_score")).alias("verdict"), "daily_score", "weekly_score", "final_score")

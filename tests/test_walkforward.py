@@ -91,3 +91,15 @@ def test_small_helpers(spark):
     assert [tuple(r) for r in quarters] == [(2021, 2), (2021, 1), (2020, 4), (2020, 3)]
     few = spark.createDataFrame([("a", DAY + dt.timedelta(days=t)) for t in range(5)] + [("b", DAY)], "code string, date date")
     assert sorted((r.code, r.date.day) for r in selection.after_warmup(few, 3).collect()) == [("a", 4), ("a", 5), ("b", 1)]
+
+
+def test_verdicts_send_no_days_or_weeks_to_the_driver(spark):
+    """Spark took a row a code and week, and a row a code and day, for small sides and broadcast them."""
+    daily = daily_bars(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = walkforward.verdicts(daily)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Broadcast" not in plan and plan.count("Join") == 1
