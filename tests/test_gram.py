@@ -126,3 +126,26 @@ def test_library_analysis_is_that_of_pandas(spark):
     fast = {(r.a, r.b): r.corr for r in library_analysis.ic_correlation(ic.repartition(4), names).collect()}
     slow = {(r.a, r.b): r["corr"] for r in analysis.ic_correlation(ic).collect()}
     assert len(fast) == 25 and all(fast[k] == pytest.approx(slow.get(k, 1.0 if k[0] == k[1] else 0.0)) for k in fast)
+
+
+def test_sums_by_period_are_few_and_the_same(spark):
+    """A row a code and period was larger than the rows it summed up: with p factors (p + 2)(p + 3) / 2 numbers."""
+    rng = np.random.default_rng(5)
+    own = [(f"c{k % 40}", k % 3, rng.normal(size=4).tolist(), float(rng.normal())) for k in range(600)]
+    rows = spark.createDataFrame(own, "code string, known int, x array<double>, fwd double").repartition(4)
+    by_code, by_period = gram.blocks(rows, 4), gram.blocks(rows, 4, by_code=False)
+    assert by_code.count() == len({r[:2] for r in own}) and by_period.count() <= 4 * 3
+    want, got = ({r.known: r.sums for r in gram.totals(b).collect()} for b in (by_code, by_period))
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_fit_without_hosts_writes_sums_by_period_alone(spark, monkeypatch):
+    rng, asked = np.random.default_rng(6), []
+    rows = spark.createDataFrame([(f"c{c}", dt.date(2020, 1, 1) + dt.timedelta(days=t), rng.normal(size=2).tolist(), float(rng.normal())) for c in range(6) for t in range(90)], "code string, date date, x array<double>, fwd double")
+    own = gram.blocks
+    monkeypatch.setattr(gram, "blocks", lambda *a, **more: asked.append(own(*a, **more)) or asked[-1])
+    plain, _ = gram.walk_forward(rows, 2, 3)
+    assert asked[0].where("code is not null").count() == 0 and asked[0].count() > 0
+    days, _ = gram.walk_forward(rows, 2, 3, days=rows.select("date"))
+    scores = [{(r.code, r.date): r.score for r in s.collect()} for s in (plain, days)]
+    assert len(scores[0]) > 100 and scores[0].keys() == scores[1].keys() and all(scores[1][k] == pytest.approx(v) for k, v in scores[0].items())
