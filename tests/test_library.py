@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -116,3 +117,24 @@ def test_trades_by_hand(spark):
     stats = {r.code: r for r in trades.statistics(trades.trades(own)).collect()}
     assert (stats["a"].trades, stats["a"].open_trades, stats["a"].win_rate) == (2, 1, 1.0) and stats["a"].mean_pct == pytest.approx(50 * (2 / 11 + 1 / 14))
     assert (stats["b"].trades, stats["b"].win_rate) == (0, None)
+
+
+def _shuffle_files(spark, most: int) -> int:
+    """How many shuffle files there are, once there are no more than most or after ten seconds."""
+    found = 0
+    for _ in range(40):
+        names = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        found = sum(n.startswith("shuffle_") for n in names.split())
+        if found <= most:
+            break
+        time.sleep(0.25)
+    return found
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """The batches of a library left theirs until the end, so its disk grew with the number of batches."""
+    was, before = _shuffle_files(spark, 0), spark.conf.get(shared.FREED)
+    made = shared.written(spark.range(0, 5000).repartition(4, "id"))
+    store.save_bars(spark.range(0, 500).selectExpr("cast(id % 7 as string) as code", "date_add(date'2020-01-01', int(id)) as date"), "barloom_bars_freed", 4)
+    assert _shuffle_files(spark, was) <= was and spark.conf.get(shared.FREED) == before
+    assert made.count() == 5000 and spark.table("barloom_bars_freed").count() == 500
