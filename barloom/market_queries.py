@@ -262,8 +262,9 @@ IC_TABLES = {"labelled": LABELLED, "long": LONG, "paired": PAIRED, "ic": IC}
 
 
 def labelled(spark, d):
-    own = src.panel(spark, d)
-    return library.factors(own, FACTORS).join(analysis.forward_return(own, 5).select("code", "date", "close", "ind", "ind_or_unknown", "fwd"), ["code", "date"])
+    """The factors with what their panel has: labels come along, as a join with them would have the panel on both sides."""
+    more = ("close", "ind", "ind_or_unknown", "fwd")
+    return library.factors(analysis.forward_return(src.panel(spark, d), 5), FACTORS, also=more).select("code", "date", *FACTORS, *more)
 
 
 def ic_table(spark, d):

@@ -40,14 +40,14 @@ def daily_ic(rows: DataFrame, winsorise: tuple[float, float] | None = (0.01, 0.9
     return found.withColumn("ic", F.when(~F.col("degenerate"), F.col("ic")))
 
 
-def daily_ic_wide(rows: DataFrame, names: list[str], winsorise: tuple[float, float] | None = (0.01, 0.99), most_equal: float = 0.01, least_covered: float = 0.05) -> DataFrame:
+def daily_ic_wide(rows: DataFrame, names: list[str], winsorise: tuple[float, float] | None = (0.01, 0.99), most_equal: float = 0.01, least_covered: float = 0.05, also_degenerate: bool = False) -> DataFrame:
     """The same of rows (code, date, fwd, close and a column for each factor): a day's codes travel once for all factors,
-    and no row is made for a factor, code and day."""
+    and no row is made for a factor, code and day. also_degenerate: degenerate days have their coefficients, too."""
     own = rows.select("date", F.col("fwd").cast("double"), F.col("close").isNotNull().cast("double").alias("held"), *(F.round(n, 9).alias(n) for n in names))
 
     def of_day(day: pa.Table) -> dict:
         fwd, held = day.column("fwd").to_numpy(), np.nansum(day.column("held").to_numpy())
-        found = [_ic_of_day(day.column(n).to_numpy(), fwd, held, winsorise, most_equal, least_covered) for n in names]
+        found = [_ic_of_day(day.column(n).to_numpy(), fwd, held, winsorise, most_equal, least_covered, also_degenerate) for n in names]
         ic, usable, degenerate = zip(*found)
         return {"factor": names, "date": pa.array([day.column("date")[0].as_py()] * len(names), pa.date32()), "ic": pa.array(ic, pa.float64()), "usable": usable, "degenerate": degenerate}
 
@@ -64,24 +64,25 @@ def _quantile(ordered: np.ndarray, q: float) -> float:
     return ordered[low] if low == high else (high - at) * ordered[low] + (at - low) * ordered[high]
 
 
-def _ic_of_day(value: np.ndarray, fwd: np.ndarray, held: float, winsorise, most_equal: float, least_covered: float) -> tuple[float | None, bool, bool]:
+def _ic_of_day(value: np.ndarray, fwd: np.ndarray, held: float, winsorise, most_equal: float, least_covered: float, also_degenerate: bool = False) -> tuple[float | None, bool, bool]:
     has = ~np.isnan(value)
     ordered = np.sort(value[has])
     n = len(ordered)
     if not n:
         return None, False, False
     distinct = 1 + int((ordered[1:] != ordered[:-1]).sum())
-    if distinct / n <= most_equal or (held and n / held < least_covered):
+    bad = distinct / n <= most_equal or bool(held and n / held < least_covered)
+    if bad and not also_degenerate:
         return None, True, True
     both = has & ~np.isnan(fwd)
     x, y = value[both], fwd[both]
     if winsorise:
         x = np.maximum(np.minimum(x, _nine_places(_quantile(ordered, winsorise[1]))), _nine_places(_quantile(ordered, winsorise[0])))
     if len(x) < 2:
-        return None, True, False
+        return None, True, bad
     x, y = blocks.mean_rank(x) * len(x), blocks.mean_rank(y) * len(y)
     sx, sy = x.std(), y.std()
-    return (float(np.mean((x - x.mean()) * (y - y.mean())) / (sx * sy)) if sx >= 1e-12 and sy >= 1e-12 else None), True, False
+    return (float(np.mean((x - x.mean()) * (y - y.mean())) / (sx * sy)) if sx >= 1e-12 and sy >= 1e-12 else None), True, bad
 
 
 def summary(ic: DataFrame, lag: int = 5) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .market_queries import CORR, FACTORS, IC_TABLES, labelled, r6, ranked_sql
 from .model_queries import JUDGING, METRICS, judged
-from .operators import analysis, indicators, selection, simulate, walkforward
+from .operators import analysis, indicators, library_analysis, selection, simulate, walkforward
 from .sources import adapters as src
+from .sources import shared
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,9 +134,10 @@ GATED = f"""SELECT place, factor FROM (WITH RECURSIVE
 
 
 def chosen(spark, d):
-    own = labelled(spark, d)
-    ic = analysis.daily_ic(own, FACTORS)
-    best = analysis.pick(analysis.summary(ic), analysis.ic_correlation(ic), 3, 0.6, least_ir=0.001, degenerate=analysis.degenerate_days(own, FACTORS))
+    """A day's codes travel once for the five factors; what is left is a row a factor and day, written and read three times."""
+    ic = shared.written(library_analysis.daily_ic_wide(labelled(spark, d), FACTORS, None, also_degenerate=True))
+    degenerate = ic.where("usable").groupBy("factor").agg(F.avg(F.col("degenerate").cast("double")).alias("degenerate"))
+    best = analysis.pick(analysis.summary(ic), analysis.ic_correlation(ic), 3, 0.6, least_ir=0.001, degenerate=degenerate)
     return spark.createDataFrame([(k + 1, n) for k, n in enumerate(best)], "place int, factor string")
 
 

@@ -193,3 +193,28 @@ def test_tree_rows_join_no_panels(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(shared, "written", lambda df: df)
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(library_queries.tree_rows(spark, sf_dir)) == joins(adapters.panel(spark, sf_dir))
+
+
+def test_coefficients_of_degenerate_days_too(spark):
+    """As the plain coefficients and degenerate days are, but from a day's rows at once; and labels come with the panel."""
+    from barloom.operators import analysis, library_analysis
+
+    rng, rows = np.random.default_rng(8), []
+    for t in range(6):
+        for c in range(40):
+            f, g = float(rng.normal()), float(rng.integers(0, 4))
+            rows.append((f"c{c}", dt.date(2020, 1, 1) + dt.timedelta(days=t), None if t == 2 and c > 1 else f, None if t == 3 else 1.0 if t == 4 else g, None if c == 7 else float(rng.normal()), 1.0))
+    own = spark.createDataFrame(rows, "code string, date date, f double, g double, fwd double, close double")
+    found = library_analysis.daily_ic_wide(own, ["f", "g"], None, 0.03, 0.06, also_degenerate=True).collect()
+    want = {(r.factor, r.date): r.ic for r in analysis.daily_ic(own, ["f", "g"]).collect()}
+    assert {(r.factor, r.date) for r in found} == want.keys() and any(r.degenerate and r.ic is not None for r in found)
+    assert {(r.factor, r.date): r.ic for r in found} == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+
+
+def test_labelled_rows_join_no_panels(spark, sf_dir, monkeypatch):
+    from barloom import market_queries
+    from barloom.sources import adapters, shared
+
+    monkeypatch.setattr(shared, "written", lambda df: df)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(market_queries.labelled(spark, sf_dir)) == joins(adapters.panel(spark, sf_dir))
